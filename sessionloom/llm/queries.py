@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import tokens
+from sessionloom.llm import encoding, tokens
 from sessionloom.plans.runtime import table
 
 
@@ -20,9 +20,19 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, sf, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_token_budget": p4_token_budget,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 ORACLE: dict[str, str] = {}
