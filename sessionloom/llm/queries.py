@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionloom.llm import encoding, tokens
+from sessionloom.llm import encoding, leaks, tokens
 from sessionloom.plans.runtime import table
 
 
@@ -20,6 +21,16 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("containment").alias("max_containment"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.find_garbled(table(spark, sf, "documents")).select("doc_id").distinct()
 
@@ -31,6 +42,8 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_token_budget": p4_token_budget,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_leaked_items": p7_leaked_items,
     "p8_found": p8_found,
     "p8_restored": p8_restored,
 }
