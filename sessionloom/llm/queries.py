@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import encoding, leaks, tokens
+from sessionloom.llm import encoding, leaks, neardup, tokens
 from sessionloom.plans.runtime import table
 
 
@@ -17,6 +17,14 @@ def p4_token_budget(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.similar_sessions(table(spark, sf, "session_events")).select("session_id_a", "session_id_b")
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.groups(neardup.similar_sessions(table(spark, sf, "session_events")))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
@@ -41,6 +49,8 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_token_budget": p4_token_budget,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
