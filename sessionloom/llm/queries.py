@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import encoding, leaks, neardup, tokens
+from sessionloom.llm import encoding, leaks, neardup, pairs, tokens
 from sessionloom.plans.runtime import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.find_defects(table(spark, sf, "probes")).select("probe_index", "defect")
+
+
 def p4_token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_budget(
         table(spark, sf, "session_events"), table(spark, sf, "sessions"), table(spark, sf, "source_catalog")
@@ -48,6 +52,7 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p4_token_budget": p4_token_budget,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
