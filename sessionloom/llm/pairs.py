@@ -61,7 +61,7 @@ _HAN = re.compile("[㐀-鿿]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _TERMINAL = re.compile(r"""[.!?。！？…"'”’»」』)\]}）】`]\s*$""")
-_PHRASE = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+(?:[-'’][^\W\d_㐀-鿿]+)*|[.,;:!?。，；：！？、()\[\]{}\"“”]")
+_PHRASE = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+(?:[-'’][^\W\d_㐀-鿿]+)*|[#\d_]\w*|[.,;:!?。，；：！？、()\[\]{}\"“”]")
 
 #: Phrases by which the answerer declines. Reports of a third person's refusal lack them.
 REFUSALS = re.compile(
@@ -182,7 +182,7 @@ def word_events(text: str) -> Iterator[tuple[str, bool]]:
     for i, w in enumerate(found):
         if not w[0].isalpha():
             continue
-        final = i + 1 < len(found) and not found[i + 1][0].isalpha()
+        final = i + 1 < len(found) and not re.match(r"[\w#]", found[i + 1])
         if _HAN.match(w[0]):
             for k in range(len(w) - 1):
                 yield w[k : k + 2], final and k == len(w) - 2
@@ -361,14 +361,14 @@ def find_defects(probes: DataFrame, id_col: str = "probe_index") -> DataFrame:
     known = asked.join(statistics, "word", "left").select("word", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("final", F.lit(0)).alias("final"))
     length = F.length("word")
     beginnings = (
-        statistics.where((F.col("total") >= 3) & (F.col("final") > 0) & (length > 1))
+        statistics.where((F.col("total") >= SEEN) & (length > 1))
         .select(F.explode(F.transform(F.sequence(F.lit(1), length - 1), lambda n: F.substring("word", F.lit(1), n))).alias("word"))
         .distinct()
         .withColumn("beginning", F.lit(True))
     )
     # an unclosed text's last word is itself among the counts, never as the end of a phrase
     hardly = (F.col("total") >= SEEN) & (F.col("final") < FINAL_SHARE * F.col("total"))
-    fragment = F.coalesce("beginning", F.lit(False)) & (F.col("final") == 0)
+    fragment = F.coalesce("beginning", F.lit(False)) & (F.col("final") == 0) & (F.col("total") < SEEN)
     cuts = known.join(beginnings, "word", "left").select("word", (hardly | fragment).alias("cut"))
     late = F.coalesce("cut", F.lit(False)) | F.coalesce("begun", F.lit(False))
     all_defects = F.when(late, F.array_union("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects"))
