@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.plans.runtime import cut, keep
+from sessionloom.plans.runtime import cut
 
 SHINGLE = 3
 THRESHOLD = 0.7
@@ -146,18 +146,18 @@ def _list(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _describe(groups: list[tuple[str, int, bool, list[str]]]) -> pa.RecordBatch:
-    """Rows for groups (session, block, long, words)."""
+def _describe(groups: list[tuple[str, int, bool, list[str]]], sets: bool) -> pa.RecordBatch:
+    """Rows for groups (session, block, long, words); sets: only the shingles, for the verification."""
     none = np.zeros(0, np.uint64)
     rows = []
     for session, block, is_long, tokens in groups:
         own = shingles(tokens)
         x = int(np.bitwise_xor.reduce(own).astype(np.int64)) if len(own) else 0
-        sig = samples(own) if len(own) else none
-        done = len(own) and not is_long
+        sig = samples(own) if len(own) and not sets else none
+        done = len(sig) and not is_long
         edge = (tokens[:2], tokens[-2:]) if is_long else (None, None)
         rows.append(
-            (session, block, is_long, *edge, len(own), x, own)
+            (session, block, is_long, *edge, len(own), x, own if is_long or sets else none)
             + ((band_keys(sig), odd_sketch(sig), none) if done else (none, none, sig))
         )
     columns = list(zip(*rows)) if rows else [[] for _ in _SCHEMA]
@@ -165,7 +165,7 @@ def _describe(groups: list[tuple[str, int, bool, list[str]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
 
 
-def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kernel(batches: Iterator[pa.RecordBatch], sets: bool = False) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by (session, block, event index, event) and describes each group."""
     groups: list[tuple[str, int, bool, list[str]]] = []
     current, tokens, seen, is_long, size = None, [], set(), False, 0
@@ -176,7 +176,7 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     groups.append((*current, is_long, tokens))
                     size += len(tokens)
                     if size > 200_000:
-                        yield _describe(groups)
+                        yield _describe(groups, sets)
                         groups, size = [], 0
                 current, tokens, seen, is_long = (session, block), [], set(), flag
             if event not in seen:
@@ -185,7 +185,7 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if current and (len(tokens) >= SHINGLE or is_long and tokens):
         groups.append((*current, is_long, tokens))
     if groups:
-        yield _describe(groups)
+        yield _describe(groups, sets)
 
 
 def _boundary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +211,19 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _semi(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Semi or anti join whose right side is broadcast only after it was counted."""
-    ids = keep(ids)
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, on, how)
+def _few(ids: DataFrame) -> bool:
+    """Whether a table of ids, which is written already, may be broadcast."""
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
+def _described(rows: DataFrame, sets: bool = False) -> DataFrame:
+    """One row for each (session, block), from rows ``session_id, block, long, at, event_id, content``."""
+    return (
+        rows.repartition("session_id", "block")
+        .sortWithinPartitions("session_id", "block", "at", "event_id", "content")
+        .select("session_id", "block", "long", "event_id", "content")
+        .mapInArrow(lambda batches: _kernel(batches, sets), _DDL)
+    )
 
 
 def similar_sessions(events: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -224,37 +232,36 @@ def similar_sessions(events: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = events.where("session_id is not null and content is not null and content != ''").select(
         "session_id", "event_id", order.alias("at"), "content"
     )
-    long_ids = keep(rows.where(F.col("at") >= BLOCK_EVENTS).select("session_id").distinct())
-    if long_ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        flags = F.broadcast(long_ids.withColumn("long", F.lit(True)))
-    else:
-        flags = long_ids.withColumn("long", F.lit(True))
+    long_ids = cut(rows.where(F.col("at") >= BLOCK_EVENTS).select("session_id").distinct())
+    flags = long_ids.withColumn("long", F.lit(True))
     block = F.when(F.col("long"), F.expr(f"at div {BLOCK_EVENTS}")).otherwise(F.lit(0))
-    grouped = (
-        rows.join(flags, "session_id", "left")
+    marked = (
+        rows.join(F.broadcast(flags) if _few(long_ids) else flags, "session_id", "left")
         .withColumn("long", F.coalesce("long", F.lit(False)))
         .withColumn("block", block)
-        .repartition("session_id", "block")
-        .sortWithinPartitions("session_id", "block", "at", "event_id", "content")
-        .select("session_id", "block", "long", "event_id", "content")
     )
-    parts = keep(grouped.mapInArrow(_kernel, _DDL))
-    short = parts.where("not long").select("session_id", "n", "x", "bands", "sketch")
-    long_parts = parts.where("long")
+    parts = cut(_described(marked))
+    long_rows, long_done = _long_sessions(parts.where("long"))
+    short = parts.where("not long").select("session_id", "n", "x", "bands", "sketch", "long")
+    described = short.unionByName(long_done.withColumn("long", F.lit(True)))
+    likely = _candidates(described, threshold)
+    verified = _verify(likely, marked.where("not long"), long_rows, threshold)
+    return _expand(verified, described.select("n", "x", "session_id"))
+
 
-    # long sessions: border shingles from the words beside each border, minima of the blocks' samples
+def _long_sessions(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Single shingles ``session_id, h`` of the long sessions, and their sizes, band keys and sketches."""
     w = Window.partitionBy("session_id").orderBy("block")
-    edges = long_parts.select("session_id", "block", "head", "tail").select(
-        "session_id",
-        F.concat(F.coalesce(F.lag("tail", 2).over(w), F.array().cast("array<string>")), F.lag("tail").over(w)).alias("before"),
-        "head",
+    nothing = F.array().cast("array<string>")
+    edges = parts.select(
+        "session_id", F.concat(F.coalesce(F.lag("tail", 2).over(w), nothing), F.lag("tail").over(w)).alias("before"), "head"
     )
-    borders = keep(
-        edges.where("before is not null").mapInArrow(_boundary, "session_id string, shingles array<bigint>, sig array<bigint>")
+    borders = edges.where("before is not null").mapInArrow(
+        _boundary, "session_id string, shingles array<bigint>, sig array<bigint>"
     )
-    pieces = long_parts.select("session_id", "shingles", "sig").unionByName(borders)
-    long_rows = pieces.select("session_id", F.explode("shingles").alias("h")).distinct()
-    sizes = long_rows.groupBy("session_id").agg(F.count("*").cast("int").alias("n"), F.expr("bit_xor(h)").alias("x"))
+    pieces = cut(parts.select("session_id", "shingles", "sig").unionByName(borders))
+    rows = pieces.select("session_id", F.explode("shingles").alias("h")).distinct()
+    sizes = rows.groupBy("session_id").agg(F.count("*").cast("int").alias("n"), F.expr("bit_xor(h)").alias("x"))
     # samples are unsigned: their order is that of the signed numbers with the first bit flipped
     flip = F.lit(-(2**63))
     minima = (
@@ -264,75 +271,74 @@ def similar_sessions(events: DataFrame, threshold: float = THRESHOLD) -> DataFra
         .groupBy("session_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda r: r["s"]).alias("sig"))
     )
-    long_done = sizes.join(minima, "session_id").select("session_id", "n", "x", "sig")
-    long_sigs = long_done.mapInArrow(_finish, "session_id string, n int, x bigint, bands array<bigint>, sketch array<bigint>")
-
-    # one class for each set of shingles; (n, x) names it
-    described = short.withColumn("long", F.lit(False)).unionByName(long_sigs.withColumn("long", F.lit(True)))
-    members = described.select("n", "x", "session_id")
-    classes = keep(
-        described.groupBy("n", "x").agg(
-            F.min_by(F.struct("bands", "sketch"), "session_id").alias("d"),
-            F.min("session_id").alias("session_id"),
-            F.count("*").alias("size"),
-            F.max("long").alias("long"),
-        )
+    done = sizes.join(minima, "session_id").select("session_id", "n", "x", "sig")
+    return rows, cut(
+        done.mapInArrow(_finish, "session_id string, n int, x bigint, bands array<bigint>, sketch array<bigint>")
+    )
+
+
+def _candidates(described: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes that share a band and whose sketches are close; a class is named by (n, x)."""
+    classes = described.groupBy("n", "x").agg(
+        F.min_by(F.struct("bands", "sketch"), "session_id").alias("d"),
+        F.min("session_id").alias("session_id"),
+        F.max("long").alias("long"),
     )
     banded = classes.select("n", "x", F.explode("d.bands").alias("key"))
     a, b = banded.alias("a"), banded.alias("b")
     close = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
     first = F.struct("a.n", "a.x") < F.struct("b.n", "b.x")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & first & close).select(
-        F.col("a.n").alias("na"), F.col("a.x").alias("xa"), F.col("b.n").alias("nb"), F.col("b.x").alias("xb")
-    ).distinct()
-
+    met = cut(
+        a.join(b, (F.col("a.key") == F.col("b.key")) & first & close)
+        .select(F.col("a.n").alias("na"), F.col("a.x").alias("xa"), F.col("b.n").alias("nb"), F.col("b.x").alias("xb"))
+        .distinct()
+    )
     facts = classes.select("n", "x", "session_id", "long", F.col("d.sketch").alias("sketch"))
     side = lambda s: facts.select(*[F.col(c).alias(f"{c}{s}") for c in ("n", "x", "session_id", "long", "sketch")])
     differing = F.aggregate(
         F.zip_with("sketcha", "sketchb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v
     )
-    likely = keep(
+    return cut(
         met.join(side("a"), ["na", "xa"])
         .join(side("b"), ["nb", "xb"])
         .where(differing <= most_differing_bits(threshold - SLACK))
         .select("na", "xa", "session_ida", "longa", "nb", "xb", "session_idb", "longb")
     )
 
-    verified = _verify(likely, parts, long_rows, threshold)
-    return _expand(verified, classes, members)
 
+def _verify(likely: DataFrame, short_rows: DataFrame, long_rows: DataFrame, threshold: float) -> DataFrame:
+    """Exact similarity: arrays meet for short sessions, single shingles where a long one takes part.
 
-def _verify(likely: DataFrame, parts: DataFrame, long_rows: DataFrame, threshold: float) -> DataFrame:
-    """Exact similarity: arrays meet for short sessions, single shingles where a long one takes part."""
-    by_array = likely.where("not longa and not longb")
-    ids = by_array.select(F.explode(F.array("session_ida", "session_idb")).alias("session_id")).distinct()
-    sets = _semi(parts.where("not long").select("session_id", "shingles"), ids, "session_id", "left_semi")
+    Only the candidates' texts are read again and shuffled.
+    """
+    ids = cut(likely.select(F.explode(F.array("session_ida", "session_idb")).alias("session_id")).distinct())
+    again = short_rows.join(F.broadcast(ids) if _few(ids) else ids, "session_id", "left_semi")
+    sets = cut(_described(again, sets=True).select("session_id", "shingles"))
     left = sets.select(F.col("session_id").alias("session_ida"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("session_id").alias("session_idb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     columns = ["na", "xa", "nb", "xb", "common"]
+    by_array = likely.where("not longa and not longb")
     short = by_array.join(left, "session_ida").join(right, "session_idb").withColumn("common", common).select(columns)
 
-    by_row = likely.where("longa or longb")
-    ids = by_row.select(F.explode(F.array("session_ida", "session_idb")).alias("session_id")).distinct()
-    rows = long_rows.unionByName(
-        parts.where("not long").join(ids, "session_id", "left_semi").select("session_id", F.explode("shingles").alias("h"))
-    )
-    one = by_row.join(rows.withColumnRenamed("session_id", "session_ida"), "session_ida")
-    two = rows.withColumnRenamed("session_id", "session_idb")
-    long = (
-        one.join(two, ["session_idb", "h"])
-        .groupBy("na", "xa", "nb", "xb")
-        .agg(F.count("*").cast("int").alias("common"))
-        .select(columns)
-    )
+    by_row = cut(likely.where("longa or longb"))
+    pairs = short
+    if not by_row.isEmpty():
+        asked = by_row.select(F.explode(F.array("session_ida", "session_idb")).alias("session_id")).distinct()
+        rows = long_rows.unionByName(
+            sets.join(asked, "session_id", "left_semi").select("session_id", F.explode("shingles").alias("h"))
+        )
+        one = by_row.join(rows.withColumnRenamed("session_id", "session_ida"), "session_ida")
+        met = one.join(rows.withColumnRenamed("session_id", "session_idb"), ["session_idb", "h"])
+        counted = met.groupBy("na", "xa", "nb", "xb").agg(F.count("*").cast("int").alias("common"))
+        pairs = short.unionByName(counted.select(columns))
     similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return short.unionByName(long).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    return pairs.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
 
 
-def _expand(pairs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of sessions from pairs of classes and the members of each class."""
-    copied = classes.where("size > 1").select("n", "x")
+    copied = members.groupBy("n", "x").count().where("count > 1").select("n", "x")
     own = members.join(copied, ["n", "x"], "left_semi")
     within = (
         own.withColumnRenamed("session_id", "p")
