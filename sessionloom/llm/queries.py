@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import encoding, leaks, neardup, pairs, tokens
+from sessionloom.llm import abuse, encoding, leaks, neardup, pairs, tokens
 from sessionloom.plans.runtime import table
 
 
@@ -15,6 +15,22 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.find_defects(table(spark, sf, "probes")).select("probe_index", "defect")
 
 
+def _p2_scored(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.score_events(table(spark, sf, "session_events"), table(spark, sf, "moderation_labels"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p2_scored(spark, sf).where("offending").select("session_id", "event_id")
+
+
+def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _p2_scored(spark, sf)
+
+
+def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.rates(_p2_scored(spark, sf), table(spark, sf, "sessions"), table(spark, sf, "source_catalog"))
+
+
 def p4_token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_budget(
         table(spark, sf, "session_events"), table(spark, sf, "sessions"), table(spark, sf, "source_catalog")
@@ -53,6 +69,9 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_scores": p2_scores,
+    "p2_rates": p2_rates,
     "p4_token_budget": p4_token_budget,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
