@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import abuse, encoding, leaks, neardup, pairs, tokens
+from sessionloom.llm import abuse, encoding, leaks, neardup, pairs, pii, tokens
 from sessionloom.plans.runtime import table
 
 
@@ -31,6 +31,15 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(_p2_scored(spark, sf), table(spark, sf, "sessions"), table(spark, sf, "source_catalog"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_mentions(table(spark, sf, "session_events")).select("session_id", "event_id", "kind", "start_pos")
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "session_events")
+    return pii.replace_mentions(events, pii.find_mentions(events))
+
+
 def p4_token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_budget(
         table(spark, sf, "session_events"), table(spark, sf, "sessions"), table(spark, sf, "source_catalog")
@@ -72,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_scores": p2_scores,
     "p2_rates": p2_rates,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_token_budget": p4_token_budget,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
