@@ -1,4 +1,9 @@
-"""Registered queries for the corpus operators, and their SQL."""
+"""Registered queries of the corpus operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from sessionloom.queries import part1
+
+PARTS = (part1,)
+QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
+ORACLE = {k: q for p in PARTS for k, q in p.ORACLE.items()}
