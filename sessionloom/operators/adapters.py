@@ -1,0 +1,283 @@
+"""Adapters: projections of source records to canonical sessions, as DataFrame functions of native expressions.
+
+Every adapter takes a DataFrame with ``record_id`` and its own columns, and adds ``events`` (array of
+canonical events), ``memory_atoms``, ``probes`` and ``reject`` (the reason why a record can't be adapted, or
+null). Null arrays count as empty. ``REGISTRY`` maps names to adapters; ``adapt`` applies one and adds the
+session id ``source:record_id``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pyspark.sql.types import ArrayType
+
+from sessionloom.functions.text import canonical_role, clean_prompt, strip
+from sessionloom.operators.canonical import ATOM, EVENTS, PROBE
+
+REFERENCE_CHARS = 512
+
+
+def _event(id: Column, role: Column, kind: Column, content: Column, name: Column | None = None, arguments: Column | None = None, status: Column | None = None) -> Column:
+    blank = F.lit("")
+    null = F.lit(None).cast("string")
+    return F.struct(
+        id.alias("id"), role.alias("role"), kind.alias("type"), content.alias("content"),
+        (name if name is not None else blank).alias("name"), (arguments if arguments is not None else null).alias("arguments"),
+        (status if status is not None else blank).alias("status"), blank.alias("timestamp"), null.alias("metadata"),
+    )
+
+
+def _atom(id: Column, kind: str, value: Column, key: Column, evidence: Column) -> Column:
+    return F.struct(id.alias("id"), F.lit(kind).alias("type"), value.alias("value"), key.alias("key"), F.lit(None).cast("string").alias("metadata"), evidence.alias("evidence_event_ids"))
+
+
+def _probe(id: Column, prompt: Column, kind: str, reference: Column, evidence: Column) -> Column:
+    return F.struct(
+        id.alias("id"), prompt.alias("prompt"), F.lit(kind).alias("probe_type"), reference.alias("reference"), F.lit("").alias("split"),
+        F.lit(None).cast("string").alias("metadata"), F.lit(True).alias("answerable"), evidence.alias("evidence_event_ids"),
+    )
+
+
+def _none(kind) -> Column:
+    return F.array().cast(kind)
+
+
+def _numbered(prefix: str, i: Column) -> Column:
+    return F.concat(F.lit(prefix), i.cast("string"))
+
+
+def numbered(events: Column, prefix: str = "e") -> Column:
+    """Events with dense ids by position."""
+    return F.transform(events, lambda e, i: e.withField("id", _numbered(prefix, i)))
+
+
+def grounded_items(names: Column, values: Column, evidence: Column, kind: str) -> tuple[Column, Column]:
+    """Paired atoms and probes of names and values; blank values are skipped, ids stay dense."""
+    zipped = F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    pairs = F.filter(zipped, lambda p: strip(p["v"]) != "")
+    atoms = F.transform(pairs, lambda p, i: _atom(_numbered("m", i), kind, strip(p["v"]), strip(p["k"]), evidence))
+    probes = F.transform(pairs, lambda p, i: _probe(_numbered("p", i), F.concat(F.lit("What is the value of "), strip(p["k"]), F.lit("?")), kind, strip(p["v"]), evidence))
+    return atoms, probes
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """Records that are canonical already: ``events``, ``memory_atoms``, ``probes``; missing columns are empty."""
+    for c, kind in (("events", EVENTS), ("memory_atoms", ArrayType(ATOM)), ("probes", ArrayType(PROBE))):
+        df = df.withColumn(c, F.coalesce(F.col(c).cast(kind), _none(kind)) if c in df.columns else _none(kind))
+    return df.withColumn("reject", F.when(F.size("events") == 0, "no_events"))
+
+
+def fixed_trajectory(df: DataFrame) -> DataFrame:
+    """``context, prompts, responses``: one observation, and an atom and a probe for each pair."""
+    evidence = F.array(F.lit("e0"))
+    pairs = F.zip_with("prompts", "responses", lambda p, r: F.struct(p.alias("prompt"), r.alias("response")))
+    reject = (
+        F.when(strip(F.col("context")) == "", "empty_context")
+        .when(F.coalesce(F.size("prompts"), F.lit(0)) != F.coalesce(F.size("responses"), F.lit(0)), "length_mismatch")
+        .when(F.coalesce(F.size("prompts"), F.lit(0)) < 1, "no_pairs")
+    )
+    return df.select(
+        "*",
+        F.array(_event(F.lit("e0"), F.lit("environment"), F.lit("observation"), strip(F.col("context")))).alias("events"),
+        F.transform(pairs, lambda p, i: _atom(_numbered("m", i), "fact", strip(p["response"]), F.lit(""), evidence)).alias("memory_atoms"),
+        F.transform(pairs, lambda p, i: _probe(_numbered("p", i), strip(p["prompt"]), "fixed", strip(p["response"]), evidence)).alias("probes"),
+        reject.alias("reject"),
+    )
+
+
+def d2l_tokenized(df: DataFrame, decode: Callable[[Column], Column]) -> DataFrame:
+    """``ctx_ids, input_ids, response_start_end``: token ids sliced at [start, end), clamped, and decoded.
+
+    ``decode`` turns a column of ids into text (an Arrow UDF of a tokenizer). Empty pairs are skipped.
+    """
+    spans = F.zip_with(
+        "input_ids",
+        "response_start_end",
+        lambda ids, se: F.struct(
+            F.slice(ids, 1, F.greatest(F.least(se[0], F.size(ids)), F.lit(0))).alias("prompt"),
+            F.slice(ids, F.greatest(se[0], F.lit(0)) + 1, F.greatest(F.least(se[1], F.size(ids)) - F.greatest(se[0], F.lit(0)), F.lit(0))).alias("response"),
+        ),
+    )
+    kept = F.filter(spans, lambda s: (F.size(s["prompt"]) > 0) & (F.size(s["response"]) > 0))
+    df = df.withColumn("context", decode(F.col("ctx_ids"))).withColumn("_pairs", kept)
+    df = df.withColumn("prompts", F.transform("_pairs", lambda p: clean_prompt(decode(p["prompt"])))).withColumn("responses", F.transform("_pairs", lambda p: strip(decode(p["response"]))))
+    return fixed_trajectory(df.drop("_pairs"))
+
+
+def messages(df: DataFrame, excluded_tools: tuple[str, ...] = ()) -> DataFrame:
+    """``messages`` of ``role, content, name, tool_call_id, tool_calls`` (array of ``id, name, arguments``).
+
+    System messages go; the text of an assistant beside tool calls goes; calls of excluded tools go with
+    their results; ids are dense after that. A result belongs to the call with its id, else to the oldest
+    open call. Unknown roles and empty messages reject the record.
+    """
+    barred = [t.casefold() for t in excluded_tools]
+    unknown = F.exists("messages", lambda m: canonical_role(m["role"]).isNull())
+    parts = F.flatten(F.transform(F.filter("messages", lambda m: canonical_role(m["role"]) != "system"), _message_parts))
+    events = numbered(pair_results(parts, barred))
+    empty = F.exists(events, lambda e: (e["type"] != "tool_call") & (e["content"] == ""))
+    out = df.withColumn("events", events).withColumn("memory_atoms", _none(ArrayType(ATOM))).withColumn("probes", _none(ArrayType(PROBE)))
+    return out.withColumn("reject", F.when(unknown, "unknown_role").when(empty, "empty_content").when(F.size("events") == 0, "no_events"))
+
+
+def _part(e: Column, call_id: Column) -> Column:
+    return F.struct(e.alias("e"), call_id.alias("call_id"))
+
+
+def _message_parts(m: Column) -> Column:
+    """The events of one message with the ids of their calls: a text, or its tool calls."""
+    role = canonical_role(m["role"])
+    calls = F.coalesce(m["tool_calls"], F.array().cast("array<struct<id:string,name:string,arguments:string>>"))
+    none = F.lit(None).cast("string")
+    as_calls = F.transform(
+        calls, lambda c: _part(_event(F.lit(""), F.lit("assistant"), F.lit("tool_call"), F.lit(""), strip(c["name"]), F.coalesce(c["arguments"], F.lit("{}"))), c["id"])
+    )
+    kind = F.when(role == "tool", "tool_result").otherwise("message")
+    as_text = F.array(_part(_event(F.lit(""), role, kind, strip(m["content"]), strip(m["name"]), none), m["tool_call_id"]))
+    return F.when(F.size(calls) > 0, as_calls).otherwise(as_text)
+
+
+def pair_results(parts: Column, barred: list[str]) -> Column:
+    """Events in order, each result named after its call: by id, else first in first out; barred calls swallow theirs."""
+    entry = "struct<id:string,name:string>"
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("open"), F.array().cast(EVENTS).alias("out"))
+    is_barred = lambda n: F.lower(n).isin(*barred) if barred else F.lit(False)
+
+    def step(s: Column, p: Column) -> Column:
+        e, cid = p["e"], p["call_id"]
+        call, result = e["type"] == "tool_call", e["type"] == "tool_result"
+        place = F.array_position(F.transform(s["open"], lambda c: c["id"]), cid)
+        found = F.when(F.coalesce(place, F.lit(0)) > 0, place).otherwise(F.when(F.size(s["open"]) > 0, F.lit(1).cast("bigint")))
+        match = F.try_element_at(s["open"], found.cast("int"))
+        rest = F.filter(s["open"], lambda c, i: F.coalesce(i + 1 != found, F.lit(True)))
+        opened = F.concat(s["open"], F.array(F.struct(cid.alias("id"), e["name"].alias("name"))))
+        named = e.withField("name", F.coalesce(match["name"], e["name"]))
+        drop = F.when(call, is_barred(e["name"])).when(result, F.coalesce(is_barred(match["name"]), F.lit(False))).otherwise(F.lit(False))
+        now = F.when(result, named).otherwise(e)
+        return F.struct(
+            F.when(call, opened).when(result, rest).otherwise(s["open"]).alias("open"),
+            F.when(drop, s["out"]).otherwise(F.concat(s["out"], F.array(now))).alias("out"),
+        )
+
+    return F.aggregate(parts, start, step, lambda s: s["out"])
+
+
+def sharegpt(df: DataFrame) -> DataFrame:
+    """``conversations`` of ``from, value``: messages under canonical roles; an unknown role rejects the record."""
+    none = "cast(null as array<struct<id:string,name:string,arguments:string>>)"
+    as_messages = F.expr(f"transform(conversations, c -> named_struct('role', c.`from`, 'content', c.value, 'name', '', 'tool_call_id', cast(null as string), 'tool_calls', {none}))")
+    return messages(df.withColumn("messages", as_messages)).drop("messages")
+
+
+def tool_messages(df: DataFrame, excluded_tools: tuple[str, ...] = ()) -> DataFrame:
+    """Messages, and an atom and a probe for each nonempty tool result, its reference cut to 512 characters."""
+    out = messages(df, excluded_tools)
+    results = F.filter("events", lambda e: (e["type"] == "tool_result") & (e["content"] != ""))
+    text = lambda e: strip(F.substring(e["content"], 1, REFERENCE_CHARS))
+    atoms = F.transform(results, lambda e, i: _atom(_numbered("m", i), "tool_outcome", text(e), e["name"], F.array(e["id"])))
+    asked = lambda e: F.concat(F.lit("What did the tool "), e["name"], F.lit(" return?"))
+    probes = F.transform(results, lambda e, i: _probe(_numbered("p", i), asked(e), "tool_outcome", text(e), F.array(e["id"])))
+    return out.withColumn("memory_atoms", atoms).withColumn("probes", probes)
+
+
+def schema_guided_dialog(df: DataFrame) -> DataFrame:
+    """``turns`` of ``speaker, utterance, frames`` (of ``service, state, service_call, service_results`` as JSON texts).
+
+    Each turn is a message, then for each frame its state, call and result; each slot of a state is a grounded item.
+    """
+    def frame(f: Column) -> Column:
+        none = F.lit(None).cast("string")
+        made = F.array(
+            F.when(f["state"].isNotNull(), _event(F.lit(""), F.lit("environment"), F.lit("state_change"), f["state"], f["service"], none)),
+            F.when(f["service_call"].isNotNull(), _event(F.lit(""), F.lit("assistant"), F.lit("tool_call"), F.lit(""), f["service"], f["service_call"])),
+            F.when(f["service_results"].isNotNull(), _event(F.lit(""), F.lit("tool"), F.lit("tool_result"), f["service_results"], f["service"], none)),
+        )
+        return F.filter(made, lambda e: e.isNotNull())
+
+    speaker = lambda t: F.when(F.lower(t["speaker"]) == "user", "user").otherwise("assistant")
+    say = lambda t: F.array(_event(F.lit(""), speaker(t), F.lit("message"), strip(t["utterance"])))
+    none_yet = F.array().cast(EVENTS)
+    all_events = F.flatten(F.transform("turns", lambda t: F.concat(say(t), F.coalesce(F.flatten(F.transform(t["frames"], frame)), none_yet))))
+    out = df.withColumn("events", numbered(F.filter(all_events, lambda e: (e["type"] == "tool_call") | (e["content"] != ""))))
+    states = F.filter("events", lambda e: e["type"] == "state_change")
+    slots = F.flatten(F.transform(states, lambda e: F.transform(F.map_entries(F.from_json(e["content"], "map<string,string>")), lambda kv: F.struct(kv["key"].alias("k"), kv["value"].alias("v"), e["id"].alias("id")))))
+    kept = F.filter(slots, lambda s: strip(s["v"]) != "")
+    atoms = F.transform(kept, lambda s, i: _atom(_numbered("m", i), "slot", strip(s["v"]), s["k"], F.array(s["id"])))
+    probes = F.transform(kept, lambda s, i: _probe(_numbered("p", i), F.concat(F.lit("What is the value of "), s["k"], F.lit("?")), "slot", strip(s["v"]), F.array(s["id"])))
+    return out.withColumn("memory_atoms", atoms).withColumn("probes", probes).withColumn("reject", F.when(F.size("events") == 0, "no_events"))
+
+
+def taskmaster(df: DataFrame) -> DataFrame:
+    """``utterances`` of ``speaker, text, segments`` (of ``text, annotations`` of ``name``): messages, and an item for each annotation."""
+    speaker = lambda t: F.when(F.lower(t["speaker"]) == "user", "user").otherwise("assistant")
+    kept = F.filter("utterances", lambda t: strip(t["text"]) != "")
+    out = df.withColumn("_u", kept).withColumn("events", F.transform("_u", lambda t, i: _event(_numbered("e", i), speaker(t), F.lit("message"), strip(t["text"]))))
+    none_yet = F.array().cast("array<struct<k:string,v:string,id:string>>")
+    items = F.flatten(F.transform("_u", lambda t, i: F.coalesce(F.flatten(F.transform(t["segments"], lambda g: F.transform(
+        g["annotations"], lambda a: F.struct(F.coalesce(a["name"], F.lit("value")).alias("k"), g["text"].alias("v"), _numbered("e", i).alias("id"))))), none_yet)))
+    found = F.filter(items, lambda s: strip(s["v"]) != "")
+    atoms = F.transform(found, lambda s, i: _atom(_numbered("m", i), "task_state", strip(s["v"]), s["k"], F.array(s["id"])))
+    probes = F.transform(found, lambda s, i: _probe(_numbered("p", i), F.concat(F.lit("What is the value of "), s["k"], F.lit("?")), "task_state", strip(s["v"]), F.array(s["id"])))
+    return out.withColumn("memory_atoms", atoms).withColumn("probes", probes).withColumn("reject", F.when(F.size("events") == 0, "no_events")).drop("_u")
+
+
+TRAJECTORY = "array<struct<role:string,content:string,name:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>>"
+
+
+def swe_zero(df: DataFrame, excluded_tools: tuple[str, ...] = ()) -> DataFrame:
+    """``trajectory`` as JSON text of messages; outcome items as for tool messages. Text that is no list rejects the record."""
+    parsed = F.from_json("trajectory", TRAJECTORY)
+    out = tool_messages(df.withColumn("messages", F.coalesce(parsed, F.array().cast(TRAJECTORY))), excluded_tools)
+    return out.withColumn("reject", F.when(parsed.isNull(), "bad_trajectory").otherwise(F.col("reject"))).drop("messages")
+
+
+def choice_conversation(df: DataFrame, keys: tuple[str, str, str, str]) -> DataFrame:
+    """Four fixed columns as user, assistant, user, assistant."""
+    roles = ("user", "assistant", "user", "assistant")
+    return df.withColumn("messages", F.array(*[F.struct(F.lit(r).alias("role"), strip(F.col(k)).alias("content")) for r, k in zip(roles, keys)]))
+
+
+def persona_conversation(col: Column) -> Column:
+    """Turns of a map from whole numbers to ``user, assistant``, by number, as messages; null where the numbers have a gap."""
+    turns = F.array_sort(F.transform(F.map_entries(col), lambda kv: F.struct(kv["key"].cast("int").alias("k"), kv["value"].alias("v"))))
+    whole = F.forall(F.transform(turns, lambda t, i: t["k"] == i), lambda x: x)
+    spoken = F.flatten(F.transform(turns, lambda t: F.array(F.struct(F.lit("user").alias("role"), t["v"]["user"].alias("content")), F.struct(F.lit("assistant").alias("role"), t["v"]["assistant"].alias("content")))))
+    return F.when(whole, spoken)
+
+
+def session_text(messages_col: Column) -> Column:
+    """``role: content`` lines."""
+    return F.array_join(F.transform(messages_col, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+
+
+REGISTRY: dict[str, Callable[..., DataFrame]] = {
+    "canonical": canonical,
+    "fixed_trajectory": fixed_trajectory,
+    "d2l_tokenized": d2l_tokenized,
+    "messages": messages,
+    "sharegpt": sharegpt,
+    "tool_messages": tool_messages,
+    "schema_guided_dialog": schema_guided_dialog,
+    "taskmaster": taskmaster,
+    "swe_zero": swe_zero,
+}
+
+
+def adapt(df: DataFrame, adapter: str, source: str, domain: str, **options) -> DataFrame:
+    """Canonical sessions of one source: ``session_id, source, domain, events, memory_atoms, probes, reject``."""
+    if adapter not in REGISTRY:
+        raise ValueError(f"unknown adapter {adapter!r}; known are {', '.join(sorted(REGISTRY))}")
+    out = REGISTRY[adapter](df, **options)
+    return out.select(
+        F.concat(F.lit(f"{source}:"), F.col("record_id")).alias("session_id"),
+        F.lit(source).alias("source"),
+        F.lit(domain).alias("domain"),
+        "events",
+        "memory_atoms",
+        "probes",
+        "reject",
+    )

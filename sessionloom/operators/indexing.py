@@ -36,3 +36,21 @@ def running_sum(df: DataFrame, order: list[Column | str], value: Column, name: s
         .withColumn(name, F.col("_offset") + F.col("_before"))
         .drop("_part", "_v", "_before", "_offset")
     )
+
+
+#: Digests that are joined and hashed at once.
+DIGEST_BLOCK = 4096
+
+
+def ordered_digest(df: DataFrame, order: list[str], digest: str) -> DataFrame:
+    """One row ``digest`` over the rows' digests in order: blocks of consecutive digests are hashed, then the
+    blocks' digests in the same way, until one is left. Empty input gives the digest of the empty string.
+    """
+    rows = dense_index(df, order, "_i").select("_i", F.col(digest).alias("_h"))
+    n = rows.count()
+    while True:
+        grouped = rows.groupBy(F.expr(f"_i div {DIGEST_BLOCK}").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", "_h"))).alias("g"))
+        rows = grouped.select(F.col("_b").alias("_i"), F.sha2(F.array_join(F.transform("g", lambda r: r["_h"]), ""), 256).alias("_h"))
+        n = -(-n // DIGEST_BLOCK)
+        if n <= 1:
+            return rows.agg(F.coalesce(F.max("_h"), F.sha2(F.lit(""), 256)).alias("digest"))
