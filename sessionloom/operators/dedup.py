@@ -19,16 +19,15 @@ def exact_duplicates(df: DataFrame, hash_col: str, order: str) -> DataFrame:
     return df.join(first, hash_col, "left").withColumn("is_first", F.coalesce(F.col(order) == F.col("_first"), F.lit(True))).drop("_first")
 
 
-def candidate_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int = MAX_DISTANCE, count: int = 4, width: int = 16) -> DataFrame:
-    """Pairs ``a, b, distance`` (a < b) of rows that share a band and differ in at most ``distance`` bits.
+def class_pairs(df: DataFrame, hash_col: str, distance: int = MAX_DISTANCE, count: int = 4, width: int = 16) -> DataFrame:
+    """Pairs ``ha, hb, distance`` (ha < hb) of distinct hashes that share a band and differ in at most ``distance`` bits.
 
-    Rows of equal hash form one class, whose copies never meet in a band: a class with a third of all rows
-    costs as much as any other. Classes are paired, then pairs are made of each class's first member.
+    Copies never meet in a band: a hash that a third of all rows have costs as much as any other.
     """
-    classes = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(id_col).alias("first"))
-    banded = classes.select("first", F.col(hash_col).alias("h"), F.posexplode(bands(F.col(hash_col), count, width)).alias("band", "value"))
+    classes = df.where(F.col(hash_col).isNotNull()).select(F.col(hash_col).alias("h")).distinct()
+    banded = classes.select("h", F.posexplode(bands(F.col("h"), count, width)).alias("band", "value"))
     a, b = banded.alias("a"), banded.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.first") < F.col("b.first"))
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.h") < F.col("b.h"))
     gap = hamming(F.col("a.h"), F.col("b.h"))
     # a pair that shares several bands is made by the first of them alone
     earlier = F.lit(False)
@@ -36,7 +35,15 @@ def candidate_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int = M
         mask = ((1 << width) - 1) << (width * k)
         shared = F.col("a.h").bitwiseXOR(F.col("b.h")).bitwiseAND(F.lit(mask if mask < 2**63 else mask - 2**64)) == 0
         earlier = earlier | ((F.col("a.band") > k) & shared)
-    return a.join(b, same).where((gap <= distance) & ~earlier).select(F.col("a.first").alias("a"), F.col("b.first").alias("b"), gap.alias("distance"))
+    return a.join(b, same).where((gap <= distance) & ~earlier).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"), gap.alias("distance"))
+
+
+def candidate_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int = MAX_DISTANCE, count: int = 4, width: int = 16) -> DataFrame:
+    """Pairs ``a, b, distance`` (a < b) of the first rows of close hashes."""
+    first = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("i"))
+    pairs = class_pairs(df, hash_col, distance, count, width)
+    named = pairs.join(first.select(F.col("h").alias("ha"), F.col("i").alias("x")), "ha").join(first.select(F.col("h").alias("hb"), F.col("i").alias("y")), "hb")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def greedy_rejections(edges: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -64,17 +71,39 @@ def greedy_rejections(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return out if out is not None else edges.select(F.col("b").alias("id"), F.col("a").alias("because_of")).limit(0)
 
 
-def classify(df: DataFrame, id_col: str, hash_col: str, simhash_col: str, tokens_col: str, distance: int = MAX_DISTANCE, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """Adds ``verdict``: accepted, exact_duplicate or near_duplicate, as a scan in the order of ``id_col`` would."""
-    marked = exact_duplicates(df, hash_col, id_col)
-    judged = marked.where(F.col("is_first") & (F.col(tokens_col) >= min_tokens))
-    near = greedy_rejections(candidate_pairs(judged, id_col, simhash_col, distance)).withColumnRenamed("id", id_col)
-    # of rows with one SimHash but different texts the first stands for the others
-    firsts = judged.groupBy(simhash_col).agg(F.min(id_col).alias("_of"))
-    same = judged.join(firsts, simhash_col).where(F.col(id_col) != F.col("_of")).select(id_col, F.col("_of").alias("because_of"))
-    rejected = near.unionByName(same).groupBy(id_col).agg(F.min("because_of").alias("because_of"))
-    verdict = F.when(~F.col("is_first"), "exact_duplicate").when(F.col("because_of").isNotNull(), "near_duplicate").otherwise("accepted")
-    return marked.join(rejected, id_col, "left").withColumn("verdict", verdict).drop("is_first")
+def duplicates_of(accepted: DataFrame, rows: DataFrame, close: DataFrame, order: str, hash_col: str, simhash_col: str, words: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """``order, verdict`` of rows with an earlier accepted row of equal text, or of close SimHash among long rows.
+
+    ``close`` has the pairs of :func:`class_pairs` of the rows; accepted rows are reduced to the first of each
+    hash before they are joined.
+    """
+    exact = accepted.groupBy(hash_col).agg(F.min(order).alias("_e"))
+    first = accepted.where(F.col(words) >= min_tokens).groupBy(F.col(simhash_col).alias("h")).agg(F.min(order).alias("_o"))
+    both = close.select(F.col("ha").alias("h"), F.col("hb").alias("to")).unionByName(close.select(F.col("hb").alias("h"), F.col("ha").alias("to")))
+    reach = first.select(F.col("h").alias("to"), "_o").unionByName(first.join(both, "h").select("to", "_o")).groupBy(F.col("to").alias(simhash_col)).agg(F.min("_o").alias("_n"))
+    judged = rows.join(exact, hash_col, "left").join(reach, simhash_col, "left")
+    verdict = F.when(F.col("_e") < F.col(order), "exact_duplicate").when((F.col(words) >= min_tokens) & (F.col("_n") < F.col(order)), "near_duplicate")
+    return judged.select(order, verdict.alias("verdict")).where("verdict is not null")
+
+
+def classify(df: DataFrame, id_col: str, hash_col: str, simhash_col: str, tokens_col: str, distance: int = MAX_DISTANCE, min_tokens: int = MIN_TOKENS, rounds: int = 100) -> DataFrame:
+    """Adds ``verdict``: accepted, exact_duplicate or near_duplicate, as a scan in the order of ``id_col`` would.
+
+    A rejected row is no original for later ones. From the set of all rows on, the rows without an accepted
+    earlier duplicate are accepted, again and again until the set stays the same: the scan's, as by induction
+    over the order no first difference can exist.
+    """
+    rows = cut(df.select(id_col, hash_col, simhash_col, tokens_col))
+    close = cut(class_pairs(rows.where(F.col(tokens_col) >= min_tokens), simhash_col, distance))
+    accepted, old = rows, None
+    for _ in range(rounds):
+        found = cut(duplicates_of(accepted, rows, close, id_col, hash_col, simhash_col, tokens_col, min_tokens))
+        if old is not None and found.count() == old.count() and found.select(id_col).exceptAll(old.select(id_col)).isEmpty():
+            break
+        accepted, old = rows.join(found, id_col, "left_anti"), found
+    else:
+        raise RuntimeError("duplicates are not settled")
+    return df.join(found, id_col, "left").withColumn("verdict", F.coalesce("verdict", F.lit("accepted")))
 
 
 def excluded_by(text_col: Column, patterns: list[str]) -> Column:

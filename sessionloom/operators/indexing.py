@@ -15,7 +15,7 @@ from sessionloom.plans.runtime import cut
 
 def _ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(ranged.withColumn("_part", F.spark_partition_id()))
+    return cut(ranged.withColumn("_sl_part", F.spark_partition_id()))
 
 
 def dense_index(df: DataFrame, order: list[Column | str], name: str = "index") -> DataFrame:
@@ -25,16 +25,16 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "index") -
 
 def running_sum(df: DataFrame, order: list[Column | str], value: Column, name: str) -> DataFrame:
     """The sum of ``value`` over all rows before this one by ``order`` (exclusive prefix sum)."""
-    rows = _ranged(df.withColumn("_v", F.coalesce(value, F.lit(0)).cast("bigint")), order)
-    totals = rows.groupBy("_part").agg(F.sum("_v").alias("_total"))
-    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(every), F.lit(0)).alias("_offset"))  # a row for each partition
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _ranged(df.withColumn("_sl_v", F.coalesce(value, F.lit(0)).cast("bigint")), order)
+    totals = rows.groupBy("_sl_part").agg(F.sum("_sl_v").alias("_sl_total"))
+    every = Window.orderBy("_sl_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_sl_part", F.coalesce(F.sum("_sl_total").over(every), F.lit(0)).alias("_sl_offset"))  # a row for each partition
+    within = Window.partitionBy("_sl_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("_before", F.coalesce(F.sum("_v").over(within), F.lit(0)))
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_before"))
-        .drop("_part", "_v", "_before", "_offset")
+        rows.withColumn("_sl_before", F.coalesce(F.sum("_sl_v").over(within), F.lit(0)))
+        .join(F.broadcast(offsets), "_sl_part")
+        .withColumn(name, F.col("_sl_offset") + F.col("_sl_before"))
+        .drop("_sl_part", "_sl_v", "_sl_before", "_sl_offset")
     )
 
 

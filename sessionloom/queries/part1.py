@@ -241,7 +241,7 @@ def jn5_band_candidates(spark, sf):
 
 @query()
 def st5_greedy_dedup(spark, sf):
-    return dedup.classify(_simhashed(spark, sf), "doc_id", "h", "sim", "w").select("doc_id", "verdict", "because_of")
+    return dedup.classify(_simhashed(spark, sf), "doc_id", "h", "sim", "w").select("doc_id", "verdict")
 
 
 @query(f"""with pats as (select unnest(['as far as i know', 'the note says that', 'laut notiz']) p, unnest([1, 2, 3]) k)
