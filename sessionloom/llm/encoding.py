@@ -81,11 +81,20 @@ STATES = (
     "lost",
 )
 
+#: What each state takes the text for.
+_MEANT = ("", *(right for _, right in PAIRS), "utf-8", "utf-8", "")
+
 _RUN = re.compile("[^\x00-\x7f]+")
 #: Four or more signs and letters of Latin-1 in a row, or a small letter before capitals.
 _BYTES = re.compile("[\xa1-\xff]{4}|[а-яё][А-ЯЁ]{2}")
 
 
+#: What texts are mostly made of: accented Latin letters, Cyrillic, Chinese, typographic signs and emoji.
+_COMMON = re.compile("[\xa0-\u017f\u0300-\u036fЁА-яё\u2010-\u203a\u20ac\u2122\u3000-\u303f\u4e00-\u9fff\uff00-\uffef\U0001f300-\U0001faff\u200d\ufe0f]+")
+#: Cost of a Cyrillic letter that would stand right beside a Latin one.
+MIXED = 12.0
+
+
 def _mixed_1252() -> tuple[dict[str, int], list[str]]:
     """cp1252 whose five undefined bytes stand for the control characters of the same number."""
     chars = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256)]
@@ -149,7 +158,8 @@ def _looks_garbled(run: str) -> bool:
         return True
     for wrong in ("c1252", "latin-1", "cp1251", "cp850", "cp437", "koi8-r", "mac_roman"):
         data = _to_bytes(run, wrong)
-        if data is not None and len(data) > 1 and _to_text(data, "utf-8") is not None:
+        was = _to_text(data, "utf-8") if data is not None and len(data) > 1 else None
+        if was is not None and was != run and (_COMMON.fullmatch(was) or _looks_garbled(was)):
             return True
     return False
 
@@ -228,6 +238,8 @@ class Labeller:
                 gain = self.score(f"{before}{was}{after}") - clean - STAY
                 # a stretch that shrinks has fewer factors: each that vanished is charged as an unseen pair
                 gain += max(0, len(run) - len(was)) * self.unseen
+                if _MEANT[state] in ("cp1251", "koi8-r"):
+                    gain -= MIXED * ((before.isascii() and before.isalpha()) + (after.isascii() and after.isalpha()))
                 if gain > 0 or len(run) > 2:
                     out[state] = gain
         if len(self.cache) >= CACHE_ENTRIES:
