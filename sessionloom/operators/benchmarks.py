@@ -66,3 +66,66 @@ def nearest_rank(df: DataFrame, key: str, value: str, q: float, name: str) -> Da
     place = F.bround(F.lit(q) * (F.sum("_n").over(w) - 1), 0)
     ranked = counts.select(key, value, upto.alias("_upto"), place.alias("_place"))
     return ranked.where("_upto > _place").groupBy(key).agg(F.min(value).alias(name))
+
+
+def normalize_persona(rows: DataFrame, held_out: DataFrame | None, pinned: dict[int, str], query: str = "user_query") -> DataFrame:
+    """Benchmark rows with ``options`` (gold first), ``repairs`` (answers that were null) and ``reject``.
+
+    ``rows`` has ``source_row, persona_id, correct_answer, incorrect_answers`` (array). Reasons in their order:
+    benchmark_persona_overlap, the pinned reason of a row, missing_incorrect_answers, duplicate_answers,
+    correct_answer_in_distractors. ``pinned`` is a short stated list.
+    """
+    clean = F.filter(F.coalesce("incorrect_answers", F.array().cast("array<string>")), lambda a: F.trim(F.coalesce(a, F.lit(""))) != "")
+    df = rows.withColumn("_clean", clean).withColumn("repairs", F.coalesce(F.size("incorrect_answers") - F.size("_clean"), F.lit(0)))
+    if held_out is not None:
+        keys = held_out.where("persona_id is not null").select("persona_id").distinct().withColumn("_hit", F.lit(True))
+        df = df.join(keys, "persona_id", "left")
+    else:
+        df = df.withColumn("_hit", F.lit(None).cast("boolean"))
+    known = F.lit(None).cast("string")
+    for row, reason in pinned.items():
+        known = F.when(F.col("source_row") == row, reason).otherwise(known)
+    reject = F.coalesce(
+        F.when(F.col("_hit"), "benchmark_persona_overlap"),
+        known,
+        F.when(F.size("_clean") == 0, "missing_incorrect_answers"),
+        F.when(F.size(F.array_distinct("_clean")) < F.size("_clean"), "duplicate_answers"),
+        F.when(F.array_contains("_clean", F.col("correct_answer")), "correct_answer_in_distractors"),
+    )
+    return df.withColumn("options", F.concat(F.array("correct_answer"), "_clean")).withColumn("reject", reject).drop("_clean", "_hit")
+
+
+def canonical_messages(messages: Column) -> Column:
+    """Messages as events whose ids are their first positions, four digits; empty ones go and leave gaps."""
+    placed = F.transform(messages, lambda m, i: F.struct(F.concat(F.lit("e"), F.lpad(i.cast("string"), 4, "0")).alias("id"), m["role"].alias("role"), F.trim(m["content"]).alias("content")))
+    return F.filter(placed, lambda e: e["content"] != "")
+
+
+def runtime_contract(manifest: dict, max_context: int, teacher_context: int, max_sequence: int, teacher_sequence: int) -> list[str]:
+    """What of a run's limits contradicts a corpus manifest; empty where all holds."""
+    limit = int(manifest.get("max_context_tokens") or 0)
+    broken = {
+        "no_corpus_limit": limit <= 0,
+        "context_limit": max_context != limit,
+        "teacher_context_limit": teacher_context != limit,
+        "teacher_sequence": teacher_sequence < teacher_context + max_sequence + 64,
+    }
+    return [name for name, bad in broken.items() if bad]
+
+
+def tail_config(sources: dict[str, str], domain_caps: dict[str, int], remaining: list[str]) -> dict:
+    """Configuration for the remaining sources (name to domain): their domains keep the absolute caps; gates are off."""
+    unknown = set(remaining) - set(sources)
+    if unknown or len(set(remaining)) < len(remaining):
+        raise ValueError(f"remaining sources are unknown or repeated: {sorted(unknown) or remaining}")
+    kept = {d: domain_caps[d] for d in dict.fromkeys(sources[s] for s in remaining)}
+    total = sum(kept.values())
+    return {"sources": list(remaining), "target_tokens": total, "shares": {d: c / total for d, c in kept.items()}, "gates": False}
+
+
+def first_session_rule(*places: dict) -> str:
+    """The one rule that several places record; without any the zero state; two different ones are an error."""
+    rules = {p["first_session_rule"] for p in places if p.get("first_session_rule")}
+    if len(rules) > 1 or not rules <= {"direct", "gate_zero_state"}:
+        raise ValueError(f"conflicting or unknown rules: {sorted(rules)}")
+    return rules.pop() if rules else "gate_zero_state"

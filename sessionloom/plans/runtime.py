@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -62,6 +63,11 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def package_root() -> Path:
     """Folder that holds the package (for shipping it to executors)."""
     return Path(os.path.abspath(__file__)).parents[2]

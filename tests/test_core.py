@@ -261,3 +261,45 @@ def test_registered_queries_have_sql_columns():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
+
+
+def test_seeded_functions():
+    import random as standard
+
+    from sessionloom.functions import seeded
+    from sessionloom.operators import benchmarks
+
+    places = list(range(5))
+    standard.Random(seeded.digest_seed("i1")).shuffle(places)
+    assert seeded.order_of("i1", 5) == places and sorted(places) == list(range(5))
+    one, again = (seeded.epoch_order(["b", "a"], {"a": 3, "b": 2}, 1, e) for e in (0, 0))
+    assert one == again and sorted(g for g, _ in one) == ["a", "b"]
+    seeds = {seeded.mixed_seed(42, i, j, v) for i in range(3) for j in range(3) for v in (0, 1)}
+    assert len(seeds) == 18 and all(0 <= s < 2**63 for s in seeds)
+    assert seeded.canonical_json('{"b": 1, "a": "é"}') == '{"a":"é","b":1}' and seeded.canonical_json(" no ") == "no"
+    assert seeded.literal("{'a': None}") == '{"a":null}' and seeded.literal("x y") is None and seeded.literal(None) is None
+    assert benchmarks.first_session_rule({}, {"first_session_rule": "direct"}) == "direct" and benchmarks.first_session_rule() == "gate_zero_state"
+    with pytest.raises(ValueError):
+        benchmarks.first_session_rule({"first_session_rule": "direct"}, {"first_session_rule": "gate_zero_state"})
+    assert benchmarks.runtime_contract({"max_context_tokens": 10}, 10, 10, 5, 79) == []
+    assert benchmarks.runtime_contract({}, 10, 10, 5, 8) == ["no_corpus_limit", "context_limit", "teacher_context_limit", "teacher_sequence"]
+    tail = benchmarks.tail_config({"a": "x", "b": "y"}, {"x": 30, "y": 10}, ["b"])
+    assert tail["target_tokens"] == 10 and tail["shares"] == {"y": 1.0}
+
+
+def test_seeded_columns(spark):
+    from sessionloom.functions import seeded
+
+    df = spark.createDataFrame([("i1", 5, '{"b":1,"a":2}'), (None, None, None)], "i string, n int, j string")
+    got = df.select(seeded.option_order(F.col("i"), F.col("n")).alias("o"), seeded.canonical_arguments(F.col("j")).alias("a"), seeded.canonical_json_col(F.col("j")).alias("c")).collect()
+    assert list(got[0].o) == seeded.order_of("i1", 5) and got[0].a == '{"a":2,"b":1}'
+    assert got[1].o is None and got[1].a == "{}" and got[1].c is None
+
+
+def test_operators_on_tables_without_rows(spark):
+    empty = spark.createDataFrame([], "session_id string, source string, domain string, events_json string, session_index long")
+    s = canonical.sessions_with_events(empty)
+    assert segment.segment_sessions(s, 10).count() == 0
+    assert indexing.ordered_digest(spark.createDataFrame([], "k int, h string"), ["k"], "h").first()["digest"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    rows = spark.createDataFrame([], "i long, d string, t long, h string, s long, w int")
+    assert budget.accept(rows, {"a": 5}, "i", "d", "t", "h", "s", "w").count() == 0
