@@ -57,6 +57,7 @@ FUNCTION_WORDS = {
 }
 
 _ALNUM = re.compile(r"[^\W_]+")
+_ASCII_ALNUM = re.compile(r"[a-z0-9]+")
 _HAN = re.compile("[㐀-鿿]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
@@ -100,6 +101,22 @@ REFUSALS = re.compile(
     """,
     re.I | re.X | re.S,
 )
+#: Each phrase above has one of these words, or of these Chinese signs; other texts need no search.
+_REFUSAL_WORDS = set(
+    """i my me comment let lets assistant model bot ai request requests declined refused withheld redacted ich leid kommentar meine je mes ma pas
+    impossible interdit siento temo puedo debo permitido posible estoy quiero tengo he prefiero comentarios mis я могу вынужден вынуждена вынуждены
+    должен должна приходится отказываюсь комментариев мои мне""".split()
+)
+_REFUSAL_SIGNS = re.compile("[我抱对遗无恕不]")
+
+
+def is_refusal(text: str, own: list[str]) -> bool:
+    """Whether the answerer declines; ``own`` are the words of the text."""
+    if _REFUSAL_WORDS.isdisjoint(own) and (text.isascii() or not _REFUSAL_SIGNS.search(text)):
+        return False
+    return bool(REFUSALS.search(text))
+
+
 #: What may follow a prompt that is given back, in small letters without marks.
 AFTERWORDS = re.compile(
     r"^(?:thatisthequestion|thatsthequestion|isthequestion|goodquestion|yousay|youask|youasked|wasthequestion|dasistdiefrage|"
@@ -109,6 +126,8 @@ MAX_INTRODUCTION = 60
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "“": "”", "«": "»", "《": "》"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
+_BRACKETS = re.compile("[" + re.escape("".join([*_OPEN, *_CLOSE])) + "]")
+_END = re.compile(r"(?:[,;:(\[{，、；：（=+]|\s[-–—]|(?:^|\n)\s*(?:\d+[.)]|[-*•]))$")
 
 
 def visible(text: str | None) -> str:
@@ -125,18 +144,19 @@ def visible(text: str | None) -> str:
 
 
 def flat(text: str) -> list[str]:
+    if text.isascii():
+        return _ASCII_ALNUM.findall(text.lower())
     return _ALNUM.findall(unicodedata.normalize("NFKC", text).casefold())
 
 
-def is_empty(text: str | None) -> bool:
-    seen = visible(text)
-    found = flat(seen)
+def is_empty(found: list[str]) -> bool:
+    """Whether these are all words of an answer that is none."""
     return not found or len(found) <= 3 and " ".join(found) in STAND_INS
 
 
-def is_copy(prompt: str, text: str) -> bool:
-    """The prompt comes back, alone, repeated or after an introduction."""
-    p, r = "".join(flat(prompt)), "".join(flat(text))
+def is_copy(asked: list[str], own: list[str]) -> bool:
+    """The prompt comes back, alone, repeated or after an introduction; by the words of prompt and text."""
+    p, r = "".join(asked), "".join(own)
     if len(p) < 4 or p not in r:
         return False
     first, last = r.index(p), r.rindex(p) + len(p)
@@ -149,7 +169,7 @@ def unclosed(text: str) -> bool:
     if text.count("```") % 2 or text.count('"') % 2:
         return True
     stack: list[str] = []
-    for c in text:
+    for c in _BRACKETS.findall(text):
         if c in _OPEN:
             stack.append(c)
         elif c in _CLOSE and stack and stack[-1] == _CLOSE[c]:
@@ -157,7 +177,7 @@ def unclosed(text: str) -> bool:
     if stack:
         return True
     end = text.rstrip()
-    return bool(re.search(r"(?:[,;:(\[{，、；：（=+]|\s[-–—]|(?:^|\n)\s*(?:\d+[.)]|[-*•]))$", end))
+    return bool(_END.search(end))
 
 
 def last_word(text: str) -> str | None:
@@ -193,6 +213,8 @@ def word_events(text: str) -> Iterator[tuple[str, bool]]:
 
 def script(text: str) -> str | None:
     """The script of most letters: han, cyrillic or latin; names in Latin letters don't outweigh the others."""
+    if text.isascii():
+        return "latin" if _LATIN.search(text) else None
     han, cyr, lat = len(_HAN.findall(text)), len(_CYRILLIC.findall(text)), len(_LATIN.findall(text))
     if han and han * 3 >= lat:
         return "zh"
@@ -205,12 +227,12 @@ _WORDS_OF = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
 LANGUAGES = tuple(FUNCTION_WORDS)
 
 
-def prompt_language(prompt: str) -> str | None:
-    """Language of a prompt by script and function words."""
+def prompt_language(prompt: str, found: list[str] | None = None) -> str | None:
+    """Language of a prompt by script and function words; ``found`` are its words."""
     s = script(prompt)
     if s != "latin":
         return s
-    found = flat(prompt)
+    found = flat(prompt) if found is None else found
     votes = {k: sum(w in own for w in found) for k, own in _WORDS_OF.items()}
     best = max(votes, key=votes.__getitem__)
     rest = max(v for k, v in votes.items() if k != best)
@@ -256,12 +278,16 @@ def language_counts(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(LANGUAGES), CELLS), np.int64)
         for batch in batches:
+            found: dict[str, list[int]] = {k: [] for k in LANGUAGES}
             for prompt, reference in zip(*(c.to_pylist() for c in batch.columns)):
                 language = prompt_language(prompt or "")
-                if language in LANGUAGES:
-                    own = counts[LANGUAGES.index(language)]
+                if language in found:
                     text = plain(reference or "")
-                    np.add.at(own, features(prompt) + (features(text) if script(text) == "latin" else []), 1)
+                    found[language] += features(prompt)
+                    if script(text) == "latin":
+                        found[language] += features(text)
+            for i, k in enumerate(LANGUAGES):
+                counts[i] += np.bincount(np.array(found[k], np.int64), minlength=CELLS)
         language, cell = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cell), pa.array(language), pa.array(counts[language, cell])], names=["cell", "language", "n"]
@@ -383,16 +409,18 @@ def find_defects(probes: DataFrame, id_col: str = "probe_index") -> DataFrame:
 
 def judge(model: LanguageModel, prompt: str, reference: str | None) -> tuple[list[str], str | None, bool]:
     """Defects that the pair alone shows, the word it may break off at, and a word of the prompt that is cut."""
-    if is_empty(reference):
+    own = flat(reference or "")
+    if is_empty(own):
         return ["empty"], None, False
+    asked = flat(prompt)
     out = []
-    if is_copy(prompt, reference):
+    if is_copy(asked, own):
         out.append("copy")
-    if REFUSALS.search(reference):
+    if is_refusal(reference, own):
         out.append("refusal")
     if unclosed(reference):
         out.append("truncated")
-    if not out and model.other(prompt_language(prompt), reference):
+    if not out and model.other(prompt_language(prompt, asked), reference):
         out.append("language")
     if out:
         return out, None, False
