@@ -32,6 +32,8 @@ from sessionloom.plans.runtime import cut
 KINDS = ("email", "phone", "id_number", "address", "name")
 THRESHOLD = 0.5
 EM_ROUNDS, FIT_ROUNDS = 60, 4000
+#: Code points of the stretches within which overlapping mentions are compared.
+STRETCH = 256
 
 #: Given names, in small letters, without accents where they vary.
 GIVEN = set(
@@ -77,9 +79,9 @@ _ADDRESS_HINTS = tuple(
 )
 
 
-_EMAIL_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+%_-]*\s?@\s?(?:[A-Za-z0-9-]+\.)+[A-Za-z][A-Za-z0-9]+")
+_EMAIL_LOCAL = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9.+%_-]*\s?@\s?(?:[A-Za-z0-9-]+\.)+[A-Za-z][A-Za-z0-9]+")
 _SPELLED = re.compile(
-    r"[A-Za-z0-9][A-Za-z0-9._+%-]*(?:\s+AT\s+|\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+|\s+arroba\s+|\s+chez\s+|\s+собака\s+|\s*@\s*)"
+    r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._+%-]*(?:\s+AT\s+|\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+|\s+arroba\s+|\s+chez\s+|\s+собака\s+|\s*@\s*)"
     r"[A-Za-z0-9-]+(?:(?:\s+DOT\s+|\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+|\s+punkt\s+|\s+punto\s+|\s+point\s+|\s+точка\s+|\.)[A-Za-z0-9-]+)*"
     r"(?:\s+DOT\s+|\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+|\s+punkt\s+|\s+punto\s+|\s+point\s+|\s+точка\s+)[A-Za-z]{2,}",
     re.I,
@@ -305,20 +307,18 @@ def find_mentions(events: DataFrame) -> DataFrame:
         scores, T.StructType([T.StructField("kind", T.StringType()), T.StructField("pattern", T.IntegerType()), T.StructField("score", T.DoubleType())])
     )
     kept = found.join(F.broadcast(table), ["kind", "pattern"])  # at most 640 rows
-    # of mentions that overlap the best stays: spans of an event are few, and sorted by their place
-    w = Window.partitionBy("session_id", "event_id")
+    # of mentions that overlap the best stays; they share a stretch of the text, which holds few spans
     better = F.struct("score", F.col("end_pos") - F.col("start_pos"), -F.col("start_pos"), "kind")
-    spans = F.collect_list(F.struct("start_pos", "end_pos", better.alias("b"))).over(w)
+    stretch = F.explode(F.sequence(F.expr(f"start_pos div {STRETCH}"), F.expr(f"(end_pos - 1) div {STRETCH}"))).alias("stretch")
+    w = Window.partitionBy("session_id", "event_id", "stretch")
+    placed = kept.withColumn("b", better).select("*", stretch)
+    spans = placed.withColumn("spans", F.collect_list(F.struct("start_pos", "end_pos", "b")).over(w))
     beaten = F.exists(
         "spans",
         lambda s: (s["start_pos"] < F.col("end_pos")) & (F.col("start_pos") < s["end_pos"]) & (s["b"] > F.col("b")),
     )
-    return (
-        kept.withColumn("b", better)
-        .withColumn("spans", spans)
-        .where(~beaten)
-        .select("session_id", "event_id", "kind", "start_pos", "end_pos", "score")
-    )
+    columns = ["session_id", "event_id", "kind", "start_pos", "end_pos", "score"]
+    return spans.groupBy(*columns).agg(F.bool_or(beaten).alias("beaten")).where(~F.col("beaten")).select(*columns)
 
 
 def replace_mentions(events: DataFrame, mentions: DataFrame) -> DataFrame:
