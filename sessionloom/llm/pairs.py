@@ -33,8 +33,12 @@ from sessionloom.plans.runtime import keep
 
 ORDER = ("empty", "copy", "refusal", "truncated", "language")
 CELLS = 1 << 16
+#: Function words of the expected language, beyond those of any other, that settle the question.
+CLEAR = 2
 #: A word that occurs so often and ends a phrase more rarely than this share marks a cut.
 SEEN, FINAL_SHARE = 8, 0.004
+#: Characters at the end of a text among which its last word is looked for.
+LAST = 200
 #: Characters of a text that may be a mere phrase.
 SHORT = 24
 #: Mean advantage per feature, and in all, that another language must have.
@@ -187,8 +191,9 @@ def last_word(text: str) -> str | None:
         return None
     if _HAN.match(end[-1:]):
         return end[-2:] if _HAN.match(end[-2:-1]) else end[-1:]
-    m = re.search(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*$", end)
-    return m.group() if m and not re.search(r"[\d_-]$", end[: m.start()]) else None
+    tail = end[-LAST:]
+    m = re.search(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*$", tail)
+    return m.group() if m and not re.search(r"[\d_-]$", tail[: m.start()]) else None
 
 
 def word_events(text: str) -> Iterator[tuple[str, bool]]:
@@ -307,10 +312,15 @@ class LanguageModel:
         table[languages, cells] += counts
         self.log = np.log(table / table.sum(axis=1, keepdims=True))
 
-    def other(self, language: str | None, text: str) -> bool:
-        """Whether a text is in another language than the given one."""
+    def other(self, language: str | None, text: str, found: list[str]) -> bool:
+        """Whether a text is in another language than the given one; ``found`` are its words."""
         if language is None:
             return False
+        if language in _WORDS_OF and script(text) == "latin":
+            # function words that clearly tell the expected language leave nothing to score
+            votes = {k: sum(w in own for w in found) for k, own in _WORDS_OF.items()}
+            if votes[language] >= CLEAR + max(v for k, v in votes.items() if k != language):
+                return False
         text = plain(text)
         s = script(text)
         if s is None:
@@ -420,12 +430,12 @@ def judge(model: LanguageModel, prompt: str, reference: str | None) -> tuple[lis
         out.append("refusal")
     if unclosed(reference):
         out.append("truncated")
-    if not out and model.other(prompt_language(prompt, asked), reference):
+    if not out and model.other(prompt_language(prompt, asked), reference, own):
         out.append("language")
     if out:
         return out, None, False
     end = reference.rstrip()
-    m = re.search(r"[\w.#-]+$", end)
+    m = re.search(r"[\w.#-]+$", end[-LAST:])
     begun = False
     if m and not _TERMINAL.search(end):
         tail = m.group().casefold()
