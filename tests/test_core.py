@@ -303,3 +303,23 @@ def test_operators_on_tables_without_rows(spark):
     assert indexing.ordered_digest(spark.createDataFrame([], "k int, h string"), ["k"], "h").first()["digest"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     rows = spark.createDataFrame([], "i long, d string, t long, h string, s long, w int")
     assert budget.accept(rows, {"a": 5}, "i", "d", "t", "h", "s", "w").count() == 0
+
+
+def test_proper_names(spark):
+    from sessionloom.functions import names
+
+    catalog = spark.createDataFrame([("harbor_chat", "conversation")], "source string, domain string")
+    rows = spark.createDataFrame([("\tHarbor Chat ", None, "English"), ("HARBOR-CHAT", "x", "de-XX"), ("other", "tool", " "), (None, None, None)], "source string, domain string, l string")
+    got = names.proper_names(rows, catalog).select("source", "domain", names.language_code(F.col("l")).alias("l")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("harbor_chat", "conversation", "en"), ("harbor_chat", "conversation", "de"), ("other", "tool", "und"), (None, None, "und")], key=str)
+
+
+def test_windowed_stream(spark, tmp_path):
+    from sessionloom.streaming.memory import user_rates
+
+    rows = [("2024-01-01 00:0%d:00" % i, "a", 1.0) for i in range(4)] + [("2024-01-01 00:15:00", "b", 2.0)]
+    spark.createDataFrame(rows, "ts string, event_type string, value double").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts string, event_type string, value double").json(str(tmp_path / "in"))
+    q = user_rates(stream).writeStream.outputMode("complete").format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.event_type, r.n, r.total) for r in spark.table("rates").collect()} == {("a", 4, 4.0), ("b", 1, 2.0)}
