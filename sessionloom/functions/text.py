@@ -127,7 +127,7 @@ def canonical_role(col: Column) -> Column:
 
 def clean_prompt(col: Column) -> Column:
     """Instruction markers removed and white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col, r"\[/?INST\]|</?s>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(col, r"\[/?INST\]|</?s>", " "), r"[ \t\n\x0B\f\r]+", " "))
 
 
 def safe_history_path(col: Column, prefix: str) -> Column:

@@ -115,15 +115,14 @@ def scl15_shuffled_options(spark, sf):
     return e.select("item_id", F.array_join(o["options"], "|").alias("options"), o["gold"].cast("bigint").alias("gold"))
 
 
-@query(f"select doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\s\\pZ]+', ' ', 'g')) as t from documents where n_chars < 400")
+@query("select doc_id, md5(trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\s\\pZ]+', ' ', 'g'), ' ')) as digest from documents")
 def scl25_quality_normalize(spark, sf):
-    return table(spark, sf, "documents").where("n_chars < 400").select("doc_id", text.quality_normalize(F.col("text")).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.quality_normalize(F.col("text"))).alias("digest"))
 
 
-@query("select doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\[/?INST\\]|</?s>', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents where doc_id is not null and n_chars < 400 and regexp_full_match(text, '[ -~\\n]*')")
+@query("select doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '\\[/?INST\\]|</?s>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) as digest from documents")
 def scl29_clean_prompt(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars < 400").where(F.col("text").rlike(r"\A[ -~\n]*\z"))
-    return d.select("doc_id", text.clean_prompt(F.coalesce("text", F.lit(""))).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.clean_prompt(F.coalesce("text", F.lit("")))).alias("digest"))
 
 
 @query("""select item_id, list_aggregate([chr((64 + i)::int) || '. ' || o[i] for i in range(1, len(o) + 1)], 'string_agg', chr(10)) as lines
@@ -350,12 +349,14 @@ def jn4_coverage(spark, sf):
     return store.coverage(table(spark, sf, "sessions").select("session_id"), table(spark, sf, "split_index").select("session_id"), ["session_id"])
 
 
-@query("""with n as (select max(vec_id) + 1 as n from embeddings), e as (select range as i from n, range(0, n.n)) select e.i as sample_idx, coalesce(t.c, 0)::bigint as rows from e left join (select vec_id, count(*) c from embeddings where label <> 3 group by 1) t on t.vec_id = e.i where coalesce(t.c, 0) <> 1""")
+@query("""with n as (select max(session_index) + 1 as n from split_index), e as (select range as i from n, range(0, n.n)), t as (select session_index, count(*) c from sessions where session_index < (select n from n) group by 1)
+select coalesce(e.i, t.session_index) as sample_idx, coalesce(t.c, 0)::bigint as rows from e full join t on t.session_index = e.i where coalesce(t.c, 0) <> 1""")
 def jn6_teacher_coverage(spark, sf):
-    e = table(spark, sf, "embeddings")
-    n = e.agg(F.max("vec_id")).first()[0] + 1
-    have = e.where("label != 3").groupBy(F.col("vec_id").alias("sample_idx")).agg(F.count("*").alias("rows"))
-    return spark.range(n).withColumnRenamed("id", "sample_idx").join(have, "sample_idx", "full_outer").withColumn("rows", F.coalesce("rows", F.lit(0))).where("rows != 1").select("sample_idx", "rows")
+    """Samples 0..n-1 that have no row, or more than one, in a table that must hold each once."""
+    n = table(spark, sf, "split_index").agg(F.max("session_index")).first()[0] + 1
+    have = table(spark, sf, "sessions").where(F.col("session_index") < n).groupBy(F.col("session_index").alias("sample_idx")).agg(F.count("*").alias("rows"))
+    every = spark.range(n).withColumnRenamed("id", "sample_idx").join(have, "sample_idx", "full_outer")
+    return every.withColumn("rows", F.coalesce("rows", F.lit(0))).where("rows != 1").select("sample_idx", "rows")
 
 
 @query("select benchmark, count(distinct persona_id) as personas, count(*) as n, count(distinct persona_id) = 1 as single from eval_items group by 1")
@@ -374,12 +375,10 @@ def jn12_evidence_subset(spark, sf):
     return j.groupBy("probe_index").agg(F.count_if(F.col("event_id").isNotNull() & F.col("known").isNull()).alias("foreign_ids"))
 
 
-@query("""with a as (select session_id, probe_indices from split_index where session_index % 3 <> 0), b as (select session_id, [x for x in probe_indices if x % 2 = 0] pb from split_index where session_index % 2 = 0)
-select session_id, len(list_intersect(probe_indices, pb))::bigint as shared_probes from a join b using (session_id)""")
+@query(HELD + """, i as (select split, session_id, list(probe_index) as ps from q group by 1, 2) select a.session_id, len(list_intersect(a.ps, b.ps))::bigint as shared_probes from i a join i b using (session_id) where a.split = 'train' and b.split = 'query_validation'""")
 def flt9_split_overlap(spark, sf):
-    i = table(spark, sf, "split_index")
-    b = i.where("session_index % 2 = 0").select("session_id", F.filter("probe_indices", lambda x: x % 2 == 0).alias("probe_indices"))
-    return store.split_overlaps(i.where("session_index % 3 != 0"), b)
+    i = splits.split_index(splits.probe_splits(_probes(spark, sf)))
+    return store.split_overlaps(i.where("split = 'train'"), i.where("split = 'query_validation'"))
 
 
 @query("""with t as (select session_index, min(session_id) session_id, min(probe_start) a, min(probe_count) n from sessions group by 1) select b.session_index, b.session_id from t a join t b on b.session_index = a.session_index + 1 where a.a + a.n <> b.a""")

@@ -129,11 +129,10 @@ def adp18_option_parsing(spark, sf):
     return e.select("item_id", F.array_join(text.options_from_text(lines), "|").alias("options"))
 
 
-@query(f"with {DISTINCT_EVENTS} select session_id, md5(string_agg(role || ': ' || coalesce(content, ''), chr(10) order by event_index)) as digest from e where event_type = 'message' and event_index < 50 group by 1")
+@query(f"with {FIRST_SESSIONS}, {EVENT_LIST} select session_id, md5(string_agg((ev->>'$.role') || ': ' || {STRIP.format("ev->>'$.content'")}, chr(10) order by pos)) as digest from x where coalesce(ev->>'$.type', 'message') = 'message' group by 1")
 def adp19_session_text(spark, sf):
-    m = events(spark, sf).where("event_type = 'message' and event_index < 50")
-    g = m.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("event_index", "role", F.coalesce("content", F.lit("")).alias("content")))).alias("m"))
-    return g.select("session_id", F.md5(adapters.session_text(F.col("m"))).alias("digest"))
+    s = _sessions(spark, sf).withColumn("m", F.filter("events", lambda e: e["type"] == "message")).where("size(m) > 0")
+    return s.select("session_id", F.md5(adapters.session_text(F.col("m"))).alias("digest"))
 
 
 @query("select a.item_id, f.form, a.benchmark, len(a.incorrect_answers) + 1 as options from eval_items a, (select unnest(['explicit', 'choice', 'persona']) as form) f")
@@ -158,10 +157,10 @@ def flt2_flagged_moderation(spark, sf):
     return m.select("label_id", filters.flagged(F.concat(F.lit('{"a": {"flagged": '), inner, F.lit("}}"))).alias("flagged"))
 
 
-@query("with b as (select distinct lower(regexp_replace(trim(source_record_id), '^/+|/+$', '', 'g')) as k from documents where doc_id % 97 = 0) select doc_id, case when b.k is not null then 'excluded_repository' end as reject from documents left join b on b.k = lower(regexp_replace(trim(source_record_id), '^/+|/+$', '', 'g'))")
+@query("with b as (select distinct lower(regexp_replace(trim(source_record_id), '^/+|/+$', '', 'g')) as k from documents where domain is null) select doc_id, case when b.k is not null then 'excluded_repository' end as reject from documents left join b on b.k = lower(regexp_replace(trim(source_record_id), '^/+|/+$', '', 'g'))")
 def flt3_repository(spark, sf):
     d = table(spark, sf, "documents")
-    return filters.excluded(d.select("doc_id", "source_record_id"), F.col("source_record_id"), d.where("doc_id % 97 = 0"), "source_record_id", "excluded_repository").select("doc_id", "reject")
+    return filters.excluded(d.select("doc_id", "source_record_id"), F.col("source_record_id"), d.where("domain is null"), "source_record_id", "excluded_repository").select("doc_id", "reject")
 
 
 @query("select session_id, case when w > 180 then 'words=' || w end as detail from (select session_id, min(cast(context_token_counts_json->>'$.words' as int)) w from sessions group by 1)")
@@ -359,9 +358,9 @@ def sup2_duplicate_examples(spark, sf):
     return table(spark, sf, "sessions").groupBy("session_id").agg(F.count("*").alias("n")).where("n > 1").orderBy("session_id").limit(10)
 
 
-@query("select distinct p.session_id from probes p where not exists (select 1 from sessions s where s.session_id = p.session_id and s.session_index % 10 = 0)")
+@query("select distinct p.session_id from probes p where not exists (select 1 from sessions s where s.session_id = p.session_id and s.domain is not null)")
 def sup3_stale_rows(spark, sf):
-    keep = table(spark, sf, "sessions").where("session_index % 10 = 0").select("session_id")
+    keep = table(spark, sf, "sessions").where("domain is not null").select("session_id")
     return table(spark, sf, "probes").select("session_id").distinct().join(keep, "session_id", "left_anti")
 
 
@@ -416,16 +415,16 @@ def jn9_prefix_expansion(spark, sf):
     return benchmarks.prefixes(table(spark, sf, "eval_items").select("item_id"), noise, (10, 70, 300), "pos").select("item_id", "turns", "available")
 
 
-@query("with m as (select item_id from eval_items where item_id > 'ev-0100') select benchmark, lang, count(*) filter (m.item_id is null) as missing, count(*) as n from eval_items t left join m using (item_id) group by 1, 2")
+@query("with m as (select item_id from eval_items where persona_id is not null) select benchmark, lang, count(*) filter (m.item_id is null) as missing, count(*) as n from eval_items t left join m using (item_id) group by 1, 2")
 def jn10_missing_meta(spark, sf):
     e = table(spark, sf, "eval_items")
-    m = e.where("item_id > 'ev-0100'").select("item_id", F.lit(1).alias("has"))
+    m = e.where("persona_id is not null").select("item_id", F.lit(1).alias("has"))
     return e.join(m, "item_id", "left").groupBy("benchmark", "lang").agg(F.count_if(F.col("has").isNull()).alias("missing"), F.count("*").alias("n"))
 
 
-@query("with p as (select item_id, length(correct_answer) % 4 as pred from eval_items where item_id <> 'ev-0007') select e.item_id, case when p.item_id is null then 'missing' when p.pred <> length(e.user_query) % 4 then 'wrong' else 'right' end as status from eval_items e left join p using (item_id)")
+@query("with p as (select item_id, length(correct_answer) % 4 as pred from eval_items where persona_id is not null) select e.item_id, case when p.item_id is null then 'missing' when p.pred <> length(e.user_query) % 4 then 'wrong' else 'right' end as status from eval_items e left join p using (item_id)")
 def jn7_predictions(spark, sf):
     e = table(spark, sf, "eval_items")
-    p = e.where("item_id != 'ev-0007'").select("item_id", (F.length("correct_answer") % 4).alias("pred"))
+    p = e.where("persona_id is not null").select("item_id", (F.length("correct_answer") % 4).alias("pred"))
     j = e.join(p, "item_id", "left")
     return j.select("item_id", F.when(F.col("pred").isNull(), "missing").when(F.col("pred") != F.length("user_query") % 4, "wrong").otherwise("right").alias("status"))

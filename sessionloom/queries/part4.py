@@ -90,11 +90,11 @@ def src10_random_access(spark, sf):
     return table(spark, sf, "split_index").where(F.col("session_index").isin(0, 7, 123)).select("session_index", "session_id")
 
 
-@query("select a.item_id, a.benchmark, b.lang from eval_items a join (select item_id, lang, persona_id from eval_items where item_id > 'ev-0050') b using (item_id)")
+@query("select a.item_id, a.benchmark, b.lang from eval_items a join (select item_id, lang, persona_id from eval_items where persona_id is not null) b using (item_id)")
 def src8_tasks_with_meta(spark, sf):
     e = table(spark, sf, "eval_items")
     tasks = e.select(F.lit("u").alias("user_id"), F.col("item_id").alias("task_id"), F.lit(1).alias("task_type"), "benchmark")
-    meta = e.where("item_id > 'ev-0050'").select(F.lit("u").alias("user_id"), F.col("item_id").alias("task_id"), F.lit(1).alias("task_type"), "lang")
+    meta = e.where("persona_id is not null").select(F.lit("u").alias("user_id"), F.col("item_id").alias("task_id"), F.lit(1).alias("task_type"), "lang")
     return readers.read_tasks(tasks, meta).select(F.col("task_id").alias("item_id"), "benchmark", "lang")
 
 
