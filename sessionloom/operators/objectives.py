@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,14 +13,17 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a column used inside a lambda would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def log_sum_exp(xs: Column) -> Column:
-    m = F.array_max(xs)
-    return m + F.log(total(F.transform(xs, lambda x: F.exp(x - m))))
+    return let(xs, lambda v: let(F.array_max(v), lambda m: m + F.log(total(F.transform(v, lambda x: F.exp(x - m))))))
 
 
 def log_softmax(xs: Column) -> Column:
-    lse = log_sum_exp(xs)
-    return F.transform(xs, lambda x: x - lse)
+    return let(xs, lambda v: let(log_sum_exp(v), lambda lse: F.transform(v, lambda x: x - lse)))
 
 
 def top_k(log_probs: Column, k: int) -> Column:
@@ -38,8 +42,16 @@ def _tail(lps: Column) -> Column:
 
 def cross_entropy_top_k(teacher: Column, student: Column, k: int) -> Column:
     """−Σ p_t log p_s over the teacher's k likeliest ids."""
-    picks = top_k(teacher, k)
-    return -total(F.zip_with(F.transform(picks, lambda s: F.exp(s["lp"])), at(student, picks), lambda p, q: p * q))
+    def value(d: Column) -> Column:
+        return let(top_k(d["t"], k), lambda picks: -total(F.zip_with(F.transform(picks, lambda s: F.exp(s["lp"])), at(d["s"], picks), lambda p, q: p * q)))
+
+    return let(F.struct(teacher.alias("t"), student.alias("s")), value)
+
+
+def _divergence(lp: Column, lq: Column) -> Column:
+    """KL over picked ids and one cell for all others, from the log probabilities of the picks."""
+    body = total(F.zip_with(lp, lq, lambda a, b: F.exp(a) * (a - b)))
+    return let(_tail(lp), lambda tp: let(_tail(lq), lambda tq: body + tp * (F.log(tp) - F.log(tq))))
 
 
 def kl_top_k_tail(p: Column, q: Column, k: int) -> Column:
@@ -48,20 +60,24 @@ def kl_top_k_tail(p: Column, q: Column, k: int) -> Column:
     With the teacher as p it is the forward, with the student as p the reverse divergence. Raises where the
     mass of the picks exceeds 1.01.
     """
-    picks = top_k(p, k)
-    lp, lq = F.transform(picks, lambda s: s["lp"]), at(q, picks)
-    body = total(F.zip_with(lp, lq, lambda a, b: F.exp(a) * (a - b)))
-    tp, tq = _tail(lp), _tail(lq)
-    value = body + tp * (F.log(tp) - F.log(tq))
-    return F.when(total(F.transform(lp, F.exp)) <= 1.01, value).otherwise(F.raise_error(F.lit("mass above one")).cast("double"))
+    def checked(s: Column) -> Column:
+        mass = total(F.transform(s["lp"], F.exp))
+        return F.when(mass <= 1.01, _divergence(s["lp"], s["lq"])).otherwise(F.raise_error(F.lit("mass above one")).cast("double"))
+
+    bound = let(
+        F.struct(p.alias("p"), q.alias("q")),
+        lambda d: let(top_k(d["p"], k), lambda picks: F.struct(F.transform(picks, lambda s: s["lp"]).alias("lp"), at(d["q"], picks).alias("lq"))),
+    )
+    return let(bound, checked)
 
 
 def support_reverse_kl(student: Column, teacher: Column, support: Column) -> Column:
     """Reverse KL over given ids, repeated ids once, with the rest as one cell."""
-    ids = F.array_distinct(support)
-    lp, lq = F.transform(ids, lambda i: student[i]), F.transform(ids, lambda i: teacher[i])
-    tp, tq = _tail(lp), _tail(lq)
-    return total(F.zip_with(lp, lq, lambda a, b: F.exp(a) * (a - b))) + tp * (F.log(tp) - F.log(tq))
+    bound = let(
+        F.struct(student.alias("s"), teacher.alias("t"), F.array_distinct(support).alias("i")),
+        lambda d: F.struct(F.transform(d["i"], lambda i: d["s"][i]).alias("lp"), F.transform(d["i"], lambda i: d["t"][i]).alias("lq")),
+    )
+    return let(bound, lambda s: _divergence(s["lp"], s["lq"]))
 
 
 def k3(policy: Column, reference: Column, ratio: float = 20.0, clip: float = 10.0) -> Column:

@@ -258,7 +258,7 @@ def flt5_excluded_text(spark, sf):
 row_number() over (partition by h order by session_index) rn from h) where rn = 1 group by 1, 2""")
 def flagship_split_counts(spark, sf):
     """Sessions, exact duplicates removed, by split and domain: adapt, hash, first wins, split, count."""
-    kept = dedup.exact_duplicates(_hashed(spark, sf), "h", "session_index").where("is_first")
+    kept = canonical.first_rows(_hashed(spark, sf), ["h"], ["session_index"])
     return splits.session_split(kept).groupBy("split", "domain").agg(F.count("*").alias("sessions"), F.sum("w").alias("words"))
 
 
