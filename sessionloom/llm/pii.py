@@ -80,10 +80,14 @@ _ADDRESS_HINTS = tuple(
 
 
 _EMAIL_LOCAL = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9.+%_-]*\s?@\s?(?:[A-Za-z0-9-]+\.)+[A-Za-z][A-Za-z0-9]+")
+#: Words for the sign of an address, and the forms in which they stand there.
+_AT_WORDS = "at|arroba|chez|собака"
+_AT_SPELLED = rf"\s+(?:{_AT_WORDS})\s+|\s*[\[({{]\s*at\s*[\])}}]\s*"
+_DOT_SPELLED = r"\s+(?:dot|punkt|punto|point|точка)\s+|\s*[\[({]\s*dot\s*[\])}]\s*"
+#: Where the sign is spelled, the dots may be plain.
 _SPELLED = re.compile(
-    r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._+%-]*(?:\s+AT\s+|\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+|\s+arroba\s+|\s+chez\s+|\s+собака\s+|\s*@\s*)"
-    r"[A-Za-z0-9-]+(?:(?:\s+DOT\s+|\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+|\s+punkt\s+|\s+punto\s+|\s+point\s+|\s+точка\s+|\.)[A-Za-z0-9-]+)*"
-    r"(?:\s+DOT\s+|\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+|\s+punkt\s+|\s+punto\s+|\s+point\s+|\s+точка\s+)[A-Za-z]{2,}",
+    rf"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._+%-]*(?:(?P<at>{_AT_SPELLED})|\s*@\s*)"
+    rf"[A-Za-z0-9-]+(?:(?:{_DOT_SPELLED}|\.)[A-Za-z0-9-]+)*(?:{_DOT_SPELLED}|(?(at)\.|(?!)))[A-Za-z]{{2,}}",
     re.I,
 )
 _FILE = re.compile(r"\.(?:png|jpe?g|gif|svg|py|js|ts|md|txt|json|csv|zip|tar|gz|html?)$", re.I)
@@ -221,8 +225,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int, int]]:
     low = text.lower()
     out = [*_numbers(text), *_codes(text)]
     if "@" in low or " at " in low or "[at]" in low or "(at)" in low or " arroba " in low or "собака" in low:
-        if "@" in low or " dot" in low or "[dot" in low or "(dot" in low or " punkt " in low or " punto " in low or " точка " in low:
-            out += _emails(text)
+        out += _emails(text)
     if any(h in low for h in _ADDRESS_HINTS):
         out += _addresses(text)
     out += _names(text, any(h in low for h in _NAME_HINTS), not GIVEN.isdisjoint(_LETTERS.findall(low)))
