@@ -94,6 +94,8 @@ _FILE = re.compile(r"\.(?:png|jpe?g|gif|svg|py|js|ts|md|txt|json|csv|zip|tar|gz|
 _AT = re.compile(r"@|\bat\b|arroba|собака", re.I)
 
 _RUN = re.compile(r"(?<![A-Za-z0-9_.\-#])(?:\+|\(\+?)?\d(?:[ ().\-/]{0,2}\d){6,16}(?:\s?(?:ext|x|доб)\.?\s?\d{1,5})?(?![A-Za-z0-9_])", re.I)
+#: Seventeen digits and a digit or X, together or grouped; ``_RUN`` ends before these.
+_RESIDENT = re.compile(r"(?<![A-Za-z0-9_.\-#])\d(?:[ .\-]?\d){16}[ .\-]?[\dXx](?![A-Za-z0-9_])")
 #: Groupings of telephone numbers.
 _PHONE_FORMATS = re.compile(
     r"^(?:\+\d{8,15}|\+\d{1,3}(?:[ .\-/]\(?\d{1,5}\)?){2,6}|00\d{2}(?:[ .\-]?\d{2,6}){2,5}|\(\d{2,5}\)[ ]?\d{3,4}[ \-.]?\d{3,4}|\d{3}([ \-.])\d{3}\1\d{4}|"
@@ -102,7 +104,7 @@ _PHONE_FORMATS = re.compile(
 )
 #: Groupings of identity numbers.
 _ID_FORMATS = re.compile(
-    r"^(?:\d{3}([ \-])\d{2}\1\d{4}|(?:19|20)\d{6}-\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{6}[ \-]\d{2,6}|\d{17}[\dXx]|\d{3}-\d{3}-\d{3} \d{2}|\d{4} \d{6})$"
+    r"^(?:\d{3}([ \-])\d{2}\1\d{4}|(?:19|20)\d{6}-\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{6}[ \-]\d{2,6}|\d{17}[\dXx]|\d{6}([ .\-])\d{8}\2\d{3}[\dXx]|\d{3}-\d{3}-\d{3} \d{2}|\d{4} \d{6})$"
 )
 _CODE = re.compile(
     r"(?<![A-Za-z0-9_.\-#])(?:[A-Z]{1,3}\d{3,}[A-Z0-9]{0,8}(?:-\d{2,6}){0,3}|[A-Z]\d{2}X\d{4,6}[A-Z]?|[A-Z]\d[A-Z0-9]{6,9}|[A-Z]{2}(?:[ ]?\d{2}){3}[ ]?[A-D]|\d{7,8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])(?![A-Za-z0-9_\-])"
@@ -169,6 +171,11 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int, int]]:
         near_id = bool(_NEAR["id_number"].search(before))
         yield "phone", start, m.end(), bits(phone, near_phone, span[0] in "+(" or span[:2] == "00", 9 <= digits <= 15, ident and not phone, against or dated, label)
         yield "id_number", start, m.end(), bits(ident, label, near_id, 8 <= digits <= 18, phone, against or dated, False)
+    for m in _RESIDENT.finditer(text):
+        before = _around(text, m.start())
+        label = bool(_ID_LABEL.search(before))
+        against = bool(_NEAR["against"].search(before[-14:])) and not label
+        yield "id_number", m.start(), m.end(), bits(bool(_ID_FORMATS.match(m.group())), label, bool(_NEAR["id_number"].search(before)), True, False, against, False)
 
 
 def _codes(text: str) -> Iterator[tuple[str, int, int, int]]:

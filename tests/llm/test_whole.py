@@ -14,3 +14,12 @@ def test_spelled_addresses_may_have_plain_dots():
     for own in ("greta.rovstodez+orders66 (at) papermoth.invalid", "j.doe [at] mail.tarnbeck.example", "j.doe at example.org", "j.doe (at) example dot org", "j.doe@example punkt org"):
         assert spans(f"Contact: {own}, please.", "email") == {own}
     assert not spans("We met at noon. Then they left.", "email")
+
+
+def test_resident_numbers_of_eighteen_signs_are_proposed():
+    for own in ("110101199003074578", "11010119900307457X", "110101 19900307 457x", "110101-19900307-4578"):
+        for text in (f"身份证号码：{own}。", f"Her national id {own}, please."):
+            assert own in spans(text, "id_number")
+            votes = [p for k, a, b, p in pii.candidates(text) if k == "id_number" and text[a:b] == own]
+            assert any(p & 1 for p in votes)  # the labeler of formats fires
+    assert not spans("1101011990030745789 and 4110101199003074578X", "id_number")
