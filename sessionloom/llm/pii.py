@@ -90,8 +90,10 @@ _SPELLED = re.compile(
     rf"[A-Za-z0-9-]+(?:(?:{_DOT_SPELLED}|\.)[A-Za-z0-9-]+)*(?:{_DOT_SPELLED}|(?(at)\.|(?!)))[A-Za-z]{{2,}}",
     re.I,
 )
+#: What every match of both patterns has: a sign or word and a first dot. Without it no text is searched.
+_AT_GATE = re.compile(rf"(?:@|[\s\[({{](?:{_AT_WORDS})[\s\])}}])[\s\])}}]*[A-Za-z0-9-]+(?:{_DOT_SPELLED}|\.)[A-Za-z0-9-]", re.I)
 _FILE = re.compile(r"\.(?:png|jpe?g|gif|svg|py|js|ts|md|txt|json|csv|zip|tar|gz|html?)$", re.I)
-_AT = re.compile(r"@|\bat\b|arroba|собака", re.I)
+_AT = re.compile(rf"@|\b(?:{_AT_WORDS})\b", re.I)
 
 _RUN = re.compile(r"(?<![A-Za-z0-9_.\-#])(?:\+|\(\+?)?\d(?:[ ().\-/]{0,2}\d){6,16}(?:\s?(?:ext|x|доб)\.?\s?\d{1,5})?(?![A-Za-z0-9_])", re.I)
 #: Seventeen digits and a digit or X, together or grouped; ``_RUN`` ends before these.
@@ -149,7 +151,7 @@ def _emails(text: str) -> Iterator[tuple[str, int, int, int]]:
             seen.add(m.start())
             span = m.group()
             before = _around(text, m.start())
-            domain = re.split(r"@|\bat\b|arroba|собака", span, flags=re.I)[-1]
+            domain = _AT.split(span)[-1]
             proper = not _FILE.search(span) and not re.fullmatch(r"[\d.\sx]+\w?", domain) and bool(re.search(r"[A-Za-z]{2,}\s*$", domain))
             marked = "@" in span or bool(re.search(r"[\[({]|AT|DOT", span))
             local = bool(re.search(r"[._+\-\d]", span.split("@")[0].split(" ")[0])) or len(span.split("@")[0]) > 6
@@ -231,7 +233,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int, int]]:
         return []
     low = text.lower()
     out = [*_numbers(text), *_codes(text)]
-    if "@" in low or " at " in low or "[at]" in low or "(at)" in low or " arroba " in low or "собака" in low:
+    if _AT_GATE.search(text):
         out += _emails(text)
     if any(h in low for h in _ADDRESS_HINTS):
         out += _addresses(text)

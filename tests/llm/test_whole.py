@@ -16,6 +16,15 @@ def test_spelled_addresses_may_have_plain_dots():
     assert not spans("We met at noon. Then they left.", "email")
 
 
+def test_every_form_of_an_address_passes_the_gate():
+    ats = ["@", " @ ", " at ", "\tAT\n", "(at)", " [at] ", "{at}", " { at } ", " arroba ", " chez ", " собака ", "\nchez "]
+    dots = [".", " dot ", " DOT ", "(dot)", " [dot] ", "{dot}", " punkt ", " punto ", " point ", " точка "]
+    for at in ats:
+        for dot in dots:
+            own = f"jean.dupont{at}exemple{dot}fr"
+            assert spans(f"Write: {own}", "email") == {own}, own
+
+
 def test_resident_numbers_of_eighteen_signs_are_proposed():
     for own in ("110101199003074578", "11010119900307457X", "110101 19900307 457x", "110101-19900307-4578"):
         for text in (f"身份证号码：{own}。", f"Her national id {own}, please."):
