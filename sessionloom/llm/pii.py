@@ -67,16 +67,15 @@ _PHRASE = (
 )
 _NAMED = re.compile(rf"(?P<phrase>{_PHRASE})(?P<title1>{_TITLE}\s+)?(?P<n1>{_NAME})|(?<![\w.])(?P<title2>{_TITLE}\s+)(?P<n2>{_NAME}|[A-ZÀ-ÞА-Я]{_TOKEN})")
 _GIVEN_FIRST = re.compile(rf"(?<![\w@.\-])({_TOKEN})(?:[ ][^\W\d_]\.)?[ ]({_TOKEN})(?![\w@])")
-#: Without any of these, in small letters, no name is announced and no address is given.
-_NAME_HINTS = tuple(
-    "name|appelle|mon nom|heiße|llamo|nombre|зовут|имя|叫|名|user|spoke|author|signed|booking|reach|demandez|appelez|contact|regards|sincerely|attn|"
-    "dr.|dr |mr.|mr |mrs|ms |ms.|miss |señor|madame|monsieur|prof|herr|frau |mme|mlle|sr.|sra|srta|don |doña |г-н|г-жа|госпо|customer|patient|person".split("|")
-)
-_ADDRESS_HINTS = tuple(
-    " street| road| lane| avenue| close| drive| court| way| square| terrace| place| crescent| row| st.| st | rd| ave| ln| blvd|rue |chemin|allée|"
-    "impasse|quai|boulevard|straße|strasse|str.|weg |allee|platz|gasse|ufer|damm |calle |avenida|avda|plaza|paseo|camino|c/|box|postfach|apartado|"
-    "bp |ул.|улица|пр.|проспект|пер.|号".split("|")
-)
+#: Without any of these (phrases in small letters, titles as they are) no name is announced. They are
+#: beginnings of what the patterns accept, without the white space that may follow.
+_NAME_HINTS = tuple("name|appelle|mon nom|heiße|llamo|nombre|зовут|имя|叫|名|user|spoke|author|signed|booking|reach|demandez|appelez|contact|regards|sincerely|attn|customer|patient|person".split("|"))
+_TITLE_HINTS = tuple("Dr|Mr|Ms|Miss|Prof|Herr|Frau|Mme|Mlle|Sr|Don|Doña|eñor|adame|onsieur|г-н|г-жа|господин|госпожа".split("|"))
+#: Without any of these no address is given; the words of streets stand after white space.
+_ADDRESS_HINTS = tuple("straße|strasse|str.|weg|allee|platz|gasse|ufer|damm|Calle|Avenida|Avda.|Plaza|Paseo|Camino|C/|Box|Postfach|Apartado|BP|ул.|улица|пр.|проспект|пер.|号".split("|"))
+_STREETS = r"Street|Road|Lane|Avenue|Close|Drive|Court|Way|Square|Terrace|Boulevard|Place|Crescent|Row|St\b\.?|Rd\b\.?|Ave\b\.?|Ln\b\.?|Dr\b\.?|Blvd\b\.?"
+_RUES = "rue|avenue|boulevard|place|chemin|allée|impasse|quai"
+_STREET_GATE = re.compile(rf"\s(?:{_STREETS}|(?:{_RUES})\s)")
 
 
 _EMAIL_LOCAL = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9.+%_-]*\s?@\s?(?:[A-Za-z0-9-]+\.)+[A-Za-z][A-Za-z0-9]+")
@@ -122,8 +121,8 @@ _PLACE = r"[A-ZÀ-Þ][\w'’\-]*"
 _CITY = rf"(?:,?\s+(?:\d{{4,6}}\s+{_PLACE}(?:\s{_PLACE})?|{_PLACE}(?:\s{_PLACE})?(?:,?\s+\d{{4,6}})?))"
 _ADDRESS = re.compile(
     rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Wohnung|Appt\.?|Piso|кв\.)\s?\d+\w?,?\s+)?(?<![\w\-.])(?:"
-    rf"\d{{1,4}}\s?[A-Za-z]?\s+(?:{_PLACE}\s+){{1,3}}(?:Street|Road|Lane|Avenue|Close|Drive|Court|Way|Square|Terrace|Boulevard|Place|Crescent|Row|St\b\.?|Rd\b\.?|Ave\b\.?|Ln\b\.?|Dr\b\.?|Blvd\b\.?)"
-    rf"|\d{{1,4}}\s?(?:bis|ter|[A-Za-z])?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai)\s+(?:de\s+la\s+|de\s+l['’]|des?\s+|du\s+|d['’])?{_PLACE}"
+    rf"\d{{1,4}}\s?[A-Za-z]?\s+(?:{_PLACE}\s+){{1,3}}(?:{_STREETS})"
+    rf"|\d{{1,4}}\s?(?:bis|ter|[A-Za-z])?,?\s+(?:{_RUES})\s+(?:de\s+la\s+|de\s+l['’]|des?\s+|du\s+|d['’])?{_PLACE}"
     rf"|{_PLACE}(?:straße|strasse|str\.|weg|allee|platz|gasse|ufer|damm)\s+\d{{1,4}}\s?[a-z]?\b"
     rf"|(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|C/)\s+(?:de\s+(?:la\s+)?|del\s+)?{_PLACE},?\s+\d{{1,4}}"
     rf"|(?:P\.\s?O\.\s?Box|PO Box|Postfach|Apartado|BP)\s+\d{{1,6}}"
@@ -235,9 +234,10 @@ def candidates(text: str | None) -> list[tuple[str, int, int, int]]:
     out = [*_numbers(text), *_codes(text)]
     if _AT_GATE.search(text):
         out += _emails(text)
-    if any(h in low for h in _ADDRESS_HINTS):
+    if any(h in text for h in _ADDRESS_HINTS) or _STREET_GATE.search(text):
         out += _addresses(text)
-    out += _names(text, any(h in low for h in _NAME_HINTS), not GIVEN.isdisjoint(_LETTERS.findall(low)))
+    announced = any(h in low for h in _NAME_HINTS) or any(h in text for h in _TITLE_HINTS)
+    out += _names(text, announced, not GIVEN.isdisjoint(_LETTERS.findall(low)))
     return out
 
 

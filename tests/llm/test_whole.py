@@ -32,3 +32,33 @@ def test_resident_numbers_of_eighteen_signs_are_proposed():
             votes = [p for k, a, b, p in pii.candidates(text) if k == "id_number" and text[a:b] == own]
             assert any(p & 1 for p in votes)  # the labeler of formats fires
     assert not spans("1101011990030745789 and 4110101199003074578X", "id_number")
+
+
+def test_every_form_of_a_street_and_a_title_passes_its_gate():
+    for street in "Street Road Lane Avenue Close Drive Court Way Square Terrace Boulevard Place Crescent Row St St. Rd Rd. Ave Ave. Ln Ln. Dr Dr. Blvd Blvd.".split():
+        for end in (", London", "", "\n"):
+            assert spans(f"12 Baker {street}{end}", "address"), street
+        assert spans(f"12 Baker\n{street}", "address"), street
+    for own in (
+        "3 rue\nPasteur", "3 bis, avenue de la Paix", "3 boulevard du Nord", "3 place d'Armes", "3 chemin Vert", "3 allée Verte", "3 impasse Noire", "3 quai Sud",
+        "Uferstraße 3", "Nordstrasse 3", "Nordstr. 3", "Feldweg\n3", "Lindenallee 3", "Marktplatz 3", "Seegasse 3", "Nordufer 3", "Hafendamm\t3",
+        "Calle\nMayor 3", "Avenida Sur 3", "Avda. Sur 3", "Plaza Mayor, 3", "Paseo del Prado 3", "Camino Real 3", "C/ Mayor 3",
+        "P. O. Box 31", "P.O. Box 31", "PO Box 31", "Postfach 31", "Apartado 31", "BP\t31", "ул. Ленина, д. 3", "улица Ленина 3", "пр. Мира 3", "проспект Мира 3", "пер. Садовый 3", "中山路12号", "长安街12号", "人民大道12号", "城南巷12号",
+    ):
+        assert spans(own, "address"), own
+
+
+def announced(text):
+    return any(k == "name" and p & 1 for k, _, _, p in pii.candidates(text))
+
+
+def test_every_form_of_a_title_and_a_phrase_passes_its_gate():
+    for title in "Dr Dr. Mr Mrs Ms Miss Prof Prof. Herr Herrn Frau Mme Mlle Sr Sr. Sra Srta Don Doña señor Señora madame Monsieur г-н г-жа господин госпожа".split():
+        for space in (" ", "\n"):
+            assert announced(f"{title}{space}Quell Vashby"), title
+    for phrase in (
+        "My name is ", "Je m'appelle ", "Mon nom est ", "Ich heiße ", "Mein Name ist ", "Me llamo ", "Mi nombre es ", "Меня зовут ", "Моё имя ", "我叫", "我的名字是", "姓名：",
+        "for user ", "User: ", "Spoke with ", "spoke to ", "Author: ", "Signed off by: ", "booking is under ", "Reach ", "demandez M. ", "appelez M. ", "contactez M. ", "contacter M. ",
+        "Regards, ", "Sincerely, ", "Attn: ", *(f'"{k}": "' for k in ("contact", "name", "customer", "author", "user", "patient", "person")),
+    ):
+        assert announced(f"{phrase}Quell Vashby"), phrase
