@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +144,15 @@ _SENSE_OF: dict[str, list[str]] = {}
 for _sense, _words in SENSES.items():
     for _word in _words.split():
         _SENSE_OF.setdefault(_word, []).append(_sense)
-_PHRASE = re.compile("|".join(f"(?P<{k}_>{v})" for k, v in PHRASES.items()))
+
+
+def _by_script(patterns: Iterable[str]) -> dict[bool, re.Pattern[str]]:
+    """All alternatives together, and by True those that can occur in ASCII texts."""
+    own = [x for v in patterns for x in re.split(r"\|(?![^(]*\))", v)]
+    return {False: re.compile("|".join(own)), True: re.compile("|".join(x for x in own if x.isascii()))}
+
+
+_PHRASE = _by_script(PHRASES.values())
 _PHRASES_EACH = {k: re.compile(v) for k, v in PHRASES.items()}
 _STARRED = sorted({w for s in ("insult", "explicit", "sexual", "curse") for w in SENSES[s].split() if w.isascii()})
 
@@ -210,7 +218,7 @@ def terms(tokens: list[str], sentence: str) -> list[str]:
             found[w] = None
         elif len(w) > 2:
             found[w] = None
-    if _PHRASE.search(sentence):
+    if _PHRASE[sentence.isascii()].search(sentence):
         for k, p in _PHRASES_EACH.items():
             if p.search(sentence):
                 found[f"#{k}"] = None
@@ -306,10 +314,10 @@ def train(labels: list[tuple[str, bool]]) -> FactorizationMachine | None:
     return FactorizationMachine.train(samples)
 
 
-#: Words of the core senses that everyday texts are full of; they count, but call for no scoring.
-EVERYDAY = set("never send serve hire vote voting better cleaner pay find hard lock break hunt kick off hell bed con cons nu bite raus fuera dehors legs teeth face neck faul alle".split())
-_TRIGGERS = {w for s in SENSES if f"#{s}" in CORE for w in SENSES[s].split()} - EVERYDAY
-_TRIGGER_PHRASE = re.compile("|".join(v for k, v in PHRASES.items() if f"#{k}" in CORE))
+#: A sentence with neither of these has no core sense.
+_CORE_WORDS = {w for s in SENSES if f"#{s}" in CORE for w in SENSES[s].split()}
+_CORE_WORDS |= {f"{w}{s}" for w in _CORE_WORDS for s in ("'s", "’s")}
+_CORE_PHRASE = _by_script(v for k, v in PHRASES.items() if f"#{k}" in CORE)
 
 
 class Scorer:
@@ -330,7 +338,7 @@ class Scorer:
         plain = undisguise(text)
         ascii_only = plain.isascii()
         tokens = (_ASCII_TOKEN if ascii_only else _TOKEN).findall(plain)
-        if _TRIGGERS.isdisjoint(tokens) and (ascii_only or not (_HAN.search(plain) and _TRIGGER_PHRASE.search(plain))):
+        if _CORE_WORDS.isdisjoint(tokens) and not _CORE_PHRASE[ascii_only].search(plain):
             return 0.0
         best = 0.0
         for part in sentences(plain):

@@ -1,12 +1,44 @@
 """The training-data operators do the whole job: shortcuts and early ends lose nothing."""
 
-from sessionloom.llm import pii
+import pytest
+
+from sessionloom.llm import abuse, pii
 
 
 def spans(text, kind):
     return {text[a:b] for k, a, b, _ in pii.candidates(text) if k == kind}
 
 
+# ---- p2 -------------------------------------------------------------------------------------------
+
+
+class Every:
+    """A machine that scores whatever reaches it."""
+
+    def score(self, cells):
+        return 5.0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I will find you and break your legs.", "I will hunt you down and make you pay.", "You are a waste of space.", "Nobody would miss you.",
+        "Lock them all up and send them back.", "Never hire gay people", "Some idiot's printer", "raus mit euch", "Stück Scheiße", "люди как мусор", "выпей яду", "没人会想你",
+    ],
+)
+def test_every_core_word_and_phrase_reaches_the_machine(text):
+    assert abuse.Scorer(Every()).text(text) > 0.9
+    assert abuse.Scorer(Every()).text("The clerk moved the box.") == 0.0
+
+
+def test_everyday_words_offend_together():
+    labels = [("You are a stupid idiot", True), ("Nomads are vermin", True), ("the printer is dumb", False), ("kill the process", False), ("The clerk moved a box", False)]
+    scorer = abuse.Scorer(abuse.train(labels))
+    for text in ("I will find you and break your legs.", "I will hunt you down and make you pay.", "You are a waste of space.", "Nobody would miss you."):
+        assert scorer.text(text) >= abuse.THRESHOLD, text
+    assert scorer.text("Never send the file to the printer.") < abuse.THRESHOLD
+
+
 # ---- p3 -------------------------------------------------------------------------------------------
 
 
