@@ -430,10 +430,8 @@ def judge(model: LanguageModel, prompt: str, reference: str | None) -> tuple[lis
         out.append("refusal")
     if unclosed(reference):
         out.append("truncated")
-    if not out and model.other(prompt_language(prompt, asked), reference, own):
+    if model.other(prompt_language(prompt, asked), reference, own):
         out.append("language")
-    if out:
-        return out, None, False
     end = reference.rstrip()
     m = re.search(r"[\w.#-]+$", end[-LAST:])
     begun = False
@@ -441,4 +439,4 @@ def judge(model: LanguageModel, prompt: str, reference: str | None) -> tuple[lis
         tail = m.group().casefold()
         asked = re.findall(r"[\w.#-]+", prompt.rstrip("?？.").casefold())
         begun = tail not in asked and any(a.startswith(tail) and a != tail for a in asked) and re.search(r"\d", tail) is not None
-    return [], last_word(reference), begun
+    return out, last_word(reference), begun

@@ -2,13 +2,36 @@
 
 import pytest
 
-from sessionloom.llm import abuse, pii
+from sessionloom.llm import abuse, pairs, pii
 
 
 def spans(text, kind):
     return {text[a:b] for k, a, b, _ in pii.candidates(text) if k == kind}
 
 
+# ---- p1 -------------------------------------------------------------------------------------------
+
+
+def test_every_triggered_defect_comes_out(spark):
+    people, places, verbs = ["clerk", "courier", "tenant", "guide"], ["harbour", "library", "depot", "clinic"], ["moved", "checked", "packed", "sold"]
+    good = []
+    for k in range(160):
+        a, b, v = people[k % 4], places[k // 4 % 4], verbs[k // 16 % 4]
+        good.append((f"What did the {a} do at the {b}?", f"The {a} {v} the box at the {b}, because the {people[(k + 1) % 4]} needed the room."))
+        good.append((f"Was hat der {a.title()} am {b.title()} gemacht?", f"Der {a.title()} hat die Kiste am {b.title()} geprüft, weil der Raum für die Übung nicht frei war."))
+    q = "What did the clerk do at the harbour?"
+    cases = [
+        (q, "Diese Frage kann ich leider nicht beantworten, weil der Raum für die Übung nicht frei war.", ["refusal", "language"]),
+        (q, "I'm sorry, but I can't help with the box at the", ["refusal", "truncated"]),
+        (q, "Der Clerk hat die Kiste am Depot geprüft, weil der Raum für die", ["truncated", "language"]),
+        (q, "Der Clerk hat die Kiste am Depot geprüft (weil der Raum für die Übung nicht frei war.", ["truncated", "language"]),
+        (q, "What did the clerk do at the harbour?", ["copy"]), (q, " ", ["empty"]), (q, "The clerk moved the box.", None),
+    ]
+    rows = [(i, *g) for i, g in enumerate(good)] + [(1000 + i, *c[:2]) for i, c in enumerate(cases)]
+    got = {r.probe_index: (r.defects, r.defect) for r in pairs.find_defects(spark.createDataFrame(rows, "probe_index long, prompt string, reference string")).collect()}
+    assert got == {1000 + i: (d, d[0]) for i, (*_, d) in enumerate(cases) if d}
+
+
 # ---- p2 -------------------------------------------------------------------------------------------
 
 
