@@ -109,7 +109,7 @@ REFUSALS = re.compile(
 _REFUSAL_WORDS = set(
     """i my me comment let lets assistant model bot ai request requests declined refused withheld redacted ich leid kommentar meine je mes ma pas
     impossible interdit siento temo puedo debo permitido posible estoy quiero tengo he prefiero comentarios mis я могу вынужден вынуждена вынуждены
-    должен должна приходится отказываюсь комментариев мои мне""".split()
+    должен должна приходится отказываюсь комментариев мои мне artificial intelligence""".split()
 )
 _REFUSAL_SIGNS = re.compile("[我抱对遗无恕不]")
 

@@ -32,6 +32,20 @@ def test_every_triggered_defect_comes_out(spark):
     assert got == {1000 + i: (d, d[0]) for i, (*_, d) in enumerate(cases) if d}
 
 
+def test_every_form_of_a_refusal_passes_the_gate():
+    for text in (
+        "As an artificial intelligence, answering this is not possible.", "As an AI, helping is not possible.", "As a language model, nothing is outside.", "As an assistant, no.", "I'm sorry, no.", "I can't help.",
+        "I am unable.", "I must decline.", "I refuse to.", "I'd rather not.", "I don't feel able.", "That violates my rules.", "It is beyond what I can share.", "My rules forbid it.", "An answer cannot be given by me.",
+        "No comment.", "Let's talk about something else.", "Lets discuss a different topic.", "Redacted by the bot.", "Requests like this are filtered.", "Das kann ich nicht.", "Ich will keine.", "Ich muss ablehnen.",
+        "Es tut mir leid.", "Kein Kommentar.", "Meine Regeln.", "Je ne peux pas.", "Mes consignes interdisent.", "Ma politique interdit.", "Pas de commentaire.", "Il m'est interdit.", "Lo siento, no.", "Me temo que no.",
+        "No puedo.", "No debo.", "No me está permitido.", "No me es posible.", "No estoy autorizada.", "No quiero.", "Tengo que declinar.", "He de negarme.", "Debo rechazar.", "Prefiero no.", "Sin comentarios.", "Mis normas.",
+        "Я не буду.", "Не могу помочь.", "Вынужден отказать.", "Вынуждена отказать.", "Вынуждены отказать.", "Должен отказаться.", "Должна отказать.", "Приходится отказать.", "Отказываюсь.", "Без комментариев.", "Мои правила.",
+        "Мне нельзя.", "我不能", "抱歉，不能", "对不起，无法", "很遗憾，拒绝", "无可奉告", "恕难", "不予回答", "不被允许", "我的规则",
+    ):
+        assert pairs.REFUSALS.search(text), text
+        assert pairs.is_refusal(text, pairs.flat(text)), text
+
+
 # ---- p2 -------------------------------------------------------------------------------------------
 
 
