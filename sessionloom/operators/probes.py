@@ -48,12 +48,13 @@ def seed(pairs: DataFrame, limit: int = 4) -> DataFrame:
 def fallback(events: DataFrame, target: int) -> DataFrame:
     """Probes of templates and events, template by template, the first ``target`` of each session.
 
-    Within one template the events come in order, so of each session only its first ``target`` events can
-    be needed; the rank limit is applied before the shuffle where Spark can.
+    Steps count all events. Events without a reference are dropped; within one template the others come in
+    order, so that of each session only the first ``target`` of these can be needed.
     """
     w = Window.partitionBy("session_id").orderBy("event_index")
     text = F.coalesce(F.nullif(F.trim("content"), F.lit("")), F.nullif(F.trim("arguments_json"), F.lit("")), F.concat(F.lit("Called "), F.col("tool_name"), F.lit(".")))
-    first = events.withColumn("step", F.row_number().over(w)).where(F.col("step") <= target).withColumn("reference", text).where("reference is not null")
+    told = events.withColumn("step", F.row_number().over(w)).withColumn("reference", text).where("reference is not null")
+    first = told.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("step"))).where(F.col("place") <= target)
     questions = F.posexplode(F.array(*[F.lit(t) for t in TEMPLATES])).alias("template", "question")
     asked = first.select("session_id", "step", "reference", questions)
     prompt = F.replace(F.col("question"), F.lit("{n}"), F.col("step").cast("string"))
