@@ -225,6 +225,36 @@ def test_abuse_scores_held_out_labels(spark):
     assert wrong <= 0.05 * (len(rows) - half)
 
 
+def _judged():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/moderation_labels.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the judged sample is not here")
+    return [(r["text"], r["flagged"]) for r in pq.read_table(path).to_pylist() if r["flagged"] is not None]
+
+
+def test_abuse_rests_on_the_judged_sample():
+    rows = _judged()
+    unseen = ["You are a complete numpty", "what a plonker you are, you muppet", "Du bist ein Vollhorst", "I will cut you open tonight", "I will hunt you down and hurt you", "Lock them all up and send them back.", "those plumbers should all be shot at dawn", "tu es un bouffon, ta gueule"]
+    harmless = ["The clerk moved a box to the station", "the printer is slow again", "She planted ferns by the window", "Die Post kommt am Montag", "kill the process and restart the server", "Le train part demain", "The doctor examined the breast tissue", "That shop sells nails and paint"]
+    scorer = abuse.Scorer(abuse.train(rows))
+    bad, good = scorer.texts(unseen), scorer.texts(harmless)
+    assert sum(b > g for b in bad for g in good) >= 0.9 * len(bad) * len(good)
+    flags = [y for _, y in rows]
+    random.Random(3).shuffle(flags)
+    shuffled = abuse.Scorer(abuse.train([(t, y) for (t, _), y in zip(rows, flags)]))
+    assert (shuffled.texts(unseen) < abuse.THRESHOLD).all()
+
+
+def test_abuse_batches_agree_with_single_texts():
+    scorer = abuse.Scorer(abuse.train(_judged()))
+    texts = ["You idiot. The box is here!\nOk", None, "", " ", "a", "滚，混蛋 他们", "word " * 5000 + "you stupid idiot", "!!!", "…", "x y"]
+    both = scorer.texts(texts)
+    assert both.tolist() == pytest.approx([scorer.text(t) for t in texts])
+    assert both[6] > 0.5 > both[4]
+
+
 def test_abuse_disguises_and_defined_results(spark):
     labels = spark.createDataFrame(
         [(i, *x) for i, x in enumerate([("You are a stupid idiot", True), ("Nomads are vermin", True), ("send nudes", True), ("the printer is dumb", False), ("kill the process", False), ("The clerk moved a box", False), ("x", None)])],

@@ -1,5 +1,6 @@
 """The training-data operators do the whole job: shortcuts and early ends lose nothing."""
 
+import numpy as np
 import pytest
 
 from sessionloom.llm import abuse, pairs, pii
@@ -49,11 +50,9 @@ def test_every_form_of_a_refusal_passes_the_gate():
 # ---- p2 -------------------------------------------------------------------------------------------
 
 
-class Every:
+def every():
     """A machine that scores whatever reaches it."""
-
-    def score(self, cells):
-        return 5.0
+    return abuse.FactorizationMachine(5.0, np.zeros(abuse.DIM, np.float32), np.zeros((abuse.DIM, abuse.RANK), np.float32))
 
 
 @pytest.mark.parametrize(
@@ -61,11 +60,11 @@ class Every:
     [
         "I will find you and break your legs.", "I will hunt you down and make you pay.", "You are a waste of space.", "Nobody would miss you.",
         "Lock them all up and send them back.", "Never hire gay people", "Some idiot's printer", "raus mit euch", "Stück Scheiße", "люди как мусор", "выпей яду", "没人会想你",
+        "The clerk moved the box.",
     ],
 )
-def test_every_core_word_and_phrase_reaches_the_machine(text):
-    assert abuse.Scorer(Every()).text(text) > 0.9
-    assert abuse.Scorer(Every()).text("The clerk moved the box.") == 0.0
+def test_every_text_reaches_the_machine(text):
+    assert abuse.Scorer(every()).text(text) > 0.9
 
 
 def test_everyday_words_offend_together():
