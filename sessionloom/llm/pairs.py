@@ -8,12 +8,15 @@ last word hardly ever ends a phrase, or is the mere beginning of a known word, w
 a text is its script, and within Latin script the best of the languages under word and letter-triple
 counts, learned from all pairs whose prompt's function words name its language.
 
-The word statistics are joined, not collected; the language counts live in a table of a fixed number of
-hashed cells (CELLS times the number of languages), the bound of what is collected and broadcast.
-
-Defined results: a null, blank or invisible reference is ``empty`` whatever the prompt; a null prompt
-counts as an empty text, which nothing copies and which has no language; texts are read whole; rows with
-one probe_index count once, as the row whose (prompt, reference) comes first.
+The texts are read once: one pass gives the language counts, the word statistics, what the pair alone shows and,
+where function words don't settle the language, the cells of the reference; the language model then sees these
+cells only. The word statistics are joined, not collected; the language counts live in a table of a fixed number
+of hashed cells (CELLS times the number of languages), the bound of what is collected and broadcast.
+
+Defined results: a null, blank or invisible reference is ``empty`` whatever the prompt, and has no other defect,
+as it has no text; for every other reference all the other rules are tried; a null prompt counts as an empty text,
+which nothing copies and which has no language; texts are read whole; rows with one probe_index count once, in the
+statistics too, as the row whose (prompt, reference) comes first, nulls as empty texts.
 """
 
 from __future__ import annotations
@@ -29,18 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.plans.runtime import keep
+from sessionloom.plans.runtime import cut
 
+#: Kinds of rows of the one pass over the texts.
+PAIR, WORD, CELL = 0, 1, 2
 ORDER = ("empty", "copy", "refusal", "truncated", "language")
 CELLS = 1 << 16
 #: Function words of the expected language, beyond those of any other, that settle the question.
 CLEAR = 2
 #: A word that occurs so often and ends a phrase more rarely than this share marks a cut.
 SEEN, FINAL_SHARE = 8, 0.004
-#: Characters at the end of a text among which its last word is looked for.
-LAST = 200
-#: Characters of a text that may be a mere phrase.
-SHORT = 24
+#: A whole text of so many words, or runs of so many Chinese signs, is a phrase that needs no mark at its end.
+PHRASE_WORDS, PHRASE_SIGNS = 2, 24
 #: Mean advantage per feature, and in all, that another language must have.
 MARGIN, MARGIN_ALL = 0.35, 4.0
 
@@ -51,6 +54,7 @@ STAND_INS = {
     "answer", "no data", "n v", "k a", "keine angabe", "keine antwort", "leer", "s o", "sans réponse", "aucune réponse",
     "vide", "sin respuesta", "vacío", "нет ответа", "пусто", "н д", "无", "空", "暂无", "无答案", "没有答案", "待定",
 }
+_STAND_IN_WORDS = max(len(x.split()) for x in STAND_INS)
 
 #: Function words that tell the language of a prompt.
 FUNCTION_WORDS = {
@@ -126,7 +130,10 @@ AFTERWORDS = re.compile(
     r"^(?:thatisthequestion|thatsthequestion|isthequestion|goodquestion|yousay|youask|youasked|wasthequestion|dasistdiefrage|"
     r"lautetdiefrage|cestlaquestion|telleestlaquestion|esaeslapregunta|vottakojvopros|вотвопрос|воттаковвопрос|таковвопрос|这就是问题|是这个问题)?$"
 )
-MAX_INTRODUCTION = 60
+#: Letters and digits that may stand before a prompt that is given back whatever they say; a longer introduction
+#: must be a single clause, as anything that ends a sentence tells something of its own.
+INTRODUCTION = 60
+_SENTENCE_END = re.compile(r"[.!?](?=\s)|[。！？]")
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "“": "”", "«": "»", "《": "》"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
@@ -155,17 +162,27 @@ def flat(text: str) -> list[str]:
 
 def is_empty(found: list[str]) -> bool:
     """Whether these are all words of an answer that is none."""
-    return not found or len(found) <= 3 and " ".join(found) in STAND_INS
+    return not found or len(found) <= _STAND_IN_WORDS and " ".join(found) in STAND_INS
 
 
-def is_copy(asked: list[str], own: list[str]) -> bool:
+def is_copy(asked: list[str], own: list[str], text: str = "") -> bool:
     """The prompt comes back, alone, repeated or after an introduction; by the words of prompt and text."""
     p, r = "".join(asked), "".join(own)
     if len(p) < 4 or p not in r:
         return False
     first, last = r.index(p), r.rindex(p) + len(p)
-    between = r[first:last].replace(p, "")
-    return first <= MAX_INTRODUCTION and not between and bool(AFTERWORDS.match(r[last:]))
+    if r[first:last].replace(p, "") or not AFTERWORDS.match(r[last:]):
+        return False
+    return first <= INTRODUCTION or not _SENTENCE_END.search(before(text, first))
+
+
+def before(text: str, n: int) -> str:
+    """The part of a text that holds its first ``n`` letters and digits, as :func:`flat` counts them."""
+    for i, c in enumerate(text):
+        if n <= 0:
+            return text[:i]
+        n -= sum(map(len, flat(c)))
+    return text
 
 
 def unclosed(text: str) -> bool:
@@ -184,16 +201,24 @@ def unclosed(text: str) -> bool:
     return bool(_END.search(end))
 
 
+def run_at_end(text: str, inner: str) -> int:
+    """Where the run of letters, digits and signs of ``inner`` begins that ends the text; read from the end, at any length."""
+    at = len(text)
+    while at and (text[at - 1].isalnum() or text[at - 1] in inner):
+        at -= 1
+    return at
+
+
 def last_word(text: str) -> str | None:
     """The word that a text without a closing mark breaks off at; None where it is closed or ends in a code."""
     end = visible(text)
-    if _TERMINAL.search(end):
+    if _TERMINAL.search(end[-2:]):
         return None
     if _HAN.match(end[-1:]):
         return end[-2:] if _HAN.match(end[-2:-1]) else end[-1:]
-    tail = end[-LAST:]
-    m = re.search(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*$", tail)
-    return m.group() if m and not re.search(r"[\d_-]$", tail[: m.start()]) else None
+    run = end[run_at_end(end, "_-'’") :]
+    m = re.search(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*$", run)
+    return m.group() if m and not re.search(r"[\d_-]$", run[: m.start()]) else None
 
 
 def word_events(text: str) -> Iterator[tuple[str, bool]]:
@@ -202,7 +227,7 @@ def word_events(text: str) -> Iterator[tuple[str, bool]]:
     A whole text of a few words is a phrase, with or without a mark.
     """
     found = _PHRASE.findall(text)
-    if found and len(text) <= SHORT and (len(found) <= 2 or _HAN.search(text)):
+    if found and (len(found) <= PHRASE_WORDS and len(found[0]) <= PHRASE_SIGNS or len(text) <= PHRASE_SIGNS and _HAN.search(text)):
         found.append(".")
     for i, w in enumerate(found):
         if not w[0].isalpha():
@@ -228,8 +253,21 @@ def script(text: str) -> str | None:
     return "latin" if lat else None
 
 
-_WORDS_OF = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
 LANGUAGES = tuple(FUNCTION_WORDS)
+_LANGUAGES_OF: dict[str, list[int]] = {}
+for _i, _words in enumerate(FUNCTION_WORDS.values()):
+    for _word in _words.split():
+        _LANGUAGES_OF.setdefault(_word, []).append(_i)
+
+
+def votes(found: list[str]) -> list[int]:
+    """Function words of each language among the words."""
+    out = [0] * len(LANGUAGES)
+    for w in found:
+        if w in _LANGUAGES_OF:
+            for i in _LANGUAGES_OF[w]:
+                out[i] += 1
+    return out
 
 
 def prompt_language(prompt: str, found: list[str] | None = None) -> str | None:
@@ -237,11 +275,9 @@ def prompt_language(prompt: str, found: list[str] | None = None) -> str | None:
     s = script(prompt)
     if s != "latin":
         return s
-    found = flat(prompt) if found is None else found
-    votes = {k: sum(w in own for w in found) for k, own in _WORDS_OF.items()}
-    best = max(votes, key=votes.__getitem__)
-    rest = max(v for k, v in votes.items() if k != best)
-    return best if votes[best] > rest else None
+    own = votes(flat(prompt) if found is None else found)
+    best = max(own)
+    return LANGUAGES[own.index(best)] if own.count(best) == 1 else None
 
 
 def plain(text: str) -> str:
@@ -277,123 +313,148 @@ def _cells(word: str) -> list[int]:
     return known
 
 
-def language_counts(pairs: DataFrame) -> DataFrame:
-    """``cell, language, n`` over all pairs with a prompt whose language is told by its function words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(LANGUAGES), CELLS), np.int64)
-        for batch in batches:
-            found: dict[str, list[int]] = {k: [] for k in LANGUAGES}
-            for prompt, reference in zip(*(c.to_pylist() for c in batch.columns)):
-                language = prompt_language(prompt or "")
-                if language in found:
-                    text = plain(reference or "")
-                    found[language] += features(prompt)
-                    if script(text) == "latin":
-                        found[language] += features(text)
-            for i, k in enumerate(LANGUAGES):
-                counts[i] += np.bincount(np.array(found[k], np.int64), minlength=CELLS)
-        language, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cell), pa.array(language), pa.array(counts[language, cell])], names=["cell", "language", "n"]
-        )
+def by_script(language: str | None, text: str, found: list[str], bare: str) -> bool | None:
+    """Whether a text is in another language than the given one, or None where the counts must tell.
 
-    return (
-        pairs.select("prompt", "reference")
-        .mapInArrow(run, "cell bigint, language bigint, n bigint")
-        .groupBy("cell", "language")
-        .agg(F.sum("n").alias("n"))
-    )
+    ``found`` are the words of the text, ``bare`` is the text as :func:`plain` gives it.
+    """
+    if language is None:
+        return False
+    if language in LANGUAGES and script(text) == "latin":
+        # function words that clearly tell the expected language leave nothing to score
+        own, i = votes(found), LANGUAGES.index(language)
+        if own[i] >= CLEAR + max(v for k, v in enumerate(own) if k != i):
+            return False
+    s = script(bare)
+    if s is None:
+        return False
+    if s != "latin" or language not in LANGUAGES:
+        # codes and names alone tell nothing about the language of a text in Latin letters
+        return s != language and (s != "latin" or len(re.findall(r"\b[a-zß-ÿ]{2,}\b", bare)) >= 2)
+    return None if len(re.findall(r"[^\W\d_]{2,}", bare)) >= 2 else False
 
 
 class LanguageModel:
+    """Counts of cells by language, from all pairs with a prompt whose language is told by its function words."""
+
     def __init__(self, cells: np.ndarray, languages: np.ndarray, counts: np.ndarray):
         table = np.full((len(LANGUAGES), CELLS), 0.2)
         table[languages, cells] += counts
         self.log = np.log(table / table.sum(axis=1, keepdims=True))
 
-    def other(self, language: str | None, text: str, found: list[str]) -> bool:
-        """Whether a text is in another language than the given one; ``found`` are its words."""
-        if language is None:
-            return False
-        if language in _WORDS_OF and script(text) == "latin":
-            # function words that clearly tell the expected language leave nothing to score
-            votes = {k: sum(w in own for w in found) for k, own in _WORDS_OF.items()}
-            if votes[language] >= CLEAR + max(v for k, v in votes.items() if k != language):
-                return False
-        text = plain(text)
-        s = script(text)
-        if s is None:
+    def other(self, language: int, cells: np.ndarray) -> bool:
+        """Whether the cells of a text are clearly those of another language."""
+        if not len(cells):
             return False
-        if s != "latin" or language not in LANGUAGES:
-            # codes and names alone tell nothing about the language of a text in Latin letters
-            return s != language and (s != "latin" or len(re.findall(r"\b[a-zß-ÿ]{2,}\b", text)) >= 2)
-        own = features(text)
-        if not own or len(re.findall(r"[^\W\d_]{2,}", text)) < 2:
-            return False
-        scores = self.log[:, own].sum(axis=1)
-        gain = scores.max() - scores[LANGUAGES.index(language)]
-        return bool(gain > MARGIN_ALL and gain > MARGIN * len(own))
-
+        scores = self.log[:, cells].sum(axis=1)
+        gain = scores.max() - scores[language]
+        return bool(gain > MARGIN_ALL and gain > MARGIN * len(cells))
 
-def word_statistics(pairs: DataFrame) -> DataFrame:
-    """``word, total, final`` over all prompts and references."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, final = Counter(), Counter()
-            for column in batch.columns:
-                for text in column.to_pylist():
-                    for word, ends in word_events(text or ""):
-                        total[word] += 1
-                        final[word] += ends
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([final[w] for w in total], pa.int64())],
-                names=["word", "total", "final"],
-            )
 
-    return (
-        pairs.select("prompt", "reference")
-        .mapInArrow(run, "word string, total bigint, final bigint")
-        .groupBy("word")
-        .agg(F.sum("total").alias("total"), F.sum("final").alias("final"))
-    )
+def survey(prompt: str, reference: str | None) -> tuple[list[str], str | None, bool, int | None, list[int], list[int]]:
+    """What a pair alone shows: its defects, the word it may break off at, whether a word of the prompt is cut, the
+    language of the prompt, the cells of prompt and reference that count for it, and those that are to be judged
+    (None as language where nothing is).
+    """
+    own = flat(reference or "")
+    asked = flat(prompt)
+    language = prompt_language(prompt, asked)
+    known = LANGUAGES.index(language) if language in LANGUAGES else None
+    bare = plain(reference or "") if language is not None else ""
+    of_text = features(bare) if known is not None and script(bare) == "latin" else []
+    counted = features(prompt) + of_text if known is not None else []
+    if is_empty(own):
+        return ["empty"], None, False, known, counted, []
+    out = []
+    if is_copy(asked, own, reference):
+        out.append("copy")
+    if is_refusal(reference, own):
+        out.append("refusal")
+    if unclosed(reference):
+        out.append("truncated")
+    other = by_script(language, reference, own, bare)
+    if other:
+        out.append("language")
+    end = reference.rstrip()
+    begun = False
+    if not _TERMINAL.search(end[-1:]):
+        tail = end[run_at_end(end, "_.#-") :].casefold()
+        if re.search(r"\d", tail):
+            words = re.findall(r"[\w.#-]+", prompt.rstrip("?？.").casefold())
+            begun = tail not in words and any(a.startswith(tail) and a != tail for a in words)
+    return out, last_word(reference), begun, known, counted, of_text if other is None else []
 
 
 def find_defects(probes: DataFrame, id_col: str = "probe_index") -> DataFrame:
     """Defective pairs as ``id_col, defects array<string>, defect``; ``defect`` is the first in ORDER."""
-    pairs = probes.select(id_col, "prompt", "reference")
-    table = language_counts(pairs).toPandas()
-    shared = probes.sparkSession.sparkContext.broadcast(
-        tuple(table[c].to_numpy(np.int64) for c in ("cell", "language", "n"))
-    )
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    pairs = probes.groupBy(id_col).agg(F.min(F.struct(text("prompt"), text("reference"))).alias("r")).select(id_col, "r.*")
+    # the exact pass is heavy for its bytes: its tasks must not be merged by size
+    pairs = pairs.repartition(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    kind = probes.schema[id_col].dataType.simpleString()
+    columns = {
+        "part": pa.int32(), id_col: None, "defects": pa.list_(pa.string()), "word": pa.string(), "begun": pa.bool_(),
+        "language": pa.int32(), "cells": pa.list_(pa.int32()), "cell": pa.int64(), "n": pa.int64(), "final": pa.int64(),
+    }
+    schema = f"part int, `{id_col}` {kind}, defects array<string>, word string, begun boolean, language int, cells array<int>, cell bigint, n bigint, final bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, id_type = np.zeros((len(LANGUAGES), CELLS), np.int64), None
+
+        def rows(size: int, part: int, own: dict) -> pa.RecordBatch:
+            own["part"] = pa.array(np.full(size, part, np.int32))
+            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(size, t or id_type) for c, t in columns.items()], names=list(columns))
+
+        for batch in batches:
+            id_type = batch.column(0).type
+            found: list[list[int]] = [[] for _ in LANGUAGES]
+            total, final = Counter(), Counter()
+            kept, defects, words, begun, languages, cells = [], [], [], [], [], []
+            for i, (prompt, reference) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                d, word, is_begun, language, counted, judged = survey(prompt, reference)
+                if language is not None:
+                    found[language] += counted
+                for own in (prompt, reference):
+                    for w, ends in word_events(own):
+                        total[w] += 1
+                        final[w] += ends
+                if d or word is not None or is_begun or judged:
+                    kept.append(i)
+                    defects.append(d)
+                    words.append(word)
+                    begun.append(is_begun)
+                    languages.append(language)
+                    cells.append(judged)
+            for k, own in enumerate(found):
+                counts[k] += np.bincount(np.array(own, np.int64), minlength=CELLS)
+            yield rows(len(kept), PAIR, {
+                id_col: batch.column(0).take(pa.array(kept, pa.int64())), "defects": pa.array(defects, columns["defects"]), "word": pa.array(words, pa.string()),
+                "begun": pa.array(begun, pa.bool_()), "language": pa.array(languages, pa.int32()), "cells": pa.array(cells, columns["cells"]),
+            })
+            yield rows(len(total), WORD, {
+                "word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64()), "final": pa.array([final[w] for w in total], pa.int64())
+            })
+        if id_type is not None:
+            language, cell = np.nonzero(counts)
+            yield rows(len(cell), CELL, {"language": pa.array(language.astype(np.int32)), "cell": pa.array(cell), "n": pa.array(counts[language, cell])})
+
+    seen = cut(pairs.mapInArrow(run, schema))
+    table = seen.where(F.col("part") == CELL).groupBy("cell", "language").agg(F.sum("n").alias("n")).toPandas()
+    shared = probes.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy(np.int64) for c in ("cell", "language", "n")))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*shared.value)
         for batch in batches:
-            defects, words, begun = [], [], []
-            for prompt, reference in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                d, word, cut = judge(model, prompt or "", reference)
-                defects.append(d)
-                words.append(word)
-                begun.append(cut)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(defects, pa.list_(pa.string())), pa.array(words, pa.string()), pa.array(begun, pa.bool_())],
-                names=[id_col, "prompt", "reference", "defects", "word", "begun"],
-            )
-
-    kind = probes.schema[id_col].dataType.simpleString()
-    judged = keep(
-        pairs.mapInArrow(
-            run, f"`{id_col}` {kind}, prompt string, reference string, defects array<string>, word string, begun boolean"
-        )
-        .where("size(defects) > 0 or word is not null")
-        .groupBy(id_col)
-        .agg(F.min(F.struct(F.coalesce("prompt", F.lit("")), F.coalesce("reference", F.lit("")), "defects", "word", "begun")).alias("r"))
-        .select(id_col, "r.defects", "r.word", "r.begun")
-    )
-    asked = judged.where("word is not null").select("word").distinct()
-    statistics = keep(word_statistics(pairs))
+            lists = batch.column(2)
+            flat_cells, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.array([len(x) if x.is_valid else 0 for x in lists]))]).astype(int)
+            foreign = [k is not None and model.other(k, flat_cells[at[i] : at[i + 1]]) for i, k in enumerate(batch.column(1).to_pylist())]
+            hits = pa.array(np.flatnonzero(foreign), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(hits)], names=[id_col])
+
+    mine = seen.where(F.col("part") == PAIR)
+    foreign = mine.where(F.size("cells") > 0).select(id_col, "language", "cells").mapInArrow(judge, f"`{id_col}` {kind}").withColumn("foreign", F.lit(True))
+    statistics = seen.where(F.col("part") == WORD).groupBy("word").agg(F.sum("n").alias("total"), F.sum("final").alias("final"))
+    asked = mine.where("word is not null").select("word").distinct()
     known = asked.join(statistics, "word", "left").select("word", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("final", F.lit(0)).alias("final"))
     length = F.length("word")
     beginnings = (
@@ -405,38 +466,16 @@ def find_defects(probes: DataFrame, id_col: str = "probe_index") -> DataFrame:
     # an unclosed text's last word is itself among the counts, never as the end of a phrase
     hardly = (F.col("total") >= SEEN) & (F.col("final") < FINAL_SHARE * F.col("total"))
     fragment = F.coalesce("beginning", F.lit(False)) & (F.col("final") == 0) & (F.col("total") < SEEN)
-    cuts = known.join(beginnings, "word", "left").select("word", (hardly | fragment).alias("cut"))
+    cuts = known.join(beginnings, "word", "left").where(hardly | fragment).select("word", F.lit(True).alias("cut"))
     late = F.coalesce("cut", F.lit(False)) | F.coalesce("begun", F.lit(False))
-    all_defects = F.when(late, F.array_union("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects"))
+    more = F.array_compact(F.array(F.when(late, F.lit("truncated")), F.when(F.col("foreign"), F.lit("language"))))
     rank = F.array(*[F.lit(d) for d in ORDER])
     return (
-        judged.join(cuts, "word", "left")
-        .select(id_col, F.filter(rank, lambda d: F.array_contains(all_defects, d)).alias("defects"))
+        mine.select(id_col, "defects", "word", "begun")
+        .join(cuts, "word", "left")
+        .join(foreign.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+        .withColumn("_all", F.concat("defects", more))
+        .select(id_col, F.filter(rank, lambda d: F.array_contains("_all", d)).alias("defects"))
         .where("size(defects) > 0")
         .withColumn("defect", F.col("defects")[0])
     )
-
-
-def judge(model: LanguageModel, prompt: str, reference: str | None) -> tuple[list[str], str | None, bool]:
-    """Defects that the pair alone shows, the word it may break off at, and a word of the prompt that is cut."""
-    own = flat(reference or "")
-    if is_empty(own):
-        return ["empty"], None, False
-    asked = flat(prompt)
-    out = []
-    if is_copy(asked, own):
-        out.append("copy")
-    if is_refusal(reference, own):
-        out.append("refusal")
-    if unclosed(reference):
-        out.append("truncated")
-    if model.other(prompt_language(prompt, asked), reference, own):
-        out.append("language")
-    end = reference.rstrip()
-    m = re.search(r"[\w.#-]+$", end[-LAST:])
-    begun = False
-    if m and not _TERMINAL.search(end):
-        tail = m.group().casefold()
-        asked = re.findall(r"[\w.#-]+", prompt.rstrip("?？.").casefold())
-        begun = tail not in asked and any(a.startswith(tail) and a != tail for a in asked) and re.search(r"\d", tail) is not None
-    return out, last_word(reference), begun

@@ -47,6 +47,20 @@ def test_every_form_of_a_refusal_passes_the_gate():
         assert pairs.is_refusal(text, pairs.flat(text)), text
 
 
+def test_one_row_of_a_key_counts_and_texts_are_read_whole(spark):
+    q = "What did the clerk do at the harbour?"
+    rows = [
+        (1, q, "A fine long answer about the clerk."), (1, q, "N/A"), (2, q, "n/a"), (2, q, "n/a"), (None, q, None), (3, None, "Something."),
+        (4, q, "You asked me a moment ago about something that matters to you a great deal, namely this one here: " + q),
+        (5, q, "The clerk moved the box to the depot and then went home for the night. It rained. " + q),
+    ]
+    got = {r.probe_index: r.defect for r in pairs.find_defects(spark.createDataFrame(rows, "probe_index long, prompt string, reference string")).collect()}
+    assert got == {2: "empty", None: "empty", 4: "copy"}
+    assert pairs.last_word("The end is " + "a" * 5000) == "a" * 5000
+    assert pairs.last_word("order x-" + "a" * 500 + "4") is None
+    assert pairs.find_defects(spark.createDataFrame([], "probe_index long, prompt string, reference string")).count() == 0
+
+
 # ---- p2 -------------------------------------------------------------------------------------------
 
 
