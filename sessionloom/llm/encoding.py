@@ -1,26 +1,27 @@
 """Problem 8: text that was decoded with the wrong character encoding.
 
-A hidden Markov model with one clean state and one state for each pair (encoding taken wrongly,
-encoding meant) runs over the stretches of non-ASCII characters of a text. The clean state emits a
-stretch with the probability that the corpus' own character pairs give it; the state of a pair emits
-it with the probability of what its inverse transform gives, and cannot emit it where the transform
-is undefined. All characters of a stretch get the label of the best path, and each labelled span gets
-its state's inverse transform. One further state emits the replacement character, whose original is
-lost.
-
-The character pairs are counted over all texts, into a table of a fixed number of hashed cells; only
-that table is sent to the executors. Stretches that are valid UTF-8 under a wrong single-byte
-decoding, or rows of bytes that no script writes, are left out of the counts, as they would teach the
-clean state what garbled text looks like.
-
-Defined results: null, empty and ASCII texts are never garbled; texts are read whole; repeated rows
-give repeated rows.
+A hidden Markov model with one clean state and one state for each pair (encoding taken wrongly, encoding meant)
+labels the characters of a text. The clean state emits a character with its probability after the one before; the
+state of a pair emits together the characters that stand for one original character, or the stretch of a wrong
+encoding of several bytes, with the probability of what its inverse transform gives, and cannot emit them where the
+transform is undefined. Stretches of non-ASCII characters that one transform undoes as a whole are one step; in all
+others the steps are single characters, so that garbled characters beside proper ones are cut out. Each labelled
+span gets its state's inverse transform. One further state emits the replacement character, whose original is lost.
+
+Probabilities after a character are counts of character pairs, backed by counts of pairs of classes (script, case,
+kind) and of characters in their class. All are counted over all texts, into a table of a fixed number of hashed
+cells; only that table is sent to the executors. Stretches that hold UTF-8 under a wrong single-byte decoding, or
+rows of bytes that no script writes, are left out of the counts, as they would teach the clean state what garbled
+text looks like.
+
+Defined results: null, empty and ASCII texts are never garbled; texts are read whole; repeated rows give repeated
+rows; a text of which only a part can be undone has null as ``restored``.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,16 @@ from sessionloom.plans.runtime import arrow_map
 #: Cells of the hashed table of character pairs: the bound of what is collected and broadcast.
 CELLS = 1 << 19
 #: Log-probability costs: of entering a garbled state, of going back, of each stretch inside it.
-ENTER, LEAVE, STAY = 9.0, 1.0, 1.0
-FLOOR = 0.5
+ENTER, LEAVE, STAY = 8.0, 1.0, 1.0
+#: Characters from which on a stretch whose two-byte units are all printable ASCII is no chance.
+TAKEN_AS_PAIRS = 8
+#: What entering a state costs more whose transform undoes any characters whatever: fitting it proves nothing.
+LOOSE = 11.0
+#: Weight of the class model beside a character's own counts, of a class's share beside its counts after another
+#: class, and what is added to the counts of single characters.
+BACKED, BACKED_CLASS, FLOOR = 200.0, 300.0, 0.1
+#: The probability that any character has after any other.
+ANY = 1e-7
 LOST = "�"
 LOST_GAIN = 30.0
 CACHE_ENTRIES = 300_000
@@ -84,6 +93,8 @@ STATES = (
 #: What each state takes the text for.
 _MEANT = ("", *(right for _, right in PAIRS), "utf-8", "utf-8", "")
 
+_LOOSE = frozenset(i for i, (wrong, right) in enumerate(PAIRS, 1) if right not in ("utf-8", "gbk") or wrong in ("utf-16-le", "utf-16-be"))
+
 _RUN = re.compile("[^\x00-\x7f]+")
 #: Four or more signs and letters of Latin-1 in a row, or a small letter before capitals.
 _BYTES = re.compile("[\xa1-\xff]{4}|[а-яё][А-ЯЁ]{2}")
@@ -139,23 +150,74 @@ def inverse(s: str, state: int) -> str | None:
     return s
 
 
-def _cells(codes: np.ndarray) -> np.ndarray:
-    """Cell of each pair of neighbouring code points."""
-    x = codes.astype(np.uint64)
-    mixed = (x[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+def _hashed(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+    """Cell of each pair of numbers."""
+    mixed = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(y, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     return (mixed >> np.uint64(40)).astype(np.int64) % CELLS
 
 
+#: Where blocks of characters begin that differ in what they hold.
+_BLOCKS = (0, 0x80, 0xA0, 0x100, 0x180, 0x250, 0x300, 0x370, 0x400, 0x460, 0x530, 0x600, 0x2000, 0x2070, 0x20A0, 0x2100, 0x2190, 0x2500, 0x25A0, 0x2E80, 0x3000, 0x3040, 0x3400, 0xA000, 0xAC00, 0xE000, 0xF900, 0xFF00, 0xFFF0)
+_KINDS = {"Ll": 0, "Lu": 1, "Lo": 0, "Nd": 2, "Zs": 3, "Cc": 3, "Mn": 4}
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each code point of the first plane (all others share the last one), and the classes' sizes."""
+    block = np.searchsorted(_BLOCKS, np.arange(0x10000), side="right")
+    kinds = [_KINDS.get(c := unicodedata.category(chr(i)), 5 if c[0] == "P" else 6) for i in range(0x10000)]
+    _, number = np.unique(block * 8 + np.array(kinds), return_inverse=True)
+    return np.append(number, number.max() + 1).astype(np.int64), np.append(np.bincount(number), 0x10000).astype(float)
+
+
+_CLASS, _SIZE = _classes()
+#: Second numbers of the cells of single characters and of single classes, beyond all code points.
+_ONE, _KIND, _KIND_PAIR = 1 << 22, 1 << 23, 1 << 24
+
+
+def _class_of(codes: np.ndarray) -> np.ndarray:
+    return _CLASS[np.minimum(codes, 0x10000)]
+
+
+def _counted(codes: np.ndarray) -> list[np.ndarray]:
+    """All cells that the characters count in: pairs, single ones, pairs of classes, single classes."""
+    own = _class_of(codes)
+    return [_hashed(codes[:-1], codes[1:]), _hashed(codes, _ONE), _hashed(own[:-1], own[1:] + _KIND_PAIR), _hashed(own, _KIND)]
+
+
 def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _sequences(state: int) -> re.Pattern[str]:
+    """What the bytes of one character in UTF-8 look like under the wrong single-byte encoding of a state."""
+    chars = [_to_text(bytes([b]), PAIRS[state - 1][0]) or "" for b in range(256)]
+    some = lambda a, b: "[" + re.escape("".join(chars[a:b])) + "]"
+    more = some(0x80, 0xC0)
+    return re.compile(f"(?:{some(0xC2, 0xE0)}{more}|{some(0xE0, 0xF0)}{more}{{2}}|{some(0xF0, 0xF5)}{more}{{3}})+")
+
+
+#: Single-byte states whose garbled characters can be cut out of a stretch, with their patterns.
+_SEQUENCES = [(i, _sequences(i)) for i, (wrong, right) in enumerate(PAIRS, 1) if right == "utf-8" and wrong not in ("gbk", "utf-16-le", "utf-16-be")]
+_SEQUENCES.sort(key=lambda x: PAIRS[x[0] - 1][0] not in ("c1252", "latin-1"))
+
+
+def _undone(pattern: re.Pattern[str], state: int, run: str) -> str:
+    return "".join(inverse(m.group(), state) or LOST for m in pattern.finditer(run))
+
+
 def _looks_garbled(run: str) -> bool:
     """Whether a stretch is valid UTF-8 under a wrong single-byte decoding, or has lost characters."""
     if LOST in run or _BYTES.search(run):
         return True
+    if any(p.search(run) and _COMMON.fullmatch(_undone(p, i, run)) for i, p in _SEQUENCES[:2]):
+        return True
+    if len(run) >= TAKEN_AS_PAIRS:
+        for wrong in ("utf-16-le", "utf-16-be"):
+            data = _to_bytes(run, wrong)
+            if data is not None and data.isascii() and _to_text(data, "utf-8").isprintable():
+                return True
     for wrong in ("c1252", "latin-1", "cp1251", "cp850", "cp437", "koi8-r", "mac_roman"):
         data = _to_bytes(run, wrong)
         was = _to_text(data, "utf-8") if data is not None and len(data) > 1 else None
@@ -190,7 +252,8 @@ def pair_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for at in range(0, len(text), 1 << 20):
                 codes = _codes(text[at : at + (1 << 20) + 1])
                 if len(codes) > 1:
-                    counts += np.bincount(_cells(codes), minlength=CELLS)
+                    for cells in _counted(codes):
+                        counts += np.bincount(cells, minlength=CELLS)
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
 
@@ -198,18 +261,24 @@ def pair_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Labeller:
-    """The model of one corpus: log-probabilities of character pairs and the path through a text."""
+    """The model of one corpus: log-probabilities of characters after others and the path through a text."""
 
     def __init__(self, cells: np.ndarray, counts: np.ndarray):
-        total = float(counts.sum()) + FLOOR * CELLS
-        self.unseen = math.log(FLOOR / total)
-        self.log = np.full(CELLS, self.unseen, np.float32)
-        self.log[cells] = np.log((counts + FLOOR) / total)
-        self.cache: dict[str, dict[int, float]] = {}
+        self.n = np.zeros(CELLS)
+        self.n[cells] = counts
+        share = self.n[_hashed(np.arange(len(_SIZE)), _KIND)] + FLOOR
+        self.share = share / share.sum()
+        self.cache: dict[str, list[tuple[int, int, dict[int, float]]]] = {}
         self.open: dict[str, list[int]] = {}
 
     def score(self, s: str) -> float:
-        return float(self.log[_cells(_codes(s))].sum())
+        """Log-probability of all characters but the first, each after the one before it."""
+        codes = _codes(s).astype(np.int64)
+        own = _class_of(codes)
+        pairs, ones, kind_pairs, kinds = (self.n[c] for c in _counted(codes))
+        of_class = (ones[1:] + FLOOR) / (kinds[1:] + FLOOR * _SIZE[own[1:]])
+        backed = (kind_pairs + BACKED_CLASS * self.share[own[1:]]) / (kinds[:-1] + BACKED_CLASS) * of_class
+        return float(np.log((pairs + BACKED * backed) / (ones[:-1] + BACKED) + ANY).sum())
 
     def candidates(self, char: str) -> list[int]:
         """States that can emit a character at the beginning of a stretch."""
@@ -220,32 +289,54 @@ class Labeller:
         return known
 
     def gains(self, before: str, run: str, after: str) -> dict[int, float]:
-        """For each garbled state that can emit the stretch, how much better than clean it does so."""
+        """For each garbled state that can emit the characters, how much better than clean it does so."""
+        if LOST in run:
+            return {len(STATES) - 1: LOST_GAIN}
+        out, clean, key = {}, None, f"{before}{run}{after}"
+        for state in self.candidates(run[0]):
+            was = inverse(run, state)
+            if was is None or was == run:
+                continue
+            if clean is None:
+                clean = self.score(key)
+            gain = self.score(f"{before}{was}{after}") - clean - STAY
+            if _MEANT[state] in ("cp1251", "koi8-r"):
+                gain -= MIXED * ((before.isascii() and before.isalpha()) + (after.isascii() and after.isalpha()))
+            out[state] = gain
+        return out
+
+    def steps(self, before: str, run: str, after: str) -> list[tuple[int, int, dict[int, float]]]:
+        """The steps (start, end, gains by state) of a stretch of non-ASCII characters: itself, or characters of it."""
         key = f"{before}{run}{after}"
         known = self.cache.get(key)
         if known is not None:
             return known
+        whole = self.gains(before, run, after)
+        best = [(0, len(run), whole)]
+        most = max([g for g in whole.values() if g > ENTER], default=0.0)
         if LOST in run:
-            out = {len(STATES) - 1: LOST_GAIN}
-        else:
-            out, clean = {}, None
-            for state in self.candidates(run[0]):
-                was = inverse(run, state)
-                if was is None or was == run:
-                    continue
-                if clean is None:
-                    clean = self.score(key)
-                gain = self.score(f"{before}{was}{after}") - clean - STAY
-                # a stretch that shrinks has fewer factors: each that vanished is charged as an unseen pair
-                gain += max(0, len(run) - len(was)) * self.unseen
-                if _MEANT[state] in ("cp1251", "koi8-r"):
-                    gain -= MIXED * ((before.isascii() and before.isalpha()) + (after.isascii() and after.isalpha()))
-                if gain > 0 or len(run) > 2:
-                    out[state] = gain
+            most = LOST_GAIN
+        for state, pattern in _SEQUENCES:
+            if not pattern.search(run):
+                continue
+            own, total, at = [], 0.0, 0
+            for m in pattern.finditer(run):
+                a, b = m.span()
+                gain = self.gains(run[a - 1] if a else before, m.group(), run[b] if b < len(run) else after)
+                kept = {s: g for s, g in gain.items() if s == state or s not in _LOOSE}
+                if a > at:
+                    own.append((at, a, {}))
+                own.append((a, b, kept))
+                total += max([g for g in kept.values() if g > 0], default=0.0)
+                at = b
+            if at < len(run):
+                own.append((at, len(run), {}))
+            if total > most and len(own) > 1:
+                best, most = own, total
         if len(self.cache) >= CACHE_ENTRIES:
             self.cache.clear()
-        self.cache[key] = out
-        return out
+        self.cache[key] = best
+        return best
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """Garbled stretches as (start, end, state); none for clean text."""
@@ -255,17 +346,18 @@ class Labeller:
         last = len(text)
         for m in _RUN.finditer(text):
             a, b = m.span()
-            own = self.gains(text[a - 1] if a else "\n", m.group(), text[b] if b < last else "\n")
-            units.append((a, b, own))
-            any_gain |= any(g > 0 for g in own.values())
+            for x, y, own in self.steps(text[a - 1] if a else "\n", m.group(), text[b] if b < last else "\n"):
+                units.append((a + x, a + y, own))
+                any_gain |= any(g > 0 for g in own.values())
         if not any_gain:  # no path through a garbled state can win
             return []
         return self._path(units)
 
     def _path(self, units: list[tuple[int, int, dict[int, float]]]) -> list[tuple[int, int, int]]:
-        """Viterbi over the stretches; scores are relative to the clean state's emissions."""
+        """Viterbi over the steps; scores are relative to the clean state's emissions."""
         states = sorted({s for _, _, own in units for s, g in own.items() if g > 0})
-        score = {0: 0.0} | {s: -ENTER for s in states}
+        enter = {s: ENTER + LOOSE * (s in _LOOSE) for s in states}
+        score = {0: 0.0} | {s: -enter[s] for s in states}
         back: list[dict[int, int]] = []
         for _, _, own in units:
             best = max(states, key=score.__getitem__)
@@ -273,10 +365,10 @@ class Labeller:
             came[0] = 0 if score[0] >= score[best] - LEAVE else best
             new[0] = max(score[0], score[best] - LEAVE)
             for s in states:
-                if score[s] >= score[0] - ENTER:
+                if score[s] >= score[0] - enter[s]:
                     came[s], new[s] = s, score[s]
                 else:
-                    came[s], new[s] = 0, score[0] - ENTER
+                    came[s], new[s] = 0, score[0] - enter[s]
                 new[s] += own.get(s, -60.0)
             score = new
             back.append(came)
