@@ -48,6 +48,10 @@ COMBINATIONS = 60
 EVERY = 12
 #: The teacher's probability from which a weak label is taken, for and against.
 SURE, SURE_NOT = 0.7, 0.2
+#: Scores of weakly harmless windows that are shown again: below, nothing is to be learned; above, the teacher may err.
+DOUBT = (0.1, 0.95)
+#: Weight of a window that is weakly labelled as offending.
+WEAK_WEIGHT = 2.0
 DIM, RANK = 1 << 18, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 512, 0.15, 1e-5, 7
 THRESHOLD = 0.5
@@ -375,7 +379,7 @@ def train(labels: list[tuple[str, bool]], corpus: list[str] = ()) -> Factorizati
             weak.setdefault(tuple(tokens[a:b]), 0.0)
     found = [(p, teacher.probability(list(p))) for p in weak]
     against = [(p, 0.0, float(EVERY)) for p, q in found if q <= SURE_NOT][::EVERY]
-    more = [(p, 1.0, 1.0) for p, q in found if q >= SURE and teacher.aimed(list(p))] + against
+    more = [(p, 1.0, WEAK_WEIGHT) for p, q in found if q >= SURE and teacher.aimed(list(p))] + against
     split = {k: [x for x in v.split()] for k, v in SENSES.items()}
     listed = [[w] for w in _SENSE_OF]
     for i, a in enumerate(SENSE_NAMES):
@@ -387,8 +391,18 @@ def train(labels: list[tuple[str, bool]], corpus: list[str] = ()) -> Factorizati
         if not SURE_NOT < q < SURE:
             more.append((tuple(p), float(q >= SURE), 0.5))
     cache: dict[str, tuple[int, list[int]]] = {}
-    samples = [expand(p, cache) for p in parts] + [expand(list(p), cache) for p, *_ in more]
-    return FactorizationMachine.train(samples, np.concatenate([y, [q for _, q, _ in more]]), np.concatenate([weight, [w for *_, w in more]]), DIM)
+    rest = [p for i, (p, q) in enumerate([x for x in found if x[1] <= SURE_NOT]) if i % EVERY]
+    for again in (True, False):
+        samples = [expand(p, cache) for p in parts] + [expand(list(p), cache) for p, *_ in more]
+        machine = FactorizationMachine.train(samples, np.concatenate([y, [q for _, q, _ in more]]), np.concatenate([weight, [w for *_, w in more]]), DIM)
+        if not again or not rest:
+            return machine
+        # harmless windows that were not taken and that the machine is least sure of are taken too
+        score = Scorer(machine).windows([list(p) for p in rest])
+        doubt = (score > DOUBT[0]) & (score < DOUBT[1])
+        if not doubt.any():
+            return machine
+        more += [(p, 0.0, 1.0) for p, d in zip(rest, doubt) if d]
 
 
 class Scorer:
@@ -450,6 +464,12 @@ class Scorer:
         np.maximum.at(out, np.array(rows), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return out
 
+    def windows(self, parts: list[list[str]]) -> np.ndarray:
+        """The score of each window, given by its words."""
+        cache: dict[str, tuple[int, list[int]]] = {}
+        z = np.array([self.model.score(*expand(p, cache)) for p in parts])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     def text(self, text: str | None) -> float:
         return float(self.texts([text])[0])
 
@@ -458,12 +478,11 @@ def fit(events: DataFrame, labels: DataFrame) -> FactorizationMachine | None:
     """The machine of the judged sample and of the weakly labelled sample of the events."""
     rows = labels.where("flagged is not null and text is not null").orderBy("label_id").limit(MAX_LABELS)
     judged = [(r["text"], r["flagged"]) for r in rows.select("text", "flagged").toLocalIterator()]
-    weak = (
-        events.where(F.col("content").isNotNull() & (F.length("content") <= WEAK_CHARS))
-        .select(F.xxhash64("session_id", "event_id").alias("k"), "content")
-        .orderBy("k", "content")
-        .limit(WEAK_ROWS)
-    )
+    # of all rows only about four times the sample pass, wherever they lie: the order is over these
+    share = min(1.0, 4 * WEAK_ROWS / max(1, events.count()))
+    key = F.xxhash64("session_id", "event_id")
+    few = events.where(F.col("content").isNotNull() & (F.length("content") <= WEAK_CHARS) & (key <= min(2**63 - 1, int(-(2**63) + share * 2**64))))
+    weak = few.groupBy(key.alias("k")).agg(F.min("content").alias("content")).orderBy("k").limit(WEAK_ROWS)
     return train(judged, [r["content"] for r in weak.select("content").toLocalIterator()])
 
 
