@@ -1,16 +1,16 @@
 """Problem 7: passages of evaluation items inside corpus texts.
 
-Size-partitioned MinHash containment search. An item is the set of its windows of twelve consecutive
-words, of its passage and of its query. Items are put into partitions by the power of two that bounds
-their number of windows; all items of a partition are sketched with the same k, the k smallest hashes
-of their windows, k = (bound - needed + 1). Of ``needed`` shared windows at least one is then among the
-k smallest, so that the search misses nothing; as one shared window is a leak here (needed = 1), the
-sketch of a short item holds all of its windows, and a text is searched as a stream of window hashes
-against the union of the sketches. Candidates are verified by exact containment: the words of the
-window themselves, not hashes, are looked up in the item.
-
-Items are a stated query set that is held against all rows, in blocks of at most BLOCK_WINDOWS windows:
-the bound of what is sent to the executors. No shuffle of texts.
+Size-partitioned MinHash containment search. An item is the set of its shingles of SHINGLE consecutive words, of its
+passage and of its query. A leak is a window of twelve words, so a text that leaks an item has at least ``needed``
+of its shingles (twelve words hold eight, fewer only where words repeat). Items are put into partitions by their
+number of shingles, each as wide as eight; the items of a partition are sketched with the same number of MinHash
+samples, k = bound - needed + 1 smallest hashes, bound being the partition's largest size: fewer
+than ``needed`` shingles are then no samples, so that every leaked window has one and is found, while an item of
+twelve words needs a single sample. A text is streamed against the samples; candidates are verified by exact containment: the
+words of the windows themselves, not hashes, are looked up in the item.
+
+Items are a stated query set that is held against all rows, in blocks of at most BLOCK_WINDOWS windows (more only
+where a single item has more): the bound of what is sent to the executors. No shuffle of texts.
 
 Defined results: null and empty texts, and items whose texts have fewer than twelve words, never match;
 a null item_id is left out; an item or a document that is repeated counts once; texts are read whole.
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from sessionloom.plans.runtime import arrow_map
 
 WINDOW = 12
+SHINGLE = 5
 #: Windows of items that are held against the corpus at once.
 BLOCK_WINDOWS = 500_000
 
@@ -55,28 +56,41 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class ContainmentIndex:
-    """Sketches of one block of items and the windows behind them."""
+    """MinHash samples of one block of items by size partition, and the windows behind them."""
 
-    def __init__(self, items: list[tuple[str, list[str | None]]], width: int = WINDOW, needed: int = 1):
-        self.width, self.number = width, {}
-        windows: dict[str, set[tuple[int, ...]]] = {}
+    def __init__(self, items: list[tuple[str, list[str | None]]], width: int = WINDOW):
+        self.width, self.shingle, self.number = width, min(SHINGLE, width), {}
+        span = width - self.shingle + 1
+        #: Items of each window, and the number of windows of each item.
+        self.items_of: dict[tuple[int, ...], list[str]] = {}
+        self.sizes: dict[str, int] = {}
+        partitions: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, texts in items:
-            own = windows.setdefault(item, set())
+            own: dict[tuple[int, ...], None] = {}
+            hashes: list[np.ndarray] = []
+            needed = span
             for text in texts:
                 ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text or "")]
-                own.update(tuple(ids[i : i + width]) for i in range(len(ids) - width + 1))
-        self.items_of: dict[tuple[int, ...], list[str]] = {}
-        self.sizes = {item: len(own) for item, own in windows.items()}
-        kept: list[np.ndarray] = []
-        for item, own in windows.items():
+                if len(ids) < width:
+                    continue
+                own.update((tuple(ids[i : i + width]), None) for i in range(len(ids) - width + 1))
+                h = window_hashes(np.array(ids, np.int64), self.shingle)
+                hashes.append(h)
+                needed = min(needed, *(len(set(h[i : i + span].tolist())) for i in range(len(h) - span + 1)))
+            self.sizes[item] = len(own)
             for w in own:
                 self.items_of.setdefault(w, []).append(item)
-            if own:
-                bound = 1 << (len(own) - 1).bit_length()
-                k = max(1, bound - needed + 1)
-                hashes = window_hashes(np.array(sorted(own), np.int64).ravel(), width)[:: width]
-                kept.append(np.sort(hashes)[:k])
-        self.sketch = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
+            if hashes:
+                every = np.unique(np.concatenate(hashes))
+                partitions.setdefault(-(-len(every) // span), []).append((every, needed))
+        #: Sorted samples of each partition, by the bound of its items' sizes.
+        self.samples: dict[int, np.ndarray] = {}
+        self.shingles = 0
+        for part, members in sorted(partitions.items()):
+            bound = part * span
+            self.samples[bound] = np.unique(np.concatenate([every[: bound - needed + 1] for every, needed in members]))
+            self.shingles += sum(len(every) for every, _ in members)
+        self.any = np.unique(np.concatenate(list(self.samples.values()))) if self.samples else np.zeros(0, np.uint64)
 
     def search(self, texts: list[str | None]) -> list[tuple[int, str, int]]:
         """(number of the text, item, distinct windows of the item that the text has)."""
@@ -89,18 +103,27 @@ class ContainmentIndex:
                 ids += [get(w, 0) for w in words(text)]
             ids.append(0)
         array = np.array(ids, np.int64)
-        if len(array) < width or not len(self.sketch):
+        if len(array) < width or not len(self.any):
             return []
+        # windows without a word that no item has, and shingles within such windows
         zeros = np.concatenate([[0], np.cumsum(array == 0)])
-        at = np.flatnonzero(zeros[width:] == zeros[:-width])
-        if not len(at):
+        whole = np.flatnonzero(zeros[width:] == zeros[:-width])
+        if not len(whole):
             return []
-        hashes = window_hashes(array, width)[at]
-        place = np.minimum(np.searchsorted(self.sketch, hashes), len(self.sketch) - 1)
-        at = at[self.sketch[place] == hashes]
+        inside = np.zeros(len(array) + 1, np.int64)
+        np.add.at(inside, whole, 1)
+        np.add.at(inside, whole + width - self.shingle + 1, -1)
+        at = np.flatnonzero(np.cumsum(inside)[: len(array) - self.shingle + 1])
+        hashes = window_hashes(array, self.shingle)[at]
+        place = np.minimum(np.searchsorted(self.any, hashes), len(self.any) - 1)
+        sampled = np.zeros(len(array) + 1, np.int64)
+        sampled[at[self.any[place] == hashes]] = 1
+        # a window is a candidate where one of its shingles is a sample
+        before = np.concatenate([[0], np.cumsum(sampled)])
+        likely = whole[before[whole + width - self.shingle + 1] > before[whole]]
         found: dict[tuple[int, str], set] = {}
-        rows = np.searchsorted(np.array(starts), at, side="right") - 1
-        for row, p in zip(rows.tolist(), at.tolist()):
+        rows = np.searchsorted(np.array(starts), likely, side="right") - 1
+        for row, p in zip(rows.tolist(), likely.tolist()):
             window = tuple(ids[p : p + width])
             for item in self.items_of.get(window, ()):
                 found.setdefault((row, item), set()).add(window)
@@ -128,8 +151,8 @@ def find_leaks(
         merged.setdefault(row[0], []).extend(row[1:])
     size = 0
     for item, texts in sorted(merged.items()):
-        n = sum(len(t or "") // 2 for t in texts)
-        if size + n > BLOCK_WINDOWS * 3 and blocks[-1]:
+        n = sum(max(0, len(words(t or "")) - width + 1) for t in texts)
+        if size + n > BLOCK_WINDOWS and blocks[-1]:
             blocks.append([])
             size = 0
         size += n

@@ -149,6 +149,20 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_leak_samples_miss_nothing():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(9)]  # so few that shingles repeat within windows
+    items = [(f"i{k}", [" ".join(rng.choice(words[: rng.choice([1, 2, 9])]) for _ in range(rng.choice([12, 13, 20, 60, 200]))), None]) for k in range(60)]
+    index = leaks.ContainmentIndex(items)
+    for name, (text, _) in items:
+        own = text.split()
+        for at in range(len(own) - 11):
+            body = "zz " + " ".join(own[at : at + 12]) + " zz"
+            assert (0, name, 1) in index.search([body])
+    short = leaks.ContainmentIndex([("a", [" ".join(f"u{i}" for i in range(12)), None])])
+    assert short.shingles == 8 and len(short.any) == 1
+
+
 # ---- p8 -------------------------------------------------------------------------------------------
 
 PROPER = [
