@@ -10,7 +10,7 @@ well below the threshold are dropped, all others are verified by the exact simil
 Scale. Texts are shuffled once, by session. Sessions with equal sets are one class from then on, so
 copies never meet in a band; pairs are made between classes and expanded by their members at the end,
 as the required result lists them. A session with more events than BLOCK_EVENTS is cut into blocks of
-its event index: blocks are read apart, shingles across their borders are made from the two words on
+consecutive events, counted and not judged by their index: blocks are read apart, shingles across their borders are made from the two words on
 either side, its samples are the minima of its blocks' samples, and it is verified by joins on single
 shingles instead of arrays, so that it is never gathered in one task.
 
@@ -30,9 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.operators.indexing import dense_index, running_sum
 from sessionloom.plans.runtime import cut
 
 SHINGLE = 3
@@ -44,7 +45,9 @@ SKETCH_BITS = 512
 SLACK = 0.22
 #: Events of a session that are read in one group; longer sessions are cut into blocks.
 BLOCK_EVENTS = 1024
-#: Up to so many ids are broadcast (8 bytes each, after they are counted); beyond, they are shuffled.
+#: Characters that weigh as much as BLOCK_EVENTS events.
+BLOCK_CHARS = 4_000_000
+#: Up to so many ids are broadcast (after they are counted); beyond, they are shuffled.
 BROADCAST_IDS = 1_000_000
 WORD_CACHE = 500_000
 
@@ -228,34 +231,49 @@ def _described(rows: DataFrame, sets: bool = False) -> DataFrame:
 
 def similar_sessions(events: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs ``session_id_a, session_id_b, similarity`` of different sessions at or above the threshold."""
+    return _expand(*similar_classes(events, threshold))
+
+
+def similar_classes(events: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``na, xa, nb, xb, similarity`` of classes of sessions with equal sets, and the members ``n, x, session_id``."""
     order = F.coalesce(F.col("event_index").cast("bigint"), F.lit(-1))
     rows = events.where("session_id is not null and content is not null and content != ''").select(
         "session_id", "event_id", order.alias("at"), "content"
     )
-    long_ids = cut(rows.where(F.col("at") >= BLOCK_EVENTS).select("session_id").distinct())
+    # long sessions by the number and size of their rows, whatever their indexes say
+    weight = F.lit(1) + F.length("content") / BLOCK_CHARS * BLOCK_EVENTS
+    long_ids = cut(rows.groupBy("session_id").agg(F.sum(weight).alias("w")).where(F.col("w") > BLOCK_EVENTS).select("session_id"))
     flags = long_ids.withColumn("long", F.lit(True))
-    block = F.when(F.col("long"), F.expr(f"at div {BLOCK_EVENTS}")).otherwise(F.lit(0))
     marked = (
         rows.join(F.broadcast(flags) if _few(long_ids) else flags, "session_id", "left")
         .withColumn("long", F.coalesce("long", F.lit(False)))
-        .withColumn("block", block)
+        .withColumn("block", F.lit(0).cast("bigint"))
     )
+    # blocks are cut by a running sum over all rows of long sessions, one row for each event; a block may begin with
+    # the session before it, as blocks are told apart by session and number
+    of_long = marked.where("long").groupBy("session_id", "event_id").agg(F.min(F.struct("at", "content")).alias("r")).select("session_id", "event_id", "r.*")
+    placed = running_sum(of_long, ["session_id", "at", "event_id"], F.ceil(F.lit(1) + F.length("content") / BLOCK_CHARS * BLOCK_EVENTS), "_before")
+    cut_long = placed.select("session_id", "event_id", "at", "content", F.lit(True).alias("long"), F.expr(f"_before div {BLOCK_EVENTS}").alias("block"))
+    marked = marked.where("not long").unionByName(cut_long)
     parts = cut(_described(marked))
     long_rows, long_done = _long_sessions(parts.where("long"))
     short = parts.where("not long").select("session_id", "n", "x", "bands", "sketch", "long")
     described = short.unionByName(long_done.withColumn("long", F.lit(True)))
     likely = _candidates(described, threshold)
     verified = _verify(likely, marked.where("not long"), long_rows, threshold)
-    return _expand(verified, described.select("n", "x", "session_id"))
+    return verified, described.select("n", "x", "session_id")
 
 
 def _long_sessions(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Single shingles ``session_id, h`` of the long sessions, and their sizes, band keys and sketches."""
-    w = Window.partitionBy("session_id").orderBy("block")
+    # the two blocks before each, by a dense number instead of a window over a session's blocks
+    placed = cut(dense_index(parts.select("session_id", "block", "head", "tail"), ["session_id", "block"], "i"))
+    back = lambda k: placed.select("session_id", (F.col("i") + k).alias("i"), F.col("tail").alias(f"tail{k}"))
     nothing = F.array().cast("array<string>")
-    edges = parts.select(
-        "session_id", F.concat(F.coalesce(F.lag("tail", 2).over(w), nothing), F.lag("tail").over(w)).alias("before"), "head"
-    )
+    edges = (
+        placed.join(back(1), ["session_id", "i"], "left").join(back(2), ["session_id", "i"], "left")
+        .select("session_id", F.concat(F.coalesce("tail2", nothing), F.col("tail1")).alias("before"), "head")
+    )
     borders = edges.where("before is not null").mapInArrow(
         _boundary, "session_id string, shingles array<bigint>, sig array<bigint>"
     )
@@ -355,17 +373,36 @@ def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def groups(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def similar_groups(events: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Groups of similar sessions as ``session_id, group_id, links``; group_id is the smallest member.
+
+    ``links`` is the number of sessions at or above the threshold. The groups are those of the classes; copies are
+    counted and joined as members at the end, never made into pairs.
+    """
+    pairs, members = similar_classes(events, threshold)
+    classes = members.groupBy("n", "x").agg(F.count("*").alias("size"), F.min("session_id").alias("name"))
+    side = lambda s: classes.select(F.col("n").alias(f"n{s}"), F.col("x").alias(f"x{s}"), F.col("size").alias(f"size{s}"), F.col("name").alias(f"session_id_{s}"))
+    named = cut(pairs.join(side("a"), ["na", "xa"]).join(side("b"), ["nb", "xb"]).select("session_id_a", "session_id_b", "sizea", "sizeb"))
+    met = named.select(F.col("session_id_a").alias("name"), F.col("sizeb").alias("k")).unionByName(named.select(F.col("session_id_b").alias("name"), F.col("sizea").alias("k")))
+    others = met.groupBy("name").agg(F.sum("k").alias("k"))
+    found = groups(named).select(F.col("session_id").alias("name"), "group_id")
+    # a group is named by its smallest member, which is the smallest of the classes' smallest ones
+    linked = classes.join(others, "name", "left").join(found, "name", "left")
+    own = linked.select("n", "x", F.coalesce("group_id", "name").alias("group_id"), (F.col("size") - 1 + F.coalesce("k", F.lit(0))).alias("links")).where("links > 0")
+    return members.join(own, ["n", "x"]).select("session_id", "group_id", "links")
+
+
+def groups(pairs: DataFrame) -> DataFrame:
     """Connected groups of sessions as ``session_id, group_id, links``; group_id is the smallest member.
 
-    Alternates the large-star and the small-star step, which halve the height of the forest each time;
-    every round is cut by a reliable checkpoint and nothing but a count reaches the driver.
+    Alternates the large-star and the small-star step, which halve the height of the forest each time, until
+    nothing changes; every round is cut by a reliable checkpoint and nothing but a count reaches the driver.
     """
     edges = cut(pairs.select(F.col("session_id_a").alias("u"), F.col("session_id_b").alias("v")))
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     links = both.groupBy("u").agg(F.count("*").alias("links"))
     stars = edges
-    for _ in range(rounds):
+    while True:
         around = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = around.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u != v")
@@ -377,8 +414,6 @@ def groups(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         stars = new
         if same:
             break
-    else:
-        raise RuntimeError(f"groups are not settled after {rounds} rounds")
     centre = stars.select(F.col("v").alias("u"), F.col("u").alias("group_id"))
     return links.join(centre, "u", "left").select(
         F.col("u").alias("session_id"), F.coalesce("group_id", "u").alias("group_id"), "links"

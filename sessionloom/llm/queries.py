@@ -51,7 +51,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.groups(neardup.similar_sessions(table(spark, sf, "session_events")))
+    return neardup.similar_groups(table(spark, sf, "session_events"))
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -114,7 +114,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert all(grouped[a] == grouped[b] for a, b in found) and set(grouped) == {x for p in found for x in p}
 
 
+def test_groups_of_copies_count_links_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_EVENTS", 4)
+    body = [f"k{i} l{i} m{i} n{i} o{i}" for i in range(9)]
+    rows = [(f"c{k}", f"e{i:02d}", i if k % 2 else None, line) for k in range(5) for i, line in enumerate(body)]
+    rows += [("d", f"e{i:02d}", i, line if i else line + " more") for i, line in enumerate(body)] + [("z", "e", 0, "quite another text here")]
+    got = {r.session_id: (r.group_id, r.links) for r in neardup.similar_groups(events(spark, rows)).collect()}
+    assert got == {s: ("c0", 5) for s in ("c0", "c1", "c2", "c3", "c4", "d")}
+    pairs = {(r.session_id_a, r.session_id_b) for r in neardup.similar_sessions(events(spark, rows)).collect()}
+    assert pairs == brute_pairs(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
+    assert neardup.similar_groups(events(spark, []).limit(0)).count() == 0
     assert neardup.similar_sessions(events(spark, []).limit(0)).count() == 0
 
 
