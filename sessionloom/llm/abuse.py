@@ -14,7 +14,7 @@ What the machine is fitted on is bounded, and all of it rests on the judged samp
   the list's words for each pair of senses. Where the teacher is not sure, nothing is taken;
   nor
   where they are against nobody (no insult, addressed person, group or sexual word beside them); combinations
-  of such words are shown as harmless.
+  of such words are shown as harmless, as are windows without any word of the list that could offend.
 
 So the list only carries to other words and languages what the judged sample says: with its labels shuffled the
 teacher is sure of nothing that offends, and nothing is found.
@@ -54,7 +54,7 @@ DOUBT = (0.1, 0.95)
 WEAK_WEIGHT = 2.0
 DIM, RANK = 1 << 18, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 512, 0.15, 1e-5, 7
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 #: Tokens of a window, and the step to the next.
 WINDOW, STEP = 14, 7
 #: Lengths of character n-grams; values of n-grams (of a word together) and of pairs of words, where a word has 1.
@@ -316,6 +316,8 @@ class Teacher:
 
     #: Senses of which one must be there: words against things alone (mild swearing) offend nobody.
     AIMED = frozenset(SENSE_NAMES.index(s) for s in ("insult", "you", "they", "group", "explicit", "sexual", "harm"))
+    #: Senses of which one must be there: words that only address somebody or name things say nothing bad.
+    HARMFUL = frozenset(SENSE_NAMES.index(s) for s in ("insult", "nasty", "dehuman", "expel", "threat", "harm", "explicit", "sexual", "curse"))
     #: Its own epochs and penalty: it has few terms and few samples.
     EPOCHS, DECAY = 60, 2e-3
 
@@ -345,6 +347,8 @@ class Teacher:
 
     def probability(self, words: list[str]) -> float:
         key = self.senses(words)
+        if self.HARMFUL.isdisjoint(key):
+            return 0.0
         if key not in self.cache:
             z = self.machine.score(np.array([*key, len(SENSE_NAMES)]), np.ones(len(key) + 1))
             self.cache[key] = 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
