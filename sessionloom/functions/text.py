@@ -41,11 +41,6 @@ def word_count(col: Column) -> Column:
     return F.size(tokens(col)).cast("bigint")
 
 
-def text_hash(col: Column) -> Column:
-    """SHA-256 of the normalized text, in hexadecimal digits."""
-    return F.sha2(normalize(col), 256)
-
-
 _WORD = re.compile(r"\w+")
 
 
@@ -64,6 +59,16 @@ def normalize_exact(col: Column) -> Column:
     return run(col)
 
 
+def text_hash(col: Column) -> Column:
+    """SHA-256 of the normalized text (NFKC, case folding, words), in hexadecimal digits."""
+    return F.sha2(normalize_exact(col), 256)
+
+
+def normalized_words(col: Column) -> Column:
+    """Number of words of a text that is normalized already."""
+    return F.when(col == "", 0).otherwise(F.size(F.split(col, " "))).cast("bigint")
+
+
 def simhash_of(words: list[str], width: int = 3, digest: str = "blake2b") -> int:
     """64-bit SimHash of the word shingles, which count as often as they occur; ties set the bit; signed.
 
@@ -113,9 +118,19 @@ def stable_fraction(seed: int, *parts: Column) -> Column:
     return number.cast("double") / F.lit(2.0**64)
 
 
+def exact_quality(text: str | None) -> str:
+    """NFKC, case folding and single blanks; null gives the empty string."""
+    return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
+
+
 def quality_normalize(col: Column) -> Column:
-    """Small letters and single blanks, for answer comparison."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(F.coalesce(col, F.lit(""))), F.lit("ß"), F.lit("ss")), r"[\s\p{Z}]+", " "))
+    """:func:`exact_quality` for a column, by an Arrow UDF, for answer comparison."""
+
+    @pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(exact_quality)
+
+    return run(col)
 
 
 def canonical_role(col: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sessionloom.functions.text import strip
 
+#: Names of roles and of event types.
 ROLES = ("system", "user", "assistant", "tool", "environment")
 TYPES = ("message", "tool_call", "tool_result", "observation", "artifact", "state_change", "decision", "action_summary")
 

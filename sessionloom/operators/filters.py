@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.functions.names import source_key
+
 
 def language_reason(language: Column, allowed: list[str]) -> Column:
     """``language`` where an allow-list is set and the language is missing or not in it, whatever its case."""
@@ -49,11 +51,22 @@ def leaked_groups(rows: DataFrame, held_out: DataFrame, group: str) -> DataFrame
     return rows.join(keys, group, "left").withColumn("reject", F.when(F.col("_hit"), "leakage")).drop("_hit")
 
 
-def external_allowed(metadata: Column, provider: str) -> Column:
-    """Whether a session may go to a provider: guarded ones need external_api_allowed not to be false."""
+def external_allowed(provenance: Column, provider: str) -> Column:
+    """Whether a session may go to a provider: to an external one only where its provenance allows it.
+
+    Anything but a true value of ``external_api_allowed`` denies: a missing, null, false, zero or empty one, and
+    provenance that is null or no JSON object.
+    """
     if provider not in ("openai", "openai_compatible"):
         return F.lit(True)
-    return F.coalesce(F.get_json_object(metadata, "$.external_api_allowed") != "false", F.lit(True))
+    said = F.get_json_object(provenance, "$.external_api_allowed")
+    return F.coalesce(~F.lower(said).isin("false", "null", "", "0", "0.0", "[]", "{}"), F.lit(False))
+
+
+def excluded_source(source: Column, barred: list[str]) -> Column:
+    """``excluded_source`` for names on a deny-list, whatever their case and separators; null names never are."""
+    keys = [k.strip().casefold().replace("-", "_").replace(" ", "_") for k in barred]
+    return F.when(F.coalesce(source_key(source).isin(*keys), F.lit(False)), "excluded_source") if keys else F.lit(None).cast("string")
 
 
 def gates(stats: DataFrame, minimum: dict[str, float], shares: dict[str, float], tolerance: float) -> DataFrame:

@@ -38,6 +38,18 @@ def running_sum(df: DataFrame, order: list[Column | str], value: Column, name: s
     )
 
 
+def group_index(df: DataFrame, group: list[str], order: list[Column | str], name: str = "index") -> DataFrame:
+    """A 0-based dense position by ``order`` within each group, without a window over a group: a global position less
+    that of the group's first row, so that a hot group is spread over as many tasks as its rows need.
+    """
+    placed = dense_index(df, [*group, *order], "_sl_g")
+    first = placed.groupBy(*group).agg(F.min("_sl_g").alias("_sl_first"))
+    renamed = first.select(*[F.col(c).alias(f"_sl_{i}") for i, c in enumerate(group)], "_sl_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_sl_{i}")) for i, c in enumerate(group)]
+    joined = placed.join(renamed, same)
+    return joined.withColumn(name, F.col("_sl_g") - F.col("_sl_first")).drop("_sl_g", "_sl_first", *[f"_sl_{i}" for i in range(len(group))])
+
+
 #: Digests that are joined and hashed at once.
 DIGEST_BLOCK = 4096
 

@@ -2,53 +2,58 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from sessionloom.functions.text import quality_normalize
+from sessionloom.functions.text import exact_quality
 
 
-def words(col: Column) -> Column:
-    return F.filter(F.split(quality_normalize(col), " "), lambda w: w != "")
+def _pairwise(kernel, kind: str):
+    """An Arrow UDF of a function of two lists of words; null texts have no words."""
 
+    def column(a: Column, b: Column) -> Column:
+        @pandas_udf(kind)
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([kernel(exact_quality(p).split(), exact_quality(q).split()) for p, q in zip(x, y)], dtype="int64" if kind == "bigint" else "float64")
 
-def token_f1(a: Column, b: Column) -> Column:
-    """F1 of the multisets of words; both empty 1, one empty 0."""
-    x, y = words(a), words(b)
-    common = F.aggregate(
-        F.array_distinct(x),
-        F.lit(0),
-        lambda s, w: s + F.least(F.size(F.filter(x, lambda v: v == w)), F.size(F.filter(y, lambda v: v == w))),
-    )
-    n = F.size(x) + F.size(y)
-    return F.when(n == 0, 1.0).otherwise(2.0 * common / n)
+        return run(a, b)
 
+    column.__doc__ = kernel.__doc__
+    return column
 
-def lcs_length(x: Column, y: Column) -> Column:
-    """Length of the longest common subsequence, by rows of the usual table."""
-    zero = F.transform(F.concat(F.array(F.lit("")), y), lambda _: F.lit(0))
-    empty = F.array().cast("array<int>")
 
-    def row(previous: Column, word: Column) -> Column:
-        steps = F.transform(y, lambda w, j: F.struct((w == word).alias("eq"), previous[j].alias("diag"), previous[j + 1].alias("up")))
-        grown = F.aggregate(
-            steps,
-            F.struct(F.lit(0).alias("left"), F.concat(empty, F.array(F.lit(0))).alias("row")),
-            lambda s, c: F.struct(
-                F.when(c["eq"], c["diag"] + 1).otherwise(F.greatest(s["left"], c["up"])).alias("left"),
-                F.concat(s["row"], F.array(F.when(c["eq"], c["diag"] + 1).otherwise(F.greatest(s["left"], c["up"])))).alias("row"),
-            ),
-        )
-        return grown["row"]
+def f1_of(x: list[str], y: list[str]) -> float:
+    """F1 of the multisets of words; both empty 1, one empty 0."""
+    n = len(x) + len(y)
+    return 2.0 * (Counter(x) & Counter(y)).total() / n if n else 1.0
 
-    return F.element_at(F.aggregate(x, zero, row), -1)
 
+def lcs_of(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence, by bits of one number for each word of the first list."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    every = (1 << len(x)) - 1
+    left = every
+    for w in y:
+        met = left & places.get(w, 0)
+        left = ((left + met) | (left - met)) & every
+    return len(x) - left.bit_count()
 
-def rouge_l(a: Column, b: Column) -> Column:
+
+def rouge_of(x: list[str], y: list[str]) -> float:
     """F1 of the longest common subsequence of words; both empty 1, one empty 0."""
-    x, y = words(a), words(b)
-    n = F.size(x) + F.size(y)
-    return F.when(n == 0, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * lcs_length(x, y) / n)
+    n = len(x) + len(y)
+    return 2.0 * lcs_of(x, y) / n if n else 1.0
+
+
+token_f1 = _pairwise(f1_of, "double")
+lcs_length = _pairwise(lcs_of, "bigint")
+rouge_l = _pairwise(rouge_of, "double")
 
 
 def summarize(scored: DataFrame, by: list[str], f1: str = "f1", exact: str = "exact", empty: str = "empty") -> DataFrame:

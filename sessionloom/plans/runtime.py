@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -21,17 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
-    temporary folder of this machine is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only in local mode, where that is unset, a temporary folder of this
+    machine is used, which goes when the process ends; on a cluster that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    where = configured or tempfile.mkdtemp(prefix="sessionloom-ckpt-")
-    sc.setCheckpointDir(where)
-    return where
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="sessionloom-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    sc.setCheckpointDir(configured)
+    return current.get() if (current := sc._jsc.sc().getCheckpointDir()).isDefined() else configured
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -68,6 +72,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def package_root() -> Path:
-    """Folder that holds the package (for shipping it to executors)."""
-    return Path(os.path.abspath(__file__)).parents[2]
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, by the file system that its scheme names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))

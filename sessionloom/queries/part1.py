@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import names, text
 from sessionloom.operators import canonical, dedup, indexing, splits, store
 from sessionloom.plans.runtime import table
+from sessionloom.queries import exact
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +26,7 @@ def query(sql: str | None = None):
     return add
 
 
+EXACT = exact.tables() + ", " + exact.normalized("nx", "documents", "doc_id", "text")
 NORM = "array_to_string(regexp_extract_all(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '[\\pL\\pN_]+'), ' ')"
 WORDS = "len(regexp_extract_all(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '[\\pL\\pN_]+'))"
 STRIP = "coalesce(regexp_replace({0}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g'), '')"
@@ -44,14 +46,15 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 # ---- text functions -------------------------------------------------------------------------------
 
 
-@query(f"select doc_id, sha256({NORM.format('text')}) as text_hash, {WORDS.format('text')}::bigint as words from documents")
+@query(f"with {EXACT} select doc_id, sha256({exact.joined('t')}) as text_hash, len({exact.words('t')})::bigint as words from nx")
 def scl1_normalize_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.text_hash(F.col("text")).alias("text_hash"), text.word_count(F.col("text")).alias("words"))
+    d = table(spark, sf, "documents").select("doc_id", text.normalize_exact(F.col("text")).alias("t"))
+    return d.select("doc_id", F.sha2("t", 256).alias("text_hash"), text.normalized_words(F.col("t")).alias("words"))
 
 
-@query()
+@query(f"with {EXACT} select doc_id, sha256({exact.joined('t')}) as text_hash from nx")
 def scl2_exact_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(text.normalize_exact(F.col("text")), 256).alias("text_hash"))
+    return table(spark, sf, "documents").select("doc_id", text.text_hash(F.col("text")).alias("text_hash"))
 
 
 @query()
@@ -94,13 +97,11 @@ def scl13_string_list(spark, sf):
     return e.select("item_id", F.array_join(text.string_list(F.col("incorrect_answers")), "|").alias("answers"), F.size("incorrect_answers").cast("bigint").alias("n"))
 
 
-@query("""select vec_id, row_number() over (partition by label order by sha256('memlora_validation_order_v1:42:' || vec_id), vec_id)::bigint as rank, label from embeddings""")
+@query("""select vec_id, row_number() over (partition by label order by sha256('validation_order:42:' || vec_id), vec_id)::bigint as rank, label from embeddings""")
 def scl14_validation_order(spark, sf):
-    from pyspark.sql import Window
-
-    key = F.sha2(F.concat(F.lit("memlora_validation_order_v1:42:"), F.col("vec_id").cast("string")), 256)
-    w = Window.partitionBy("label").orderBy(key, "vec_id")
-    return table(spark, sf, "embeddings").select("vec_id", F.row_number().over(w).cast("bigint").alias("rank"), "label")
+    key = F.sha2(F.concat(F.lit("validation_order:42:"), F.col("vec_id").cast("string")), 256)
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", key.alias("k"))
+    return indexing.group_index(rows, ["label"], ["k", "vec_id"], "rank").select("vec_id", (F.col("rank") + 1).alias("rank"), "label")
 
 
 @query("""with o as (select item_id, unnest(list_concat([correct_answer], incorrect_answers)) as opt, generate_subscripts(list_concat([correct_answer], incorrect_answers), 1) - 1 as pos from eval_items),
@@ -115,7 +116,7 @@ def scl15_shuffled_options(spark, sf):
     return e.select("item_id", F.array_join(o["options"], "|").alias("options"), o["gold"].cast("bigint").alias("gold"))
 
 
-@query("select doc_id, md5(trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\s\\pZ]+', ' ', 'g'), ' ')) as digest from documents")
+@query(f"with {EXACT} select doc_id, md5(trim(regexp_replace(t, '[\\s\\pZ\\x1c-\\x1f\\x85]+', ' ', 'g'), ' ')) as digest from nx")
 def scl25_quality_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.quality_normalize(F.col("text"))).alias("digest"))
 
@@ -178,13 +179,15 @@ def scl9_render(spark, sf):
 DEDUP_TEXT = f"""with {FIRST_SESSIONS}, {EVENT_LIST},
 p as (select session_id, session_index, source, domain, pos, unnest([{STRIP.format("ev->>'$.role'")}, coalesce(ev->>'$.type', 'message'), {STRIP.format("ev->>'$.name'")}, {STRIP.format("ev->>'$.content'")}, {STRIP.format("ev->>'$.status'")}, coalesce(ev->>'$.arguments', '')]) as part, unnest([1, 2, 3, 4, 5, 6]) as k from x),
 d as (select session_id, min(session_index) session_index, min(source) source, min(domain) as domain, string_agg(part, chr(10) order by pos, k) filter (part <> '') as t from p group by session_id),
-h as (select session_id, session_index, source, domain, sha256({NORM.format("t")}) as h, {WORDS.format("t")}::bigint as w from d)"""
+{exact.tables()}, {exact.normalized("nx", "d", "session_id", "t")},
+h as (select d.session_id, session_index, source, domain, sha256({exact.joined("nx.t")}) as h, len({exact.words("nx.t")})::bigint as w from d join nx using (session_id))"""
 
 
 def _hashed(spark, sf):
     s = _sessions(spark, sf).where("events_json is not null")
-    t = canonical.dedup_text(F.col("events"))
-    return s.select("session_id", "session_index", "source", "domain", text.text_hash(t).alias("h"), text.word_count(t).alias("w"))
+    t = text.normalize_exact(canonical.dedup_text(F.col("events")))
+    rows = s.select("session_id", "session_index", "source", "domain", t.alias("t"))
+    return rows.select("session_id", "session_index", "source", "domain", F.sha2("t", 256).alias("h"), text.normalized_words(F.col("t")).alias("w"))
 
 
 @query(DEDUP_TEXT + " select session_id, h, w from h")
@@ -215,7 +218,7 @@ def win7_first_wins(spark, sf):
     return dedup.exact_duplicates(_hashed(spark, sf), "h", "session_index").select("session_id", (~F.col("is_first")).alias("duplicate"))
 
 
-SIMHASH_SQL = """with w as (select doc_id, [x for x in string_split(t, ' ') if x <> ''] as ws from (select doc_id, """ + NORM.format("text") + """ t from documents)),
+SIMHASH_SQL = f"with {EXACT}, " + """w as (select doc_id, [x for x in string_split(t, ' ') if x <> ''] as ws from (select doc_id, """ + exact.joined("t") + """ t from nx)),
 g as (select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, chr(0))] else [ws[i] || chr(0) || ws[i + 1] || chr(0) || ws[i + 2] for i in range(1, len(ws) - 1)] end) as gram from w),
 b as (select doc_id, ('0x' || substr(md5(gram), 1, 16))::ubigint as h from g),
 c as (select doc_id, count(*) n, """ + ", ".join(f"sum((h >> {i}) & 1) b{i}" for i in range(64)) + """ from b group by 1)"""
@@ -223,7 +226,7 @@ c as (select doc_id, count(*) n, """ + ", ".join(f"sum((h >> {i}) & 1) b{i}" for
 
 @query(SIMHASH_SQL + " select doc_id, " + " || ".join(f"case when 2 * coalesce(b{i}, 0) >= coalesce(n, 1) then '1' else '0' end" for i in reversed(range(64))) + " as bits from (select doc_id from documents) left join c using (doc_id)")
 def scl3_simhash_md5(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", text.normalize_exact(F.col("text")).alias("t"))
     h = d.select("doc_id", text.simhash64(3, "md5")(F.col("t")).alias("h"))
     return h.select("doc_id", F.lpad(F.bin("h"), 64, "0").alias("bits"))
 
@@ -243,12 +246,12 @@ def st5_greedy_dedup(spark, sf):
     return dedup.classify(_simhashed(spark, sf), "doc_id", "h", "sim", "w").select("doc_id", "verdict")
 
 
-@query(f"""with pats as (select unnest(['as far as i know', 'the note says that', 'laut notiz']) p, unnest([1, 2, 3]) k)
-select doc_id, (select arg_min(p, k) from pats where contains({NORM.format('text')}, p)) as excluded from documents""")
+@query(f"""with {EXACT}, pats as (select unnest(['as far as i know', 'the note says that', 'laut notiz']) p, unnest([1, 2, 3]) k)
+select doc_id, (select arg_min(p, k) from pats where contains({exact.joined('t')}, p)) as excluded from nx""")
 def flt5_excluded_text(spark, sf):
     d = table(spark, sf, "documents")
     patterns = ["as far as i know", "the note says that", "laut notiz"]
-    return d.select("doc_id", dedup.excluded_by(text.normalize(F.col("text")), patterns).alias("excluded"))
+    return d.select("doc_id", dedup.excluded_by(text.normalize_exact(F.col("text")), patterns).alias("excluded"))
 
 
 # ---- splits and positions -------------------------------------------------------------------------

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions import arrays
+from sessionloom.functions import arrays, text
 from sessionloom.operators import benchmarks, indexing, memory, objectives, quality
 from sessionloom.plans.runtime import table
+from sessionloom.queries import exact
 from sessionloom.queries.part1 import DISTINCT_EVENTS, NORM, PROBES, WORDS, _probes, events
 
 QUERIES: dict = {}
@@ -202,8 +203,10 @@ def sup25_layer_pick(spark, sf):
 
 # ---- quality --------------------------------------------------------------------------------------
 
-QNORM = "list_filter(string_split(trim(regexp_replace(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '[\\s\\pZ]+', ' ', 'g')), ' '), lambda w: w <> '')"
-F1 = f"""{PROBES}, w as (select probe_index, probe_type, {QNORM.format('prompt')} a, {QNORM.format('reference')} b from p),
+QWORDS = "list_filter(string_split(trim(regexp_replace({0}, '[\\s\\pZ\\x1c-\\x1f\\x85]+', ' ', 'g')), ' '), lambda w: w <> '')"
+BOTH = f"""{PROBES}, {exact.tables()}, {exact.normalized("xa", "p", "probe_index", "prompt")}, {exact.normalized("xb", "p", "probe_index", "reference")},
+w as (select probe_index, probe_type, {QWORDS.format('xa.t')} a, {QWORDS.format('xb.t')} b from p join xa using (probe_index) join xb using (probe_index))"""
+F1 = f"""{BOTH},
 f as (select *, list_sum([least(len([1 for v in a if v = x]), len([1 for v in b if v = x])) for x in list_distinct(a)]) c from w),
 q as (select probe_index, probe_type, case when len(a) + len(b) = 0 then 1.0 else 2.0 * coalesce(c, 0) / (len(a) + len(b)) end as f1, a = b as exact, len(b) = 0 as empty from f)"""
 
@@ -211,8 +214,8 @@ q as (select probe_index, probe_type, case when len(a) + len(b) = 0 then 1.0 els
 def _scored(spark, sf):
     p = _probes(spark, sf)
     a, b = F.col("prompt"), F.col("reference")
-    same = quality.quality_normalize(a) == quality.quality_normalize(b)
-    return p.select("probe_index", "probe_type", quality.token_f1(a, b).alias("f1"), same.alias("exact"), (F.size(quality.words(b)) == 0).alias("empty"))
+    x, y = text.quality_normalize(a), text.quality_normalize(b)
+    return p.select("probe_index", "probe_type", quality.token_f1(a, b).alias("f1"), (x == y).alias("exact"), (y == "").alias("empty"))
 
 
 @query(f"with {F1} select probe_index, round(f1, 6) as f1 from q")
@@ -220,7 +223,9 @@ def scl27_token_f1(spark, sf):
     return _scored(spark, sf).select("probe_index", F.round("f1", 6).alias("f1"))
 
 
-@query()
+@query(f"""with recursive {BOTH}, l as (select probe_index, a, b, 0 as i, list_transform(range(0, len(b) + 1), lambda k: 0) as row from w union all
+select probe_index, a, b, i + 1, list_reduce(list_prepend([0], list_transform(range(1, len(b) + 1), lambda j: case when b[j] = a[i + 1] then [row[j] + 1] else [row[j + 1]] end)), lambda s, v: list_append(s, greatest(s[len(s)], v[1]))) from l where i < len(a))
+select probe_index, round(case when len(a) + len(b) = 0 then 1.0 else 2.0 * row[len(row)] / (len(a) + len(b)) end, 6) as rouge_l from l where i = len(a)""")
 def scl28_rouge_l(spark, sf):
     return _probes(spark, sf).select("probe_index", F.round(quality.rouge_l(F.col("prompt"), F.col("reference")), 6).alias("rouge_l"))
 

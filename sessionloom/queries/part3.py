@@ -181,10 +181,14 @@ def flt11_persona_leakage(spark, sf):
     return filters.leaked_groups(e.where("benchmark != 'persona'").select("item_id", "persona_id"), e.where("benchmark = 'persona'"), "persona_id").select("item_id", "reject")
 
 
-@query("select session_id, coalesce(metadata_json->>'$.external_api_allowed' <> 'false', true) as allowed from (select session_id, min(metadata_json) metadata_json from sessions group by 1)")
+@query("""with s as (select session_id, min(case when session_index % 3 = 0 then json_merge_patch(provenance_json, '{"external_api_allowed": true}') when session_index % 3 = 1 then json_merge_patch(provenance_json, '{"external_api_allowed": false}') else provenance_json end)::json as p from sessions group by 1)
+select session_id, coalesce(lower(p->>'$.external_api_allowed') = 'true', false) as allowed, true as "local" from s""")
 def flt12_provider_permission(spark, sf):
-    s = table(spark, sf, "sessions").groupBy("session_id").agg(F.min("metadata_json").alias("m"))
-    return s.select("session_id", filters.external_allowed(F.col("m"), "openai").alias("allowed"))
+    """The tables' provenance never speaks of providers: every third session is told yes, every third no."""
+    said = lambda v: F.concat(F.lit('{"external_api_allowed": ' + v + ", "), F.substring(F.trim("provenance_json"), 2, 1 << 30))
+    p = F.when(F.col("session_index") % 3 == 0, said("true")).when(F.col("session_index") % 3 == 1, said("false")).otherwise(F.col("provenance_json"))
+    s = table(spark, sf, "sessions").groupBy("session_id").agg(F.min(p).alias("p"))
+    return s.select("session_id", filters.external_allowed(F.col("p"), "openai").alias("allowed"), filters.external_allowed(F.col("p"), "local").alias("local"))
 
 
 @query("""with s as (select domain, count(*) sessions, sum(context_tokens)::double tokens, sum(probe_count)::double probes from sessions where domain is not null group by 1), t as (select sum(sessions)::double s, sum(tokens) t, sum(probes) p from s)
@@ -256,26 +260,35 @@ def win5_select_target(spark, sf):
     return probes.select_target(_probes(spark, sf), 3).select("probe_index", "session_id")
 
 
-@query(f"""with {DISTINCT_EVENTS}, a as (select b.session_id, b.event_index as "at", substr(trim(a.content), 1, 512) as prompt, substr(trim(b.content), 1, 512) as reference from e b join e a on a.session_id = b.session_id and a.event_index = b.event_index - 1 where a.role = 'user' and b.role = 'assistant' and a.event_type = 'message' and b.event_type = 'message'),
-u as (select *, row_number() over (partition by session_id, lower(trim(prompt)), lower(trim(reference)) order by "at") d from a where prompt <> '' and reference <> ''), r as (select *, row_number() over (partition by session_id order by "at") rank from u where d = 1) select session_id, "at", md5(prompt || '|' || reference) as digest, rank from r where rank <= 4""")
-def st10_seed_probes(spark, sf):
-    from sessionloom.operators import store
+CUT = lambda x: STRIP.format("substr(" + STRIP.format(x) + ", 1, 512)")
+FOLD = lambda x: "lower(upper(replace(" + STRIP.format(x) + ", 'ß', 'ss')))"
+STEPS = f"{DISTINCT_EVENTS}, i as (select *, row_number() over (partition by session_id order by event_index, event_id) as step from e)"
+FRESH = lambda prefix, target, room, order: f"""k as (select distinct session_id, {FOLD('prompt')} kp, {FOLD('reference')} kr from p), h as (select session_id, count(*) have, list(try_cast(regexp_extract(probe_id, '^{prefix}(0|[1-9][0-9]*)$', 1) as bigint)) used from p group by 1),
+n as (select *, row_number() over (partition by session_id, {FOLD('prompt')}, {FOLD('reference')} order by {order}) d from c where prompt <> '' and reference <> '' and not exists (select 1 from k where k.session_id = c.session_id and kp = {FOLD('c.prompt')} and kr = {FOLD('c.reference')})),
+r as (select *, row_number() over (partition by session_id order by {order}) as rank from n where d = 1)
+select session_id, rank, '{prefix}' || list_filter(range(0, {2 * target}), lambda x: not list_contains(coalesce(used, []), x))[rank] as probe_id, probe_type, md5(concat_ws('|', prompt, reference, array_to_string(ev, ','))) as digest from r left join h using (session_id) where rank <= {room}"""
+
+
+def _made(df):
+    digest = F.md5(F.concat_ws("|", "prompt", "reference", F.array_join("evidence_event_ids", ",")))
+    return df.select("session_id", F.col("rank").cast("bigint").alias("rank"), "probe_id", "probe_type", digest.alias("digest"))
 
-    rows = store.adjacent(events(spark, sf).select("session_id", "event_index", "role", "event_type", "content"), "session_id", "event_index", ["role", "event_type", "content"])
-    turn = rows.where("role = 'assistant' and prev_role = 'user' and event_type = 'message' and prev_event_type = 'message'")
-    pairs = turn.select("session_id", F.col("event_index").alias("at"), F.col("prev_content").alias("prompt"), F.col("content").alias("reference"), F.lit("source_turn_response").alias("kind"))
-    s = probes.seed(pairs, 4)
-    return s.select("session_id", "at", F.md5(F.concat("prompt", F.lit("|"), "reference")).alias("digest"), F.col("rank").cast("bigint").alias("rank"))
+
+@query(f"""with {PROBES}, {STEPS}, c as (select b.session_id, b.step, case when b.role = 'assistant' and a.role = 'user' then {CUT('a.content')} else {CUT("'What result did the ' || coalesce(nullif(" + STRIP.format('b.tool_name') + ", ''), nullif(" + STRIP.format('a.tool_name') + ", ''), 'tool') || ' tool return at step ' || b.step || '?'")} end as prompt, {CUT('b.content')} as reference,
+case when b.role = 'assistant' and a.role = 'user' then 'source_turn_response' else 'source_tool_result' end as probe_type, [a.event_id, b.event_id] as ev from i b join i a on a.session_id = b.session_id and a.step = b.step - 1 where b.role = 'assistant' and a.role = 'user' or b.event_type = 'tool_result' and a.event_type = 'tool_call'), """ + FRESH("s_p", 6, "least(6 - coalesce(have, 0), 4)", "step"))
+def st10_seed_probes(spark, sf):
+    return _made(probes.seed(events(spark, sf), _probes(spark, sf), 6, 4))
 
 
 TEMPLATES = ", ".join("'" + t + "'" for t in probes.TEMPLATES)
 
 
-@query(f"""with {DISTINCT_EVENTS}, f as (select *, row_number() over (partition by session_id order by event_index) step from e), g as (select session_id, step, coalesce(nullif(trim(content, ' '), ''), nullif(trim(arguments_json, ' '), ''), 'Called ' || tool_name || '.') as reference from f where step <= 6),
-q as (select session_id, step, reference, unnest([{TEMPLATES}]) as t, unnest(range(0, 10)) k from g where reference is not null), r as (select *, row_number() over (partition by session_id order by k, step) rank from q) select session_id, rank, replace(t, '{{n}}', step::varchar) as prompt, md5(reference) as digest from r where rank <= 6""")
+@query(f"""with {PROBES}, {STEPS}, t as (select b.session_id, -1 as template, b.step, {STRIP.format("substr(a.content, 1, 512)")} as prompt, {CUT('b.content')} as reference, 'fallback_turn_response' as probe_type, [a.event_id, b.event_id] as ev from i b join i a on a.session_id = b.session_id and a.step = b.step - 1 where b.role = 'assistant' and a.role = 'user'),
+g as (select session_id, step, event_id, coalesce(nullif({STRIP.format('content')}, ''), nullif({STRIP.format('arguments_json')}, ''), case when event_type = 'tool_call' then 'Called ' || coalesce(tool_name, '') || '.' end) as told from i),
+q as (select session_id, step, event_id, told, unnest([{TEMPLATES}]) as question, unnest(range(0, 10)) as template from g where told is not null),
+c as (select * from t union all select session_id, template, step, replace(question, '{{step}}', step::varchar), {CUT('told')}, 'fallback_event_recall', [event_id] from q), """ + FRESH("g_p", 6, "6 - coalesce(have, 0)", "template, step"))
 def st11_fallback_probes(spark, sf):
-    f = probes.fallback(events(spark, sf), 6)
-    return f.select("session_id", F.col("rank").cast("bigint").alias("rank"), "prompt", F.md5("reference").alias("digest"))
+    return _made(probes.fallback(events(spark, sf), _probes(spark, sf), 6))
 
 
 @query(f"with {PROBES}, d as (select session_id, min(probe_index) as probe_index from p group by session_id, lower(trim(prompt, ' ')), lower(trim(coalesce(reference, ''), ' '))) select probe_index, session_id from d")

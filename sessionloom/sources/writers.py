@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.plans.runtime import path_exists
+
 SHARD_ROWS = 4096
 
 
@@ -62,10 +64,10 @@ def write_manifest(spark: SparkSession, tables: dict[str, str], path: str, extra
 def append_new(df: DataFrame, path: str, key: str) -> int:
     """Append the rows whose key the table at ``path`` lacks; returns how many rows the table has then.
 
-    A stopped run is resumed by calling it again: what was written is skipped.
+    A stopped run is resumed by calling it again: what was written is skipped, on any file system that Spark reads.
     """
     spark = df.sparkSession
-    if os.path.exists(path.removeprefix("file:")):
+    if path_exists(spark, path):
         done = spark.read.parquet(path).select(key).distinct()
         df = df.join(done, key, "left_anti")
     df.dropDuplicates([key]).write.mode("append").option("compression", "zstd").parquet(path)
