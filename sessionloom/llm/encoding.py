@@ -33,14 +33,14 @@ from sessionloom.plans.runtime import arrow_map
 #: Cells of the hashed table of character pairs: the bound of what is collected and broadcast.
 CELLS = 1 << 19
 #: Log-probability costs: of entering a garbled state, of going back, of each stretch inside it.
-ENTER, LEAVE, STAY = 8.0, 1.0, 1.0
+ENTER, LEAVE, STAY = 5.5, 1.0, 1.0
 #: Characters from which on a stretch whose two-byte units are all printable ASCII is no chance.
 TAKEN_AS_PAIRS = 8
 #: What entering a state costs more whose transform undoes any characters whatever: fitting it proves nothing.
-LOOSE = 11.0
+LOOSE = 14.0
 #: Weight of the class model beside a character's own counts, of a class's share beside its counts after another
 #: class, and what is added to the counts of single characters.
-BACKED, BACKED_CLASS, FLOOR = 200.0, 300.0, 0.1
+BACKED, BACKED_CLASS, FLOOR = 2000.0, 1000.0, 0.1
 #: The probability that any character has after any other.
 ANY = 1e-7
 LOST = "�"
@@ -266,19 +266,37 @@ class Labeller:
     def __init__(self, cells: np.ndarray, counts: np.ndarray):
         self.n = np.zeros(CELLS)
         self.n[cells] = counts
-        share = self.n[_hashed(np.arange(len(_SIZE)), _KIND)] + FLOOR
-        self.share = share / share.sum()
+        number = np.arange(len(_SIZE))
+        kinds = self.n[_hashed(number, _KIND)]
+        share = (kinds + FLOOR) / (kinds + FLOOR).sum()
+        met = self.n[_hashed(*(x.ravel() for x in np.meshgrid(number, number + _KIND_PAIR, indexing="ij")))].reshape(len(number), -1)
+        #: Of each class the share of each class after it, and what a character's count is divided by.
+        self.follows = (met + BACKED_CLASS * share) / (kinds + BACKED_CLASS)[:, None]
+        self.members = kinds + FLOOR * _SIZE
         self.cache: dict[str, list[tuple[int, int, dict[int, float]]]] = {}
         self.open: dict[str, list[int]] = {}
+        self.pairs: dict[str, float] = {}
 
     def score(self, s: str) -> float:
         """Log-probability of all characters but the first, each after the one before it."""
-        codes = _codes(s).astype(np.int64)
-        own = _class_of(codes)
-        pairs, ones, kind_pairs, kinds = (self.n[c] for c in _counted(codes))
-        of_class = (ones[1:] + FLOOR) / (kinds[1:] + FLOOR * _SIZE[own[1:]])
-        backed = (kind_pairs + BACKED_CLASS * self.share[own[1:]]) / (kinds[:-1] + BACKED_CLASS) * of_class
-        return float(np.log((pairs + BACKED * backed) / (ones[:-1] + BACKED) + ANY).sum())
+        get = self.pairs.get
+        found = [get(p) for p in map(str.__add__, s, s[1:])]
+        if None in found:
+            new = sorted({s[i : i + 2] for i, v in enumerate(found) if v is None})
+            if len(self.pairs) > CACHE_ENTRIES:
+                self.pairs.clear()
+            self.pairs.update(zip(new, self._after(_codes("".join(new)).astype(np.int64).reshape(-1, 2)).tolist()))
+            if None in (found := [get(p) for p in map(str.__add__, s, s[1:])]):  # cleared between: once more, in full
+                return float(self._after(np.stack([c := _codes(s).astype(np.int64), np.roll(c, -1)], axis=1)[:-1]).sum())
+        return sum(found)
+
+    def _after(self, codes: np.ndarray) -> np.ndarray:
+        """Log-probability of the second of two characters after the first, for rows of two."""
+        x, y = codes.T
+        cy = _class_of(y)
+        pairs, ones, after = self.n[_hashed(x, y)], self.n[_hashed(x, _ONE)], self.n[_hashed(y, _ONE)]
+        backed = self.follows[_class_of(x), cy] * (after + FLOOR) / self.members[cy]
+        return np.log((pairs + BACKED * backed) / (ones + BACKED) + ANY)
 
     def candidates(self, char: str) -> list[int]:
         """States that can emit a character at the beginning of a stretch."""
@@ -293,13 +311,16 @@ class Labeller:
         if LOST in run:
             return {len(STATES) - 1: LOST_GAIN}
         out, clean, key = {}, None, f"{before}{run}{after}"
+        scored: dict[str, float] = {}
         for state in self.candidates(run[0]):
             was = inverse(run, state)
             if was is None or was == run:
                 continue
             if clean is None:
                 clean = self.score(key)
-            gain = self.score(f"{before}{was}{after}") - clean - STAY
+            if was not in scored:
+                scored[was] = self.score(f"{before}{was}{after}")
+            gain = scored[was] - clean - STAY
             if _MEANT[state] in ("cp1251", "koi8-r"):
                 gain -= MIXED * ((before.isascii() and before.isalpha()) + (after.isascii() and after.isalpha()))
             out[state] = gain

@@ -188,6 +188,19 @@ PROPER = [
 WAYS = [("utf-8", "latin-1"), ("utf-8", "cp1251"), ("utf-8", "cp850"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("gbk", "latin-1")]
 
 
+def test_garbled_characters_beside_proper_ones_are_cut_out(spark):
+    mixed = {
+        "über—Ã¼ber": "über—über", "Ã©té": "été", "naÃ¯ve": "naïve", "le relevÃ© abîmÃ©": "le relevé abîmé",
+    }
+    clean = ["le relevé abîmé", "«É» près de l'été", "Привет «мир»", "naïve", "été"]
+    rows = [(i, t) for i, t in enumerate([*PROPER * 40, *clean, *mixed, "根据记录Ã©值班工程师", "l'été Ã© \ufffd x"])]
+    got = {r.doc_id: r.restored for r in encoding.find_garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = len(PROPER) * 40 + len(clean)
+    assert {k for k in got if k < first} == set()
+    assert [got.get(first + i) for i in range(len(mixed))] == list(mixed.values())
+    assert first + len(mixed) in got and got[first + len(mixed) + 1] is None
+
+
 def test_garbled_text_is_found_and_restored(spark):
     clean = [(i, PROPER[i % 6] + f" {i}") for i in range(600)]
     bad, truth = [], {}
