@@ -1,4 +1,5 @@
-"""Adapters: projections of source records to canonical sessions, as DataFrame functions of native expressions.
+"""Adapters: projections of source records to canonical sessions, as DataFrame functions of native expressions, and
+Arrow batches where records nest differently from row to row or ids must be decoded.
 
 Every adapter takes a DataFrame with ``record_id`` and its own columns, and adds ``events`` (array of
 canonical events), ``memory_atoms``, ``probes`` and ``reject`` (the reason why a record can't be adapted, or
@@ -8,15 +9,19 @@ session id ``source:record_id``.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType
 
 from sessionloom.functions.text import canonical_role, clean_prompt, strip
 from sessionloom.operators.canonical import ATOM, EVENTS, PROBE
+from sessionloom.operators.dialogs import TRAJECTORY, adapt_dialogs, compact, plain_messages
 
 REFERENCE_CHARS = 512
 
@@ -55,12 +60,30 @@ def numbered(events: Column, prefix: str = "e") -> Column:
     return F.transform(events, lambda e, i: e.withField("id", _numbered(prefix, i)))
 
 
-def grounded_items(names: Column, values: Column, evidence: Column, kind: str) -> tuple[Column, Column]:
-    """Paired atoms and probes of names and values; blank values are skipped, ids stay dense."""
-    zipped = F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+#: The questions about facts, as probes must read alike.
+VALUE_QUESTION = "What value was provided for {name}?"
+RESULT_QUESTION = "What result did {name} return?"
+CODING_QUESTION = "What result did the coding environment return{call}?"
+
+
+def filled(template: str, **values: Column) -> Column:
+    out = F.lit(template)
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), v)
+    return out
+
+
+def grounded_items(names: Column, values: Column, evidence: Column, kind: str, question: str = VALUE_QUESTION, each: bool = False) -> tuple[Column, Column]:
+    """Paired atoms and probes of names and values; blank values are skipped, ids stay dense.
+
+    ``evidence`` is one array of event ids for all, or where ``each`` is set an array of such arrays, one for each value;
+    ``question`` may hold ``{name}``.
+    """
+    zipped = F.transform(F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
     pairs = F.filter(zipped, lambda p: strip(p["v"]) != "")
-    atoms = F.transform(pairs, lambda p, i: _atom(_numbered("m", i), kind, strip(p["v"]), strip(p["k"]), evidence))
-    probes = F.transform(pairs, lambda p, i: _probe(_numbered("p", i), F.concat(F.lit("What is the value of "), strip(p["k"]), F.lit("?")), kind, strip(p["v"]), evidence))
+    of = lambda p: F.get(evidence, p["i"]) if each else evidence
+    atoms = F.transform(pairs, lambda p, i: _atom(_numbered("m", i), kind, strip(p["v"]), strip(p["k"]), of(p)))
+    probes = F.transform(pairs, lambda p, i: _probe(_numbered("p", i), filled(question, name=strip(p["k"])), kind, strip(p["v"]), of(p)))
     return atoms, probes
 
 
@@ -83,81 +106,116 @@ def fixed_trajectory(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
         F.array(_event(F.lit("e0"), F.lit("environment"), F.lit("observation"), strip(F.col("context")))).alias("events"),
-        F.transform(pairs, lambda p, i: _atom(_numbered("m", i), "fact", strip(p["response"]), F.lit(""), evidence)).alias("memory_atoms"),
-        F.transform(pairs, lambda p, i: _probe(_numbered("p", i), strip(p["prompt"]), "fixed", strip(p["response"]), evidence)).alias("probes"),
+        F.transform(pairs, lambda p, i: _atom(_numbered("m", i), "qa_evidence", strip(p["response"]), F.lit(""), evidence)).alias("memory_atoms"),
+        F.transform(pairs, lambda p, i: _probe(_numbered("p", i), strip(p["prompt"]), "grounded_qa", strip(p["response"]), evidence)).alias("probes"),
         reject.alias("reject"),
     )
 
 
-def d2l_tokenized(df: DataFrame, decode: Callable[[Column], Column]) -> DataFrame:
-    """``ctx_ids, input_ids, response_start_end``: token ids sliced at [start, end), clamped, and decoded.
+def d2l_tokenized(df: DataFrame, decode: Callable[[list[int]], str]) -> DataFrame:
+    """``ctx_ids, input_ids, response_start_end``: prompt and response of each row of ids, decoded.
 
-    ``decode`` turns a column of ids into text (an Arrow UDF of a tokenizer). Empty pairs are skipped.
+    The prompt is what stands before the start, the response what stands in [start, end), clamped. ``decode`` is a plain
+    function of a list of ids, applied in Arrow batches. Null ids and bounds are left out; rows with fewer than two
+    bounds, without ids, with start not before end, and pairs of which a text is empty after decoding are skipped; a
+    single row or pair of bounds may stand without its outer list.
     """
-    spans = F.zip_with(
-        "input_ids",
-        "response_start_end",
-        lambda ids, se: F.struct(
-            F.slice(ids, 1, F.greatest(F.least(se[0], F.size(ids)), F.lit(0))).alias("prompt"),
-            F.slice(ids, F.greatest(se[0], F.lit(0)) + 1, F.greatest(F.least(se[1], F.size(ids)) - F.greatest(se[0], F.lit(0)), F.lit(0))).alias("response"),
-        ),
-    )
-    kept = F.filter(spans, lambda s: (F.size(s["prompt"]) > 0) & (F.size(s["response"]) > 0))
-    df = df.withColumn("context", decode(F.col("ctx_ids"))).withColumn("_pairs", kept)
-    df = df.withColumn("prompts", F.transform("_pairs", lambda p: clean_prompt(decode(p["prompt"])))).withColumn("responses", F.transform("_pairs", lambda p: strip(decode(p["response"]))))
-    return fixed_trajectory(df.drop("_pairs"))
+    texts = "struct<context:string,prompts:array<string>,responses:array<string>>"
+
+    @pandas_udf(texts)
+    def run(contexts: pd.Series, inputs: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+        rows = []
+        for context, ids, spans in zip(contexts, inputs, bounds):
+            pairs = [_decoded(own, span, decode) for own, span in zip(_nested(ids), _nested(spans))]
+            pairs = [p for p in pairs if p and all(p)]
+            own = _whole(context)
+            rows.append((decode(own).strip() if own else "", [p for p, _ in pairs], [r for _, r in pairs]))
+        return pd.DataFrame(rows, columns=["context", "prompts", "responses"])
 
+    made = df.withColumn("_t", run("ctx_ids", "input_ids", "response_start_end"))
+    for c in ("context", "prompts", "responses"):
+        made = made.withColumn(c, F.col("_t")[c])
+    return fixed_trajectory(made.drop("_t").withColumn("prompts", F.transform("prompts", clean_prompt)))
 
-def messages(df: DataFrame, excluded_tools: tuple[str, ...] = ()) -> DataFrame:
+
+def _whole(values) -> list[int]:
+    return [] if values is None else [int(v) for v in values if v is not None and v == v]
+
+
+def _nested(values) -> list:
+    """Rows of a list of lists; a flat list is one row."""
+    rows = [] if values is None else [v for v in values if v is not None]
+    return rows if not rows or hasattr(rows[0], "__len__") else [rows]
+
+
+def _decoded(ids, span, decode: Callable[[list[int]], str]) -> tuple[str, str] | None:
+    own, bounds = _whole(ids), _whole(span)
+    if len(bounds) < 2 or not own:
+        return None
+    start, end = max(bounds[0], 0), min(bounds[1], len(own))
+    if start >= end:
+        return None
+    prompt = re.sub(r"\[/?INST\]|</?s>", " ", decode(own[:start]) if start else "")
+    return prompt.strip(), decode(own[start:end]).strip()
+
+
+def messages(df: DataFrame, excluded_tools: tuple[str, ...] = (), drop_system_messages: bool = True, drop_assistant_reasoning: bool = True) -> DataFrame:
     """``messages`` of ``role, content, name, tool_call_id, tool_calls`` (array of ``id, name, arguments``).
 
-    System messages go; the text of an assistant beside tool calls goes; calls of excluded tools go with
-    their results; ids are dense after that. A result belongs to the call with its id, else to the oldest
-    open call. Unknown roles and empty messages reject the record.
+    Where the options say so, as the corpus configuration does, system messages go and so does the text of an assistant
+    beside tool calls; calls of excluded tools go with their results; ids are dense after that. A result belongs to the
+    call with its id, else to the oldest open call, takes that one's name if it has none, and keeps the call's id in its
+    metadata. Unknown roles, empty messages and records without messages are rejected.
     """
-    barred = [t.casefold() for t in excluded_tools]
+    barred = [t.strip().casefold() for t in excluded_tools if t.strip()]
     unknown = F.exists("messages", lambda m: canonical_role(m["role"]).isNull())
-    parts = F.flatten(F.transform(F.filter("messages", lambda m: canonical_role(m["role"]) != "system"), _message_parts))
-    events = numbered(pair_results(parts, barred))
+    said = F.filter("messages", lambda m: canonical_role(m["role"]) != "system") if drop_system_messages else F.col("messages")
+    events = pair_results(F.flatten(F.transform(said, lambda m: _message_parts(m, not drop_assistant_reasoning))), barred)
     empty = F.exists(events, lambda e: (e["type"] != "tool_call") & (e["content"] == ""))
     out = df.withColumn("events", events).withColumn("memory_atoms", _none(ArrayType(ATOM))).withColumn("probes", _none(ArrayType(PROBE)))
     return out.withColumn("reject", F.when(unknown, "unknown_role").when(empty, "empty_content").when(F.size("events") == 0, "no_events"))
 
 
 def _part(e: Column, call_id: Column) -> Column:
-    return F.struct(e.alias("e"), call_id.alias("call_id"))
+    return F.struct(e.alias("e"), F.nullif(strip(call_id), F.lit("")).alias("call_id"))
 
 
-def _message_parts(m: Column) -> Column:
-    """The events of one message with the ids of their calls: a text, or its tool calls."""
+def _message_parts(m: Column, reasoning: bool) -> Column:
+    """The events of one message with the ids of their calls: a text, or its tool calls, after its text if wanted."""
     role = canonical_role(m["role"])
     calls = F.coalesce(m["tool_calls"], F.array().cast("array<struct<id:string,name:string,arguments:string>>"))
     none = F.lit(None).cast("string")
     as_calls = F.transform(
         calls, lambda c: _part(_event(F.lit(""), F.lit("assistant"), F.lit("tool_call"), F.lit(""), strip(c["name"]), F.coalesce(c["arguments"], F.lit("{}"))), c["id"])
     )
-    kind = F.when(role == "tool", "tool_result").otherwise("message")
-    as_text = F.array(_part(_event(F.lit(""), role, kind, strip(m["content"]), strip(m["name"]), none), m["tool_call_id"]))
+    if reasoning:
+        text = F.array(_part(_event(F.lit(""), role, F.lit("message"), strip(m["content"]), F.lit(""), none), none))
+        as_calls = F.when(strip(m["content"]) != "", F.concat(text, as_calls)).otherwise(as_calls)
+    result = role == "tool"
+    as_text = F.array(_part(_event(F.lit(""), role, F.when(result, "tool_result").otherwise("message"), strip(m["content"]), strip(m["name"]), none, F.when(result, "success").otherwise("")), m["tool_call_id"]))
     return F.when(F.size(calls) > 0, as_calls).otherwise(as_text)
 
 
 def pair_results(parts: Column, barred: list[str]) -> Column:
-    """Events in order, each result named after its call: by id, else first in first out; barred calls swallow theirs."""
-    entry = "struct<id:string,name:string>"
+    """Events with dense ids, each result named after its call: by id, else first in first out; barred calls swallow theirs."""
+    entry = "struct<id:string,event:string,name:string>"
     start = F.struct(F.array().cast(f"array<{entry}>").alias("open"), F.array().cast(EVENTS).alias("out"))
     is_barred = lambda n: F.lower(n).isin(*barred) if barred else F.lit(False)
+    noted = lambda i: F.when(i.isNotNull(), F.to_json(F.struct(i.alias("tool_call_id"))))
 
     def step(s: Column, p: Column) -> Column:
-        e, cid = p["e"], p["call_id"]
-        call, result = e["type"] == "tool_call", e["type"] == "tool_result"
+        cid, id = p["call_id"], _numbered("e", F.size(s["out"]))
+        call, result = p["e"]["type"] == "tool_call", p["e"]["type"] == "tool_result"
         place = F.array_position(F.transform(s["open"], lambda c: c["id"]), cid)
         found = F.when(F.coalesce(place, F.lit(0)) > 0, place).otherwise(F.when(F.size(s["open"]) > 0, F.lit(1).cast("bigint")))
         match = F.try_element_at(s["open"], found.cast("int"))
         rest = F.filter(s["open"], lambda c, i: F.coalesce(i + 1 != found, F.lit(True)))
-        opened = F.concat(s["open"], F.array(F.struct(cid.alias("id"), e["name"].alias("name"))))
-        named = e.withField("name", F.coalesce(match["name"], e["name"]))
-        drop = F.when(call, is_barred(e["name"])).when(result, F.coalesce(is_barred(match["name"]), F.lit(False))).otherwise(F.lit(False))
-        now = F.when(result, named).otherwise(e)
+        gone = is_barred(p["e"]["name"])
+        opened = F.concat(s["open"], F.array(F.struct(F.when(gone, cid).otherwise(F.coalesce(cid, id)).alias("id"), F.when(~gone, id).alias("event"), p["e"]["name"].alias("name"))))
+        name = F.when(result & (p["e"]["name"] == ""), F.coalesce(match["name"], F.lit(""))).otherwise(p["e"]["name"])
+        note = F.when(call, noted(cid)).when(result, noted(F.coalesce(cid, match["event"])))
+        now = p["e"].withField("id", id).withField("name", name).withField("metadata", note)
+        drop = F.when(call, gone).when(result, F.coalesce(is_barred(match["name"]), F.lit(False))).otherwise(F.lit(False))
         return F.struct(
             F.when(call, opened).when(result, rest).otherwise(s["open"]).alias("open"),
             F.when(drop, s["out"]).otherwise(F.concat(s["out"], F.array(now))).alias("out"),
@@ -173,66 +231,63 @@ def sharegpt(df: DataFrame) -> DataFrame:
     return messages(df.withColumn("messages", as_messages)).drop("messages")
 
 
-def tool_messages(df: DataFrame, excluded_tools: tuple[str, ...] = ()) -> DataFrame:
-    """Messages, and an atom and a probe for each nonempty tool result, its reference cut to 512 characters."""
-    out = messages(df, excluded_tools)
+def _outcomes(out: DataFrame, question: Callable[[Column, Column], Column]) -> DataFrame:
+    """An atom and a probe for each nonempty tool result, its reference cut to REFERENCE_CHARS; the key is its call's id."""
     results = F.filter("events", lambda e: (e["type"] == "tool_result") & (e["content"] != ""))
     text = lambda e: strip(F.substring(e["content"], 1, REFERENCE_CHARS))
-    atoms = F.transform(results, lambda e, i: _atom(_numbered("m", i), "tool_outcome", text(e), e["name"], F.array(e["id"])))
-    asked = lambda e: F.concat(F.lit("What did the tool "), e["name"], F.lit(" return?"))
-    probes = F.transform(results, lambda e, i: _probe(_numbered("p", i), asked(e), "tool_outcome", text(e), F.array(e["id"])))
+    call = lambda e: F.get_json_object(e["metadata"], "$.tool_call_id")
+    atoms = F.transform(results, lambda e, i: _atom(_numbered("m", i), "tool_outcome", text(e), F.coalesce(call(e), e["id"]), F.array(e["id"])))
+    probes = F.transform(results, lambda e, i: _probe(_numbered("p", i), question(e["name"], call(e)), "tool_outcome", text(e), F.array(e["id"])))
     return out.withColumn("memory_atoms", atoms).withColumn("probes", probes)
 
 
+def tool_messages(df: DataFrame, excluded_tools: tuple[str, ...] = (), **options: bool) -> DataFrame:
+    """Messages, and an atom and a probe for each nonempty tool result."""
+    name = lambda n: F.when(n == "", "the tool").otherwise(n)
+    return _outcomes(messages(df, excluded_tools, **options), lambda n, _: filled(RESULT_QUESTION, name=name(n)))
+
+
 def schema_guided_dialog(df: DataFrame) -> DataFrame:
-    """``turns`` of ``speaker, utterance, frames`` (of ``service, state, service_call, service_results`` as JSON texts).
+    """``turns`` of ``speaker, utterance, frames`` (of ``service, state, service_call, service_results``), nested or JSON.
 
-    Each turn is a message, then for each frame its state, call and result; each slot of a state is a grounded item.
+    See :mod:`sessionloom.operators.dialogs`: states with their intent, calls with their method, results, each with its
+    facts; lists of records and lists by field are both read.
     """
-    def frame(f: Column) -> Column:
-        none = F.lit(None).cast("string")
-        made = F.array(
-            F.when(f["state"].isNotNull(), _event(F.lit(""), F.lit("environment"), F.lit("state_change"), f["state"], f["service"], none)),
-            F.when(f["service_call"].isNotNull(), _event(F.lit(""), F.lit("assistant"), F.lit("tool_call"), F.lit(""), f["service"], f["service_call"])),
-            F.when(f["service_results"].isNotNull(), _event(F.lit(""), F.lit("tool"), F.lit("tool_result"), f["service_results"], f["service"], none)),
-        )
-        return F.filter(made, lambda e: e.isNotNull())
-
-    speaker = lambda t: F.when(F.lower(t["speaker"]) == "user", "user").otherwise("assistant")
-    say = lambda t: F.array(_event(F.lit(""), speaker(t), F.lit("message"), strip(t["utterance"])))
-    none_yet = F.array().cast(EVENTS)
-    all_events = F.flatten(F.transform("turns", lambda t: F.concat(say(t), F.coalesce(F.flatten(F.transform(t["frames"], frame)), none_yet))))
-    out = df.withColumn("events", numbered(F.filter(all_events, lambda e: (e["type"] == "tool_call") | (e["content"] != ""))))
-    states = F.filter("events", lambda e: e["type"] == "state_change")
-    slots = F.flatten(F.transform(states, lambda e: F.transform(F.map_entries(F.from_json(e["content"], "map<string,string>")), lambda kv: F.struct(kv["key"].alias("k"), kv["value"].alias("v"), e["id"].alias("id")))))
-    kept = F.filter(slots, lambda s: strip(s["v"]) != "")
-    atoms = F.transform(kept, lambda s, i: _atom(_numbered("m", i), "slot", strip(s["v"]), s["k"], F.array(s["id"])))
-    probes = F.transform(kept, lambda s, i: _probe(_numbered("p", i), F.concat(F.lit("What is the value of "), s["k"], F.lit("?")), "slot", strip(s["v"]), F.array(s["id"])))
-    return out.withColumn("memory_atoms", atoms).withColumn("probes", probes).withColumn("reject", F.when(F.size("events") == 0, "no_events"))
+    return adapt_dialogs(df)
 
 
 def taskmaster(df: DataFrame) -> DataFrame:
-    """``utterances`` of ``speaker, text, segments`` (of ``text, annotations`` of ``name``): messages, and an item for each annotation."""
-    speaker = lambda t: F.when(F.lower(t["speaker"]) == "user", "user").otherwise("assistant")
-    kept = F.filter("utterances", lambda t: strip(t["text"]) != "")
-    out = df.withColumn("_u", kept).withColumn("events", F.transform("_u", lambda t, i: _event(_numbered("e", i), speaker(t), F.lit("message"), strip(t["text"]))))
+    """``utterances`` of ``speaker, text, segments`` (of ``text, annotations`` of ``name``): messages, and an item for each
+    named annotation. A blank utterance rejects the record.
+    """
+    speaker = lambda t: F.when(F.lower(strip(t["speaker"])).isin("user", "human"), "user").otherwise("assistant")
+    out = df.withColumn("events", F.transform("utterances", lambda t, i: _event(_numbered("e", i), speaker(t), F.lit("message"), strip(t["text"]))))
     none_yet = F.array().cast("array<struct<k:string,v:string,id:string>>")
-    items = F.flatten(F.transform("_u", lambda t, i: F.coalesce(F.flatten(F.transform(t["segments"], lambda g: F.transform(
-        g["annotations"], lambda a: F.struct(F.coalesce(a["name"], F.lit("value")).alias("k"), g["text"].alias("v"), _numbered("e", i).alias("id"))))), none_yet)))
-    found = F.filter(items, lambda s: strip(s["v"]) != "")
-    atoms = F.transform(found, lambda s, i: _atom(_numbered("m", i), "task_state", strip(s["v"]), s["k"], F.array(s["id"])))
-    probes = F.transform(found, lambda s, i: _probe(_numbered("p", i), F.concat(F.lit("What is the value of "), s["k"], F.lit("?")), "task_state", strip(s["v"]), F.array(s["id"])))
-    return out.withColumn("memory_atoms", atoms).withColumn("probes", probes).withColumn("reject", F.when(F.size("events") == 0, "no_events")).drop("_u")
+    items = F.flatten(F.transform("utterances", lambda t, i: F.coalesce(F.flatten(F.transform(t["segments"], lambda g: F.transform(
+        g["annotations"], lambda a: F.struct(strip(a["name"]).alias("k"), g["text"].alias("v"), _numbered("e", i).alias("id"))))), none_yet)))
+    found = F.filter(items, lambda s: s["k"] != "")
+    field = lambda f: F.transform(found, lambda s: s[f])
+    atoms, probes = grounded_items(field("k"), field("v"), F.transform(found, lambda s: F.array(s["id"])), "task_state", each=True)
+    blank = F.exists("events", lambda e: e["content"] == "")
+    return out.withColumn("memory_atoms", atoms).withColumn("probes", probes).withColumn("reject", F.when(F.coalesce(F.size("events"), F.lit(0)) < 1, "no_events").when(blank, "empty_content"))
 
 
-TRAJECTORY = "array<struct<role:string,content:string,name:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>>"
+def swe_zero(df: DataFrame, excluded_tools: tuple[str, ...] = (), **options: bool) -> DataFrame:
+    """``trajectory`` as JSON text of messages; an outcome item for each tool result, asked with the id of its call.
 
+    Calls may stand in ``tool_calls``, in a JSON text ``tool_calls_json`` or in ``function_call``, flat or under
+    ``function``. Text that is no list rejects the record.
+    """
+
+    @pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(plain_messages)
 
-def swe_zero(df: DataFrame, excluded_tools: tuple[str, ...] = ()) -> DataFrame:
-    """``trajectory`` as JSON text of messages; outcome items as for tool messages. Text that is no list rejects the record."""
-    parsed = F.from_json("trajectory", TRAJECTORY)
-    out = tool_messages(df.withColumn("messages", F.coalesce(parsed, F.array().cast(TRAJECTORY))), excluded_tools)
-    return out.withColumn("reject", F.when(parsed.isNull(), "bad_trajectory").otherwise(F.col("reject"))).drop("messages")
+    made = df.withColumn("_plain", plain(F.col("trajectory")))
+    parsed = F.from_json("_plain", TRAJECTORY)
+    adapted = messages(made.withColumn("messages", F.coalesce(parsed, F.array().cast(TRAJECTORY))), excluded_tools, **options)
+    asked = lambda _, c: filled(CODING_QUESTION, call=F.when(c.isNull(), "").otherwise(F.concat(F.lit(" for tool call "), c)))
+    return _outcomes(adapted, asked).withColumn("reject", F.when(F.col("_plain").isNull(), "bad_trajectory").otherwise(F.col("reject"))).drop("messages", "_plain")
 
 
 def choice_conversation(df: DataFrame, keys: tuple[str, str, str, str]) -> DataFrame:
@@ -267,11 +322,48 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def adapt(df: DataFrame, adapter: str, source: str, domain: str, **options) -> DataFrame:
-    """Canonical sessions of one source: ``session_id, source, domain, events, memory_atoms, probes, reject``."""
+#: Fields of a source that its sessions' provenance repeats, and those of single adapters' records.
+SOURCE_FIELDS = ("repository", "commit", "timestamp", "language", "source_url")
+RECORD_FIELDS = {
+    "fixed_trajectory": {"source_file": "source_file", "source_row": "source_row"},
+    "d2l_tokenized": {"source_file": "source_file", "source_row": "source_row"},
+    "tool_messages": {"subset_name": "subset_name", "target_tools": "target_tools"},
+    "schema_guided_dialog": {"services": "services"},
+    "swe_zero": {"repository": "repo", "instance_id": "instance_id", "trajectory_id": "trajectory_id", "repository_license": "license", "upstream_dataset": "dataset"},
+}
+
+
+def provenance(df: DataFrame, adapter: str, facts: dict) -> Column:
+    """Provenance as JSON: the record's own ``provenance`` (a JSON text), then that of its source, then of its adapter.
+
+    Keys are sorted; a record's field that is missing is left out; permission for external use is denied by default.
+    """
+    known = {"license": str(facts.get("license", "")).strip(), "revision": str(facts.get("revision", "")).strip(), "external_api_allowed": bool(facts.get("external_api_allowed", False))}
+    known |= {k: facts[k] for k in SOURCE_FIELDS if facts.get(k) not in (None, "")}
+    fields = {n: c for n, c in RECORD_FIELDS.get(adapter, {}).items() if c in df.columns}
+    own = F.to_json(F.struct(*[F.col(c).alias(n) for n, c in fields.items()], F.col("record_id").alias("source_record_id")), {"ignoreNullFields": "false"})
+    base = F.col("provenance") if "provenance" in df.columns else F.lit(None).cast("string")
+
+    @pandas_udf("string")
+    def merged(first: pd.Series, last: pd.Series) -> pd.Series:
+        parse = lambda t: v if t and isinstance(v := json.loads(t), dict) else {}
+        return pd.Series([compact(parse(a) | known | parse(b)) for a, b in zip(first, last)], dtype=object)
+
+    return merged(base, own)
+
+
+def adapt(df: DataFrame, adapter: str, source: str, domain: str, facts: dict | None = None, **options) -> DataFrame:
+    """Canonical sessions of one source: ``session_id, source, domain, events, memory_atoms, probes, provenance, metadata,
+    reject``. ``facts`` are the source's license, revision, permission and the like; ``metadata`` is the record's own.
+    """
     if adapter not in REGISTRY:
         raise ValueError(f"unknown adapter {adapter!r}; known are {', '.join(sorted(REGISTRY))}")
+    if not source.strip() or not domain.strip():
+        raise ValueError("a source has a name and a domain")
     out = REGISTRY[adapter](df, **options)
+    metadata = F.col("metadata").cast("string") if "metadata" in out.columns else F.lit(None).cast("string")
+    if adapter == "tool_messages" and "question" in out.columns:
+        metadata = F.when(F.coalesce("question", F.lit("")) != "", F.to_json(F.struct(F.col("question").alias("source_question")))).otherwise(metadata)
     return out.select(
         F.concat(F.lit(f"{source}:"), F.col("record_id")).alias("session_id"),
         F.lit(source).alias("source"),
@@ -279,5 +371,7 @@ def adapt(df: DataFrame, adapter: str, source: str, domain: str, **options) -> D
         "events",
         "memory_atoms",
         "probes",
+        provenance(out, adapter, facts or {}).alias("provenance"),
+        metadata.alias("metadata"),
         "reject",
     )

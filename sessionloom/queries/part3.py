@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text
-from sessionloom.operators import adapters, benchmarks, budget, canonical, dedup, filters, probes, segment
+from sessionloom.operators import adapters, benchmarks, budget, canonical, dedup, filters, indexing, probes, segment
 from sessionloom.plans.runtime import table
 from sessionloom.queries.part1 import DISTINCT_EVENTS, EVENT_LIST, FIRST_SESSIONS, HEX, NORM, PROBES, STRIP, WORDS, _hashed, _probes, _sessions, events
 
@@ -88,12 +88,16 @@ def adp2_fixed_trajectory(spark, sf):
     return a.select(F.col("record_id").alias("session_id"), F.size("probes").cast("bigint").alias("n"), F.md5(refs).alias("digest"), "reject")
 
 
-@query("select session_index, array_to_string(probe_indices[1:2], ',') as head, array_to_string(probe_indices[3:], ',') as tail, len(probe_indices) > 2 as kept from split_index")
+@query("""with w as (select session_index, ['t' || x for x in probe_indices] as ids from split_index)
+select session_index, 't' || session_index as context, case when len(ids) > 2 then 1 else 0 end::bigint as n, case when len(ids) > 2 then array_to_string(ids[1:2], ' ') || '|' || array_to_string(ids[3:], ' ') else '' end as pair, case when len(ids) <= 2 then 'no_pairs' end as reject from w""")
 def adp3_token_slices(spark, sf):
-    i = table(spark, sf, "split_index")
-    s = lambda c: F.array_join(c.cast("array<string>"), ",")
-    head, tail = F.slice("probe_indices", 1, 2), F.slice("probe_indices", 3, 1000000)
-    return i.select("session_index", s(head).alias("head"), s(tail).alias("tail"), (F.size(tail) > 0).alias("kept"))
+    i = table(spark, sf, "split_index").select(
+        F.col("session_index").cast("string").alias("record_id"), "session_index", F.array("session_index").alias("ctx_ids"), F.array("probe_indices").alias("input_ids"),
+        F.array(F.array(F.lit(2), F.lit(1 << 30))).alias("response_start_end"),
+    )
+    a = adapters.d2l_tokenized(i, lambda ids: " ".join(f"t{x}" for x in ids))
+    pair = F.array_join(F.transform("probes", lambda p: F.concat(p["prompt"], F.lit("|"), p["reference"])), ";")
+    return a.select("session_index", F.col("events")[0]["content"].alias("context"), F.size("probes").cast("bigint").alias("n"), pair.alias("pair"), "reject")
 
 
 @query(MSG.replace("where role <> 'system'", "where true") + """ select session_id, count(*) as n, count(*) filter (role not in ('user', 'assistant')) as others from k where not call and role <> 'tool' group by 1""")
@@ -116,8 +120,7 @@ def adp15_choice_conversation(spark, sf):
 select session_id, k, a = 'user' and b = 'assistant' as proper from g where b is not null""")
 def adp17_noise_pairs(spark, sf):
     m = events(spark, sf).where("event_type = 'message' and role in ('user', 'assistant')")
-    w = Window.partitionBy("session_id").orderBy("event_index")
-    p = m.withColumn("i", F.row_number().over(w) - 1).groupBy("session_id", F.expr("i div 2").alias("k"))
+    p = indexing.group_index(m.select("session_id", "event_index", "event_id", "role"), ["session_id"], ["event_index", "event_id"], "i").groupBy("session_id", F.expr("i div 2").alias("k"))
     g = p.agg(F.max(F.when(F.col("i") % 2 == 0, F.col("role"))).alias("a"), F.max(F.when(F.col("i") % 2 == 1, F.col("role"))).alias("b"))
     return g.where("b is not null").select("session_id", "k", ((F.col("a") == "user") & (F.col("b") == "assistant")).alias("proper"))
 

@@ -101,35 +101,58 @@ def src8_tasks_with_meta(spark, sf):
 # ---- adapters -------------------------------------------------------------------------------------
 
 
-@query(f"with {FIRST_SESSIONS} select 'src:' || session_id as session_id, coalesce(len(from_json(events_json, '[\"json\"]')), 0)::bigint as n, case when events_json is null then 'no_events' end as reject from s")
+@query(f"""with {FIRST_SESSIONS}, {EVENT_LIST}, g as (select session_id, count(*) as n, md5(string_agg((ev->>'$.id') || ':' || {CONTENT}, chr(10) order by pos)) as digest from x group by 1)
+select 'src:' || session_id as session_id, coalesce(n, 0)::bigint as n, digest, case when n is null then 'no_events' end as reject, 'MIT' as license, session_id as record, 'false' as allowed, provenance_json->>'$.source_record_id' is not null as had from s left join g using (session_id)""")
 def adp1_canonical(spark, sf):
-    s = _sessions(spark, sf).select(F.col("session_id").alias("record_id"), "events")
-    a = adapters.adapt(s, "canonical", "src", "tool")
-    return a.select("session_id", F.size("events").cast("bigint").alias("n"), "reject")
+    s = _sessions(spark, sf).select(F.col("session_id").alias("record_id"), "events", F.col("provenance_json").alias("provenance"))
+    had = F.get_json_object("provenance", "$.source_record_id").isNotNull()
+    a = adapters.adapt(s, "canonical", "src", "tool", {"license": " MIT "}).join(s.select(F.concat(F.lit("src:"), "record_id").alias("session_id"), had.alias("had")), "session_id")
+    digest = F.when(F.size("events") > 0, F.md5(F.array_join(F.transform("events", lambda e: F.concat(e["id"], F.lit(":"), e["content"])), "\n")))
+    said = lambda k: F.get_json_object("provenance", f"$.{k}")
+    return a.select("session_id", F.size("events").cast("bigint").alias("n"), digest.alias("digest"), "reject", said("license").alias("license"), said("source_record_id").alias("record"), said("external_api_allowed").alias("allowed"), "had")
 
 
-@query(f"with {FIRST_SESSIONS}, {EVENT_LIST} select session_id, count(*) as n, count(*) as slots from x where ev->>'$.role' in ('user', 'assistant') and coalesce(ev->>'$.type', 'message') = 'message' and {CONTENT} <> '' group by 1")
+@query(f"with {FIRST_SESSIONS}, {EVENT_LIST} select session_id, count(*) as n, count_if({CONTENT} <> '') as slots, case when bool_or({CONTENT} = '') then 'empty_content' end as reject from x where ev->>'$.role' in ('user', 'assistant') and coalesce(ev->>'$.type', 'message') = 'message' group by 1")
 def adp9_taskmaster(spark, sf):
     s = _sessions(spark, sf).where("events_json is not null")
     said = F.expr("transform(filter(events, e -> e.role in ('user', 'assistant') and e.type = 'message'), e -> named_struct('speaker', upper(e.role), 'text', e.content, 'segments', array(named_struct('text', e.content, 'annotations', array(named_struct('name', 'slot'))))))")
     a = adapters.taskmaster(s.select(F.col("session_id").alias("record_id"), said.alias("utterances")))
-    return a.where(F.size("events") > 0).select(F.col("record_id").alias("session_id"), F.size("events").cast("bigint").alias("n"), F.size("memory_atoms").cast("bigint").alias("slots"))
+    return a.where(F.size("events") > 0).select(F.col("record_id").alias("session_id"), F.size("events").cast("bigint").alias("n"), F.size("memory_atoms").cast("bigint").alias("slots"), "reject")
 
 
-@query(f"with {FIRST_SESSIONS}, {EVENT_LIST} select session_id, 2 * count(*) as n, count(*) as slots from x where coalesce(ev->>'$.type', 'message') = 'message' and {CONTENT} <> '' group by 1")
-def adp8_schema_guided(spark, sf):
-    s = _sessions(spark, sf).where("events_json is not null")
-    turns = F.expr("transform(filter(events, e -> e.type = 'message' and e.content != ''), e -> named_struct('speaker', upper(e.role), 'utterance', e.content, 'frames', array(named_struct('service', 'svc', 'state', '{\"slot\":\"v\"}', 'service_call', cast(null as string), 'service_results', cast(null as string)))))")
-    a = adapters.schema_guided_dialog(s.select(F.col("session_id").alias("record_id"), turns.alias("turns")))
-    return a.where(F.size("events") > 0).select(F.col("record_id").alias("session_id"), F.size("events").cast("bigint").alias("n"), F.size("memory_atoms").cast("bigint").alias("slots"))
+STATE = '{"active_intent":"Find","service":"svc","slot_values":{"slot_name":["day","x"],"slot_value_list":[["mon","tue"],[]]}}'
 
 
-@query("select probe_index, case when probe_index % 5 = 0 then 'bad_trajectory' end as reject, case when probe_index % 5 = 0 then 0 else 1 end as n from (select distinct probe_index from probes)")
+@query(f"""with {FIRST_SESSIONS}, {EVENT_LIST}, m as (select session_id, pos, {CONTENT} as c, row_number() over (partition by session_id order by pos) - 1 as i from x where coalesce(ev->>'$.type', 'message') = 'message' and {CONTENT} <> '')
+select session_id, 4 * count(*) as n, md5(string_agg('e' || 4 * i || ':' || c || chr(10) || 'e' || 4 * i + 1 || ':' || '{STATE}' || chr(10) || 'e' || 4 * i + 2 || ':{{"city":"Rome"}}' || chr(10) || 'e' || 4 * i + 3 || ':{{"id":' || i || '}}', chr(10) order by pos)) as digest,
+md5(string_agg('svc.day=mon, tue@e' || 4 * i + 1 || chr(10) || 'svc.method=Go@e' || 4 * i + 2 || chr(10) || 'svc.id=' || i || '@e' || 4 * i + 3, chr(10) order by pos)) as facts from m group by 1""")
+def adp8_schema_guided(spark, sf):
+    """Each message of a session as a turn with a state in parallel lists, a call and a result."""
+    s = _sessions(spark, sf).where("events_json is not null").withColumn("said", F.filter("events", lambda e: (e["type"] == "message") & (e["content"] != ""))).where("size(said) > 0")
+    frame = """array(named_struct('service', 'svc', 'state', named_struct('active_intent', 'Find', 'slot_values', named_struct('slot_name', array('day', 'x'), 'slot_value_list', array(array('mon', 'tue'), cast(array() as array<string>)))),
+        'service_call', array(named_struct('method', 'Go', 'parameters', map('city', 'Rome'))), 'service_results', array(named_struct('id', i))))"""
+    turns = F.expr(f"transform(said, (e, i) -> named_struct('speaker', upper(e.role), 'utterance', e.content, 'frames', {frame}))")
+    a = adapters.schema_guided_dialog(s.select("session_id", turns.alias("turns")))
+    lines = F.array_join(F.transform("events", lambda e: F.concat(e["id"], F.lit(":"), F.coalesce(e["arguments"], e["content"]))), "\n")
+    facts = F.array_join(F.transform("memory_atoms", lambda m: F.concat(m["key"], F.lit("="), m["value"], F.lit("@"), m["evidence_event_ids"][0])), "\n")
+    return a.select("session_id", F.size("events").cast("bigint").alias("n"), F.md5(lines).alias("digest"), F.md5(facts).alias("facts"))
+
+
+@query(f"""with p as (select probe_index, min(reference) r from probes group by 1), q as (select probe_index, {STRIP.format('r')} as r from p)
+select probe_index, case when probe_index % 5 = 0 then 'bad_trajectory' when r = '' then 'empty_content' end as reject, case when probe_index % 5 = 0 then 0 else 4 end as n, case when probe_index % 5 <> 0 then '{{"k":' || probe_index || ',"z":1}}' end as arguments,
+case when probe_index % 5 <> 0 and r <> '' then 'What result did the coding environment return for tool call ' || case when probe_index % 2 = 0 then 'c' || probe_index else 'e2' end || '?|' || {STRIP.format('substr(r, 1, 512)')} end as probe from q""")
 def adp10_swe_zero(spark, sf):
-    p = table(spark, sf, "probes").select("probe_index").distinct()
-    made = F.when(F.col("probe_index") % 5 == 0, "not json").otherwise(F.concat(F.lit('[{"role":"user","content":"fix '), F.col("probe_index").cast("string"), F.lit('"}]')))
-    a = adapters.swe_zero(p.withColumn("trajectory", made))
-    return a.select("probe_index", "reject", F.size("events").alias("n"))
+    """Trajectories with calls in a JSON text under ``function``, every second without an id, and every fifth no JSON."""
+    p = table(spark, sf, "probes").groupBy("probe_index").agg(F.min("reference").alias("r"))
+    i, even = F.col("probe_index"), F.col("probe_index") % 2 == 0
+    arguments = F.struct(F.lit(1).alias("z"), i.alias("k"))
+    calls = F.to_json(F.array(F.struct(F.when(even, F.concat(F.lit("c"), i.cast("string"))).alias("id"), F.struct(F.lit("run").alias("name"), arguments.alias("arguments")).alias("function"))))
+    none = F.lit(None).cast("string")
+    said = lambda role, content, calls=none, id=none: F.struct(F.lit(role).alias("role"), content.alias("content"), calls.alias("tool_calls_json"), id.alias("tool_call_id"))
+    made = F.to_json(F.array(said("system", F.lit("s")), said("user", F.lit("fix")), said("assistant", F.lit("so")), said("assistant", F.lit("thinking"), calls), said("tool", F.col("r"), id=F.when(even, F.concat(F.lit("c"), i.cast("string"))))))
+    a = adapters.swe_zero(p.withColumn("trajectory", F.when(i % 5 == 0, "not json").otherwise(made)))
+    asked = F.array_join(F.transform("probes", lambda q: F.concat(q["prompt"], F.lit("|"), q["reference"])), ";")
+    return a.select("probe_index", "reject", F.size("events").alias("n"), F.get(F.col("events"), F.lit(2))["arguments"].alias("arguments"), F.nullif(asked, F.lit("")).alias("probe"))
 
 
 @query("select session_index, len(probe_indices)::bigint as n, coalesce(list_sum([case when x % 2 = 0 then 1 else 0 end for x in probe_indices]), 0)::bigint as even from split_index")
@@ -146,12 +169,15 @@ def adp12_literals(spark, sf):
     return e.select("event_id", "session_id", F.get_json_object("a", "$.limit").alias("limit_value"))
 
 
-@query("select item_id, len([x for x in incorrect_answers if trim(x) <> ''])::bigint as atoms, len(incorrect_answers)::bigint as given from eval_items")
+@query(f"""with u as (select item_id, unnest(incorrect_answers) as v, generate_subscripts(incorrect_answers, 1) - 1 as i from eval_items), k as (select *, row_number() over (partition by item_id order by i) - 1 as n from u where {STRIP.format('v')} <> '')
+select item_id, count(*) as atoms, string_agg('m' || n || ':slot' || i || '=' || {STRIP.format('v')} || '@e' || i || '?What value was provided for slot' || i || '?', chr(10) order by n) as facts from k group by 1""")
 def adp13_grounded_items(spark, sf):
     e = table(spark, sf, "eval_items")
     names = F.transform("incorrect_answers", lambda x, i: F.concat(F.lit("slot"), i.cast("string")))
-    atoms, _ = adapters.grounded_items(names, F.col("incorrect_answers"), F.array(F.lit("e0")), "slot")
-    return e.select("item_id", F.size(atoms).cast("bigint").alias("atoms"), F.size("incorrect_answers").cast("bigint").alias("given"))
+    evidence = F.transform("incorrect_answers", lambda x, i: F.array(F.concat(F.lit("e"), i.cast("string"))))
+    atoms, made = adapters.grounded_items(names, F.col("incorrect_answers"), evidence, "slot", each=True)
+    facts = F.array_join(F.zip_with(atoms, made, lambda m, p: F.concat(m["id"], F.lit(":"), m["key"], F.lit("="), m["value"], F.lit("@"), p["evidence_event_ids"][0], F.lit("?"), p["prompt"])), "\n")
+    return e.select("item_id", F.size(atoms).cast("bigint").alias("atoms"), facts.alias("facts")).where("atoms > 0")
 
 
 @query("select session_id, k as name, v as value from (select session_id, unnest(json_keys(c)) k, (c->>('$.' || unnest(json_keys(c))))::bigint as v from (select session_id, min(context_token_counts_json) c from sessions group by 1) where c is not null)")

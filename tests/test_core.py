@@ -125,9 +125,27 @@ def test_other_adapters(spark):
     swe = spark.createDataFrame([("t", json.dumps([{"role": "user", "content": "fix"}])), ("bad", "no json")], "record_id string, trajectory string")
     got = {r.session_id: r.reject for r in adapters.adapt(swe, "swe_zero", "s", "coding").collect()}
     assert got["s:t"] is None and got["s:bad"] is not None
-    dialog = spark.createDataFrame([("g", [("USER", "book", [("svc", '{"day": "mon", "x": ""}', None, None)])])], "record_id string, turns array<struct<speaker:string,utterance:string,frames:array<struct<service:string,state:string,service_call:string,service_results:string>>>>")
-    row = adapters.adapt(dialog, "schema_guided_dialog", "s", "tool").first()
-    assert [e.type for e in row.events] == ["message", "state_change"] and [p.reference for p in row.probes] == ["mon"]
+    turns = [{"speaker": "USER", "utterance": "book", "frames": [{"service": "svc", "state": {"active_intent": "Book", "slot_values": {"slot_name": ["day", "x"], "slot_value_list": [["mon", "tue"], []]}}, "service_call": {"method": "Find", "parameters": {"city": "Rome"}}, "service_results": [{"id": 7}, {}]}]}]
+    by_field = {"speaker": ["USER"], "utterance": ["book"], "frames": [turns[0]["frames"]]}
+    dialog = spark.createDataFrame([("g", json.dumps(turns)), ("h", json.dumps(by_field)), ("i", "no json"), ("j", None)], "record_id string, turns string")
+    rows = {r.session_id: r for r in adapters.adapt(dialog, "schema_guided_dialog", "s", "tool", {"license": "MIT"}).collect()}
+    row = rows["s:g"]
+    assert [(e.id, e.type, e.name) for e in row.events] == [("e0", "message", ""), ("e1", "state_change", ""), ("e2", "tool_call", "svc.Find"), ("e3", "tool_result", "svc")]
+    assert json.loads(row.events[1].content)["active_intent"] == "Book" and row.events[2].arguments == '{"city":"Rome"}'
+    assert [(a.key, a.type, a.value, a.evidence_event_ids) for a in row.memory_atoms] == [("svc.day", "task_state", "mon, tue", ["e1"]), ("svc.method", "tool_call", "Find", ["e2"]), ("svc.id", "tool_outcome", "7", ["e3"])]
+    assert [p.prompt for p in row.probes] == ["What value is stored for day in svc?", "Which service method was called for svc?", "What value did svc return for id?"]
+    assert rows["s:h"].events == row.events and (rows["s:i"].reject, rows["s:j"].reject) == ("bad_json", "no_events")
+    assert json.loads(row.provenance) == {"license": "MIT", "revision": "", "external_api_allowed": False, "source_record_id": "g"}
+    nested = spark.createDataFrame([("g", [("USER", "hi", [("svc", {"a": "1"})])])], "record_id string, turns array<struct<speaker:string,utterance:string,frames:array<struct<service:string,service_results:map<string,string>>>>>")
+    assert [a.value for a in adapters.adapt(nested, "schema_guided_dialog", "s", "tool").first().memory_atoms] == ["1"]
+    steps = [{"role": "user", "content": "fix"}, {"role": "assistant", "content": "thinking", "tool_calls_json": json.dumps([{"id": "c1", "function": {"name": "run", "arguments": {"b": 1, "a": 2}}}])}, {"role": "tool", "content": "ok", "tool_call_id": "c1"}, {"role": "assistant", "function_call": {"name": "ls"}}, {"role": "tool", "content": "files"}]
+    coding = adapters.adapt(spark.createDataFrame([("t", json.dumps(steps), "org/r")], "record_id string, trajectory string, repo string"), "swe_zero", "s", "coding").first()
+    assert [(e.id, e.type, e.name, e.arguments) for e in coding.events] == [("e0", "message", "", None), ("e1", "tool_call", "run", '{"a":2,"b":1}'), ("e2", "tool_result", "run", None), ("e3", "tool_call", "ls", "{}"), ("e4", "tool_result", "ls", None)]
+    assert [(p.prompt, p.reference) for p in coding.probes] == [("What result did the coding environment return for tool call c1?", "ok"), ("What result did the coding environment return for tool call e3?", "files")]
+    assert [a.key for a in coding.memory_atoms] == ["c1", "e3"] and json.loads(coding.provenance)["repository"] == "org/r" and coding.reject is None
+    ids = spark.createDataFrame([("d", [1, 2], [[3, 4, 5], [6], [7, 8]], [[1, 9], [0, 1], [2, 1]]), ("e", None, None, None)], "record_id string, ctx_ids array<int>, input_ids array<array<int>>, response_start_end array<array<int>>")
+    got = {r.session_id: r for r in adapters.adapt(ids, "d2l_tokenized", "s", "d", decode=lambda own: " ".join(f"t{i}" for i in own)).collect()}
+    assert got["s:d"].events[0].content == "t1 t2" and [(p.prompt, p.reference) for p in got["s:d"].probes] == [("t3", "t4 t5")] and got["s:e"].reject == "empty_context"
     tm = spark.createDataFrame([("m", [("USER", "two seats", [("two", [("seats",)])])])], "record_id string, utterances array<struct<speaker:string,text:string,segments:array<struct<text:string,annotations:array<struct<name:string>>>>>>")
     assert adapters.adapt(tm, "taskmaster", "s", "tool").first().memory_atoms[0].value == "two"
     with pytest.raises(ValueError):
