@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.plans.runtime import cut
+
 
 def shuffled_options(instance: Column, options: Column, seed: int) -> Column:
     """Options in the order of the SHA-256 of seed, instance and position, and where the first one (gold) went."""
@@ -34,12 +36,14 @@ def prefixes(examples: DataFrame, noise: DataFrame, turns: tuple[int, ...], posi
 def folds(rows: DataFrame, user: str) -> DataFrame:
     """Leave-one-user-out: each row once for every fold, as test in its user's fold and as train in the others.
 
-    The folds are the distinct users, a handful by the benchmark's design, and are broadcast after a check.
+    The folds are the distinct users, a handful by the benchmark's design, and each row carries as many copies as there
+    are folds, as the result lists them; the table of folds is broadcast only up to 1000 users, else it is shuffled.
     """
     users = rows.select(F.col(user).alias("fold")).where(F.col(user).isNotNull()).distinct()
-    if users.count() > 1000:
-        raise ValueError("leave-one-user-out needs a fold for each user; there are more than 1000")
-    return rows.join(F.broadcast(users)).withColumn("part", F.when(F.col(user) == F.col("fold"), "test").otherwise("train"))
+    users = cut(users)
+    table = F.broadcast(users) if users.count() <= 1000 else users
+    one = F.lit(1)
+    return rows.withColumn("_k", one).join(table.withColumn("_k", one), "_k").drop("_k").withColumn("part", F.when(F.col(user) == F.col("fold"), "test").otherwise("train"))
 
 
 def macro_summary(results: DataFrame, user: str, variant: str, correct: str) -> DataFrame:
@@ -129,3 +133,21 @@ def first_session_rule(*places: dict) -> str:
     if len(rules) > 1 or not rules <= {"direct", "gate_zero_state"}:
         raise ValueError(f"conflicting or unknown rules: {sorted(rules)}")
     return rules.pop() if rules else "gate_zero_state"
+
+
+def sorted_results(results: DataFrame, key: str = "instance_id", position: str = "position") -> DataFrame:
+    """Results with a dense ``position`` by their id, whatever order the runs wrote them in; repeated ids keep all rows."""
+    from sessionloom.operators.indexing import dense_index
+
+    rest = [c for c in results.columns if c != key]
+    return dense_index(results, [key, *rest], position)
+
+
+def topic_split(rows: DataFrame, topic: str, seed: int, held_out: int) -> DataFrame:
+    """``part`` by topic: the ``held_out`` topics that come first by the SHA-256 of seed and topic are test, the rest train.
+
+    Topics are a few names; null topics are train. A topic is never in both parts.
+    """
+    names = rows.where(F.col(topic).isNotNull()).select(topic).distinct().withColumn("_k", F.sha2(F.concat_ws("\0", F.lit(str(seed)), topic), 256))
+    test = names.orderBy("_k", topic).limit(held_out).select(topic, F.lit("test").alias("part"))
+    return rows.join(test, topic, "left").withColumn("part", F.coalesce("part", F.lit("train")))

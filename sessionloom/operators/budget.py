@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,25 +33,25 @@ def greedy(rows: DataFrame, limits: dict[str, int], domain: str, order: str, tok
     spark = rows.sparkSession
     left = cut(rows.where(F.col(domain).isin(*limits)).select(domain, order, F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("_t")))
     room = {d: int(c) for d, c in limits.items()}
-    accepted = left.select(order).limit(0)
+    parts: list[DataFrame] = []
     while True:
         table = F.broadcast(spark.createDataFrame(list(room.items()), f"`{domain}` string, _room bigint"))  # a row for each domain
         fits = left.join(table, domain).where("_t <= _room")
         if fits.isEmpty():
-            return accepted
+            return reduce(DataFrame.unionByName, parts) if parts else left.select(order).limit(0)
         summed = running_sum(fits, [domain, order], F.col("_t"), "_before")
         start = summed.groupBy(domain).agg(F.min("_before").alias("_start"))
         upto = cut(summed.join(F.broadcast(start), domain).withColumn("_upto", F.col("_before") - F.col("_start") + F.col("_t")))
         over = upto.where("_upto > _room").groupBy(domain).agg(F.min(order).alias("_over"))
         marked = upto.join(F.broadcast(over), domain, "left")
         first = cut(marked.where(F.col("_over").isNull() | (F.col(order) < F.col("_over"))))
-        accepted = cut(accepted.unionByName(first.select(order)))
+        parts.append(first.select(order))
         used = {r[0]: r[1] for r in first.groupBy(domain).agg(F.sum("_t")).collect()}  # a row for each domain
         room = {d: c - used.get(d, 0) for d, c in room.items()}
         left = cut(marked.where(F.col(order) > F.col("_over")).select(domain, order, "_t"))
 
 
-def accept(rows: DataFrame, limits: dict[str, int], order: str, domain: str, tokens: str, hash_col: str, simhash_col: str, words: str, rounds: int = 50) -> DataFrame:
+def accept(rows: DataFrame, limits: dict[str, int], order: str, domain: str, tokens: str, hash_col: str, simhash_col: str, words: str) -> DataFrame:
     """``order, reason``: the outcome of a scan that tests the budget, then duplicates, and charges accepted rows only.
 
     A rejected row neither counts against the budget nor as the original of a duplicate, so both tests
@@ -61,14 +62,12 @@ def accept(rows: DataFrame, limits: dict[str, int], order: str, domain: str, tok
     rows = cut(rows.select(order, domain, tokens, hash_col, simhash_col, words))
     close = cut(dedup.class_pairs(rows.where(F.col(words) >= dedup.MIN_TOKENS), simhash_col))
     accepted, found, old = rows, None, None
-    for _ in range(rounds):
+    while True:  # each pass settles at least one more row of the order
         found = cut(dedup.duplicates_of(accepted, rows, close, order, hash_col, simhash_col, words))
         kept = greedy(rows.join(found, order, "left_anti"), limits, domain, order, tokens)
         if old is not None and kept.count() == old.count() and kept.exceptAll(old).isEmpty():
             break
         old, accepted = kept, rows.join(kept, order, "left_semi")
-    else:
-        raise RuntimeError("budget and deduplication are not settled")
     # the budget test comes first: a duplicate that would not have fitted either is over budget
     verdicts = rows.join(found, order, "left").join(kept.withColumn("_in", F.lit(True)), order, "left")
     spent = running_sum(verdicts, [domain, order], F.when(F.col("_in"), F.col(tokens)), "_spent")

@@ -153,3 +153,8 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     best = F.min_by(F.struct(*rest), F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order]))
     return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
+
+
+def content_digest(fields: tuple[str, ...]) -> Column:
+    """SHA-256 of the named columns with their names, in order; nulls differ from empty texts."""
+    return F.sha2(F.concat_ws("\0", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("~"))) for c in fields]), 256)

@@ -46,18 +46,16 @@ def candidate_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int = M
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
-def greedy_rejections(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_rejections(edges: DataFrame) -> DataFrame:
     """Ids rejected when rows are accepted in ascending order unless an accepted earlier row is their neighbour.
 
     ``edges`` has ``a < b``. Round by round: a row without undecided earlier neighbours is accepted, its
-    later neighbours are rejected, and both leave the graph. Exact, not the components of the graph; the
-    number of rounds is the longest chain of earlier neighbours. Returns ``id, because_of``.
+    later neighbours are rejected, and both leave the graph, so that a round sees only rows that are undecided. Exact, not
+    the components of the graph; the smallest row left is decided in each round, and rounds go on until none is left. Returns ``id, because_of``.
     """
     left = cut(edges.select("a", "b").distinct())
     out = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         later = left.select(F.col("b").alias("a")).distinct()
         accepted = left.select("a").distinct().join(later, "a", "left_anti")
         struck = cut(left.join(accepted, "a").groupBy("b").agg(F.min("a").alias("because_of")))
@@ -66,8 +64,6 @@ def greedy_rejections(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         gone = struck.select(F.col("b").alias("x"))
         left = left.join(accepted, "a", "left_anti")
         left = cut(left.join(gone, left.a == gone.x, "left_anti").join(gone, left.b == gone.x, "left_anti"))
-    else:
-        raise RuntimeError("the rejections are not settled")
     return out if out is not None else edges.select(F.col("b").alias("id"), F.col("a").alias("because_of")).limit(0)
 
 
@@ -86,24 +82,28 @@ def duplicates_of(accepted: DataFrame, rows: DataFrame, close: DataFrame, order:
     return judged.select(order, verdict.alias("verdict")).where("verdict is not null")
 
 
-def classify(df: DataFrame, id_col: str, hash_col: str, simhash_col: str, tokens_col: str, distance: int = MAX_DISTANCE, min_tokens: int = MIN_TOKENS, rounds: int = 100) -> DataFrame:
+def classify(df: DataFrame, id_col: str, hash_col: str, simhash_col: str, tokens_col: str, distance: int = MAX_DISTANCE, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Adds ``verdict``: accepted, exact_duplicate or near_duplicate, as a scan in the order of ``id_col`` would.
 
-    A rejected row is no original for later ones. From the set of all rows on, the rows without an accepted
-    earlier duplicate are accepted, again and again until the set stays the same: the scan's, as by induction
-    over the order no first difference can exist.
+    A rejected row is no original for later ones. Long rows of one SimHash share the fate of the first of them: if it is
+    accepted, the others are duplicates of it, and if an earlier row rejects it, that row rejects them as well. So only
+    these first rows and the pairs of close SimHashes are decided, by :func:`greedy_rejections`; rows are joined to them
+    at the end. Short rows are compared by their hash alone. ``id_col`` is unique; rows with a null hash or SimHash are
+    accepted unless the other test rejects them.
     """
     rows = cut(df.select(id_col, hash_col, simhash_col, tokens_col))
-    close = cut(class_pairs(rows.where(F.col(tokens_col) >= min_tokens), simhash_col, distance))
-    accepted, old = rows, None
-    for _ in range(rounds):
-        found = cut(duplicates_of(accepted, rows, close, id_col, hash_col, simhash_col, tokens_col, min_tokens))
-        if old is not None and found.count() == old.count() and found.select(id_col).exceptAll(old.select(id_col)).isEmpty():
-            break
-        accepted, old = rows.join(found, id_col, "left_anti"), found
-    else:
-        raise RuntimeError("duplicates are not settled")
-    return df.join(found, id_col, "left").withColumn("verdict", F.coalesce("verdict", F.lit("accepted")))
+    long = F.coalesce(F.col(tokens_col) >= min_tokens, F.lit(False)) & F.col(simhash_col).isNotNull()
+    leaders = cut(rows.where(long).groupBy(F.col(simhash_col).alias("_s")).agg(F.min(F.struct(id_col, hash_col)).alias("_l")).select("_s", F.col(f"_l.{id_col}").alias("_i"), F.col(f"_l.{hash_col}").alias("_h")))
+    close = class_pairs(rows.where(long), simhash_col, distance)
+    side = lambda c: leaders.select(F.col("_s").alias(c), F.col("_i").alias(f"i{c}"))
+    edges = close.join(side("ha"), "ha").join(side("hb"), "hb").select(F.least("iha", "ihb").alias("a"), F.greatest("iha", "ihb").alias("b"))
+    struck = greedy_rejections(edges).select(F.col("id").alias("_i"), F.lit(True).alias("_out"))
+    fate = leaders.join(struck, "_i", "left").withColumnRenamed("_s", simhash_col)
+    first = rows.where(~long & F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(id_col).alias("_first"))
+    judged = rows.join(fate, simhash_col, "left").join(first, hash_col, "left")
+    of_long = F.when(F.col("_out"), "near_duplicate").when(F.col(id_col) == F.col("_i"), "accepted").when(F.col(hash_col).eqNullSafe(F.col("_h")), "exact_duplicate").otherwise("near_duplicate")
+    verdict = F.when(long, of_long).when(F.col("_first") < F.col(id_col), "exact_duplicate").otherwise("accepted")
+    return df.join(judged.select(id_col, verdict.alias("verdict")), id_col, "left")
 
 
 def excluded_by(text_col: Column, patterns: list[str]) -> Column:

@@ -50,6 +50,15 @@ def group_index(df: DataFrame, group: list[str], order: list[Column | str], name
     return joined.withColumn(name, F.col("_sl_g") - F.col("_sl_first")).drop("_sl_g", "_sl_first", *[f"_sl_{i}" for i in range(len(group))])
 
 
+def longest(df: DataFrame, group: list[str], size: str, index: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group with the largest ``size`` (ties by ``index``, nulls last), with their ``rank`` from 1.
+
+    Positions come from a global order, so that no group is gathered.
+    """
+    ranked = group_index(df.withColumn("_sl_n", F.coalesce(-F.col(size), F.lit(2**62))), group, ["_sl_n", index], "_sl_k").where(F.col("_sl_k") < n)
+    return ranked.withColumn("rank", F.col("_sl_k") + 1).drop("_sl_n", "_sl_k")
+
+
 #: Digests that are joined and hashed at once.
 DIGEST_BLOCK = 4096
 

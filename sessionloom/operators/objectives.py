@@ -71,6 +71,41 @@ def kl_top_k_tail(p: Column, q: Column, k: int) -> Column:
     return let(bound, checked)
 
 
+#: The smallest normal 32-bit float, below which probabilities are not told apart from none.
+TINY = 1.1754943508222875e-38
+
+
+def stored_forward_kl(student: Column, ids: Column, lps: Column) -> Column:
+    """Forward KL of a stored teacher row, its top ids and their log probabilities, with all other ids as one cell.
+
+    A mass above one by at most 0.01, as rounding leaves it, is scaled back to one; a larger one, an empty row, repeated
+    ids and values that are not finite are errors. Null rows give null.
+    """
+    def value(d: Column) -> Column:
+        def kl(p: Column) -> Column:
+            q = F.transform(d["i"], lambda i: d["s"][i])
+            body = total(F.zip_with(p, q, lambda a, b: a * (F.log(F.greatest(a, F.lit(TINY))) - b)))
+            rest = lambda mass: F.greatest(1.0 - mass, F.lit(0.0))
+            tp, tq = rest(total(p)), rest(total(F.transform(q, F.exp)))
+            return body + tp * (F.log(F.greatest(tp, F.lit(TINY))) - F.log(F.greatest(tq, F.lit(TINY))))
+
+        def checked(mass: Column) -> Column:
+            fail = lambda text: F.raise_error(F.lit(text)).cast("double")
+            scaled = F.transform(d["t"], lambda x: F.exp(x) / F.greatest(mass, F.lit(1.0)))
+            return (
+                F.when(F.size(d["i"]) == 0, fail("empty support"))
+                .when(F.size(F.array_distinct(d["i"])) < F.size(d["i"]), fail("repeated ids"))
+                .when(F.isnan(mass) | (F.abs(mass) == float("inf")), fail("values are not finite"))
+                .when(mass > 1.01, fail("mass above one"))
+                .otherwise(let(scaled, kl))
+            )
+
+        return let(total(F.transform(d["t"], F.exp)), checked)
+
+    bound = F.struct(student.alias("s"), ids.alias("i"), lps.alias("t"))
+    return F.when(ids.isNotNull() & lps.isNotNull(), let(bound, value))
+
+
 def support_reverse_kl(student: Column, teacher: Column, support: Column) -> Column:
     """Reverse KL over given ids, repeated ids once, with the rest as one cell."""
     bound = let(
@@ -106,6 +141,18 @@ def merge_chunks(chunks: Column, ranks: Column, width: int) -> Column:
     )
 
 
+def combine_chunks(chunks: Column, most: int, rank: int, bias: Column | None = None, scale: float = 1.0) -> Column:
+    """The rank rows of a context's chunks one after another, then the bias rows times ``scale``, then zeros up to
+    ``(most + 1) * rank`` rows, ``most`` being the largest number of chunks of any context. Chunks are arrays of ``rank``
+    rows, rows are arrays of one width.
+    """
+    rows = F.flatten(chunks)
+    if bias is not None:
+        rows = F.concat(rows, F.transform(bias, lambda r: F.transform(r, lambda x: x * scale)))
+    zero = F.transform(F.get(F.get(chunks, F.lit(0)), F.lit(0)), lambda x: F.lit(0.0))
+    return F.concat(rows, F.array_repeat(zero, F.lit((most + 1) * rank) - F.size(rows)))
+
+
 def warmup_cosine(step: Column, warmup: int, steps: int) -> Column:
     """Factor of the learning rate: linear warm-up, then half a cosine down to 0."""
     progress = F.least((step - warmup) / F.lit(float(max(1, steps - warmup))), F.lit(1.0))

@@ -236,9 +236,16 @@ def _simhashed(spark, sf):
     return d.select("doc_id", F.sha2("t", 256).alias("h"), text.simhash64()(F.col("t")).alias("sim"), F.size(F.filter(F.split("t", " "), lambda x: x != "")).alias("w"))
 
 
-@query()
+BITS = " + ".join(f"case when 2 * b{i} >= n then {1 << i}::ubigint else 0::ubigint end" for i in range(64))
+
+
+@query(SIMHASH_SQL + f""", h as (select doc_id, {BITS} as h from c), w2 as (select doc_id, len(ws) as w from w), f as (select h, min(doc_id) as i from h join w2 using (doc_id) where w >= 20 group by 1)
+select least(a.i, b.i) as a, greatest(a.i, b.i) as b, bit_count(xor(a.h, b.h))::int as distance from f a join f b on a.h < b.h where bit_count(xor(a.h, b.h)) <= 5""")
 def jn5_band_candidates(spark, sf):
-    return dedup.candidate_pairs(_simhashed(spark, sf).where("w >= 20"), "doc_id", "sim", 10)
+    """Six bands find all pairs of up to five differing bits: one band at least has none of them."""
+    d = table(spark, sf, "documents").select("doc_id", text.normalize_exact(F.col("text")).alias("t"))
+    rows = d.select("doc_id", text.simhash64(3, "md5")(F.col("t")).alias("sim"), text.normalized_words(F.col("t")).alias("w")).where("w >= 20")
+    return dedup.candidate_pairs(rows, "doc_id", "sim", 5, 6, 10)
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import arrays, text
-from sessionloom.operators import benchmarks, indexing, memory, objectives, quality
+from sessionloom.operators import benchmarks, indexing, memory, objectives, quality, splits
 from sessionloom.plans.runtime import table
 from sessionloom.queries import exact
 from sessionloom.queries.part1 import DISTINCT_EVENTS, NORM, PROBES, WORDS, _probes, events
@@ -49,6 +49,21 @@ def obj2_forward_kl_tail(spark, sf):
     return _logits(spark, sf).select("vec_id", F.round(objectives.kl_top_k_tail(F.col("t"), F.col("s"), 8), 6).alias("loss"))
 
 
+@query(f"""with {LOGITS}, c2 as (select vec_id, s, [e.i for e in tk] as ids, [ln(exp(-e.m) / list_sum([exp(-z.m) for z in tk]) * (0.9 + (vec_id % 5) * 0.025)) for e in tk] as t from k),
+m2 as (select *, greatest(list_sum([exp(x) for x in t]), 1.0) as mass from c2), n2 as (select vec_id, s, ids, [exp(x) / mass for x in t] as p from m2),
+r2 as (select *, greatest(1 - list_sum(p), 0) as tp, greatest(1 - list_sum([exp(s[i]) for i in ids]), 0) as tq from n2)
+select vec_id, round(list_sum([p[j] * (ln(p[j]) - s[ids[j]]) for j in range(1, len(p) + 1)]) + case when tp > 0 then tp * (ln(tp) - ln(tq)) else 0 end, 5) as loss from r2""")
+def obj2_stored_forward_kl(spark, sf):
+    """Stored rows whose masses lie between 0.9 and 1."""
+    d = _logits(spark, sf)
+    picks = objectives.top_k(F.col("t"), 8)
+    rows = d.select("vec_id", "s", F.transform(picks, lambda e: e["i"]).alias("ids"), F.transform(picks, lambda e: e["lp"]).alias("lps"))
+    mass = objectives.total(F.transform("lps", F.exp))
+    scaled = F.transform("lps", lambda x: F.log(F.exp(x) / F.col("_m") * (0.9 + (F.col("vec_id") % 5) * 0.025)))
+    rows = rows.withColumn("_m", mass).withColumn("lps", scaled)
+    return rows.select("vec_id", F.round(objectives.stored_forward_kl(F.col("s"), F.col("ids"), F.col("lps")), 5).alias("loss"))
+
+
 @query(f"with {LOGITS} select vec_id, round({TAIL.format(p='s', q='t', k='sk')}, 6) as loss from k")
 def obj3_reverse_kl_tail(spark, sf):
     return _logits(spark, sf).select("vec_id", F.round(objectives.kl_top_k_tail(F.col("s"), F.col("t"), 8), 6).alias("loss"))
@@ -97,6 +112,17 @@ def obj10_merge_chunks(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(objectives.total(m), 6).alias("total"), F.size(m).cast("bigint").alias("size"))
 
 
+@query("""with c as (select vec_id, vec_id % 3 + 1 as n, embedding::double[] as x from embeddings)
+select vec_id, round(list_sum(x[1:16 * n]) + 0.5 * list_sum(x[49:64]), 6) as total, 64::bigint as size, round(case when n < 3 then 0.0 else 0.5 * x[64] end, 6) as last from c""")
+def obj10_combine_chunks(spark, sf):
+    """One to three chunks of four rows of four, then a bias at half weight, then zeros."""
+    e = F.col("embedding").cast("array<double>")
+    rows = lambda at: F.array(*[F.slice(e, at + 4 * r, 4) for r in range(4)])
+    chunks = F.slice(F.array(rows(1), rows(17), rows(33)), F.lit(1), (F.col("vec_id") % 3 + 1).cast("int"))
+    m = F.flatten(objectives.combine_chunks(chunks, 3, 4, rows(49), 0.5))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(objectives.total(m), 6).alias("total"), F.size(m).cast("bigint").alias("size"), F.round(F.element_at(m, -1), 6).alias("last"))
+
+
 @query("select vec_id, round(case when vec_id < 50 then vec_id / 50.0 else 0.5 * (1 + cos(pi() * least((vec_id - 50) / 400.0, 1.0))) end, 6) as factor from embeddings")
 def obj11_warmup_cosine(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(objectives.warmup_cosine(F.col("vec_id"), 50, 450), 6).alias("factor"))
@@ -260,11 +286,12 @@ def agg3_content_digest(spark, sf):
     return indexing.ordered_digest(d, ["session_id", "h"], "h")
 
 
-@query("""with s as (select session_id, min(session_index) i, max(context_token_max)::bigint t, min(source) source from sessions group by 1), r as (select *, row_number() over (partition by source order by t desc nulls last, i) as rank from s) select source, session_id, t as tokens, rank from r where rank <= 3""")
+@query("""with s as (select session_id, min(session_index) i, max(context_token_max)::bigint t from sessions group by 1), k as (select *, case when ('0x' || substr(sha256(concat_ws(chr(0), '42', session_id)), 1, 16))::ubigint::double / 18446744073709551616.0 < 0.01 then 'validation' else 'train' end as split from s),
+r as (select *, row_number() over (partition by split order by t desc nulls last, i) as rank from k) select split, session_id, t as tokens, rank from r where rank <= 256""")
 def agg4_longest_contexts(spark, sf):
-    s = table(spark, sf, "sessions").groupBy("session_id").agg(F.min("session_index").alias("i"), F.max("context_token_max").cast("bigint").alias("tokens"), F.min("source").alias("source"))
-    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("tokens"), "i")
-    return s.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 3").select("source", "session_id", "tokens", "rank")
+    """The 256 longest contexts of each split: the report's size is its feature."""
+    s = table(spark, sf, "sessions").groupBy("session_id").agg(F.min("session_index").alias("i"), F.max("context_token_max").cast("bigint").alias("tokens"))
+    return indexing.longest(splits.session_split(s), ["split"], "tokens", "i", 256).select("split", "session_id", "tokens", "rank")
 
 
 @query(f"""with {DISTINCT_EVENTS}, l as (select session_id, role, length(coalesce(content, '')) as v from e), r as (select session_id, role, avg(v) m from l group by 1, 2) select session_id, round(avg(m), 6) as mean_loss from r group by 1""")

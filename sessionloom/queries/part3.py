@@ -310,6 +310,21 @@ def sup7_generation_prompt(spark, sf):
     return g.select("session_id", F.md5(probes.generation_prompt(F.col("n"), 10, F.col("session_id"))).alias("digest"))
 
 
+@query("select item_id, benchmark, row_number() over (order by item_id, benchmark) - 1 as position from eval_items")
+def srt2_sorted_results(spark, sf):
+    return benchmarks.sorted_results(table(spark, sf, "eval_items").select("item_id", "benchmark"), "item_id")
+
+
+@query("with t as (select distinct domain as d from documents where domain is not null order by sha256(concat_ws(chr(0), '7', domain)), domain limit 2) select doc_id, case when d is null then 'train' else 'test' end as part from documents left join t on d = domain")
+def set3_topic_split(spark, sf):
+    return benchmarks.topic_split(table(spark, sf, "documents").select("doc_id", "domain"), "domain", 7, 2).select("doc_id", "part")
+
+
+@query("select doc_id, case when regexp_replace(lower(regexp_replace(source, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), '[\\s\\pZ_-]+', '_', 'g') in ('lantern_talk', 'toolsmith_sft') then 'excluded_source' end as reject from documents")
+def flt4_excluded_sources(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", filters.excluded_source(F.col("source"), ["Lantern-Talk", "toolsmith sft"]).alias("reject"))
+
+
 # ---- sets, sorts and supporting audits -------------------------------------------------------------
 
 
@@ -363,10 +378,14 @@ def win6_collision_repair(spark, sf):
     return o.select(F.when(F.col("n") > 1, new).otherwise(F.col("original")).alias("session_id"), "original", "occurrence")
 
 
-@query(f"with {FIRST_SESSIONS} select session_id, sha256(concat_ws(chr(0), source, coalesce(domain, ''), coalesce(context, ''), coalesce(events_json, ''))) as digest from s")
+CONTENT_FIELDS = ("source", "domain", "events_json", "memory_atoms_json", "provenance_json", "metadata_json")
+
+
+@query(f"with {FIRST_SESSIONS} select session_id, sha256(concat_ws(chr(0), " + ", ".join(f"'{c}=' || coalesce({c}, '~')" for c in CONTENT_FIELDS) + ")) as digest from s")
 def sup1_content_digest(spark, sf):
+    """All that a session says: every column but its id and positions and what is derived from the rest."""
     s = canonical.first_rows(table(spark, sf, "sessions"), ["session_id"], ["session_index", "events_json"])
-    return s.select("session_id", F.sha2(F.concat_ws("\0", "source", F.coalesce("domain", F.lit("")), F.coalesce("context", F.lit("")), F.coalesce("events_json", F.lit(""))), 256).alias("digest"))
+    return s.select("session_id", canonical.content_digest(CONTENT_FIELDS).alias("digest"))
 
 
 @query("select session_id, count(*) as n from sessions group by 1 having count(*) > 1 order by session_id limit 10")

@@ -86,6 +86,65 @@ def test_near_duplicates_are_not_components(spark):
     assert {r.id for r in dedup.greedy_rejections(edges).collect()} == {1}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_duplicates_equal_a_scan(spark, seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(63) for _ in range(8)]
+    sims, rows = {}, []
+    for i in range(150):
+        h, sim = f"h{rng.randrange(60)}", rng.choice(base)
+        for _ in range(rng.randrange(4)):
+            sim ^= 1 << rng.randrange(62)
+        sim, words = sims.setdefault(h, (sim, rng.choice([5, 30])))
+        rows.append((i, h, sim, words))
+    kept, want = [], {}
+    for i, h, sim, words in rows:
+        if any(h == o[1] for o in kept):
+            want[i] = "exact_duplicate"
+        elif words >= 20 and any(o[3] >= 20 and bin(sim ^ o[2]).count("1") <= 3 for o in kept):
+            want[i] = "near_duplicate"
+        else:
+            want[i] = "accepted"
+            kept.append((i, h, sim, words))
+    got = {r.i: r.verdict for r in dedup.classify(spark.createDataFrame(rows, "i long, h string, s long, w int"), "i", "h", "s", "w").collect()}
+    assert got == want
+
+
+def test_group_positions_and_longest(spark):
+    from sessionloom.operators import benchmarks, indexing
+
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), (None, 7), ("a", 2), (None, 5)], "g string, v int")
+    got = {(r.g, r.v): r.i for r in indexing.group_index(df, ["g"], ["v"], "i").collect()}
+    assert got == {("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("b", 1): 0, (None, 5): 0, (None, 7): 1}
+    assert {(r.g, r.v, r["rank"]) for r in indexing.longest(df, ["g"], "v", "v", 1).collect()} == {("a", 3, 1), ("b", 1, 1), (None, 7, 1)}
+    assert indexing.group_index(df.limit(0), ["g"], ["v"], "i").count() == 0
+    parts = {r.g: r.part for r in benchmarks.topic_split(df.select("g").distinct(), "g", 1, 1).collect()}
+    assert sorted(parts.values()) == ["test", "train", "train"] and parts[None] == "train"
+
+
+def test_stored_rows_are_checked(spark):
+    from sessionloom.operators import objectives
+
+    student = [float(x) for x in (-0.5, -1.5, -2.0)]
+    df = lambda ids, lps: spark.createDataFrame([(student, ids, lps)], "s array<double>, i array<int>, t array<double>").select(objectives.stored_forward_kl(F.col("s"), F.col("i"), F.col("t")).alias("x"))
+    import math
+
+    p = [0.7 / 1.005, 0.305 / 1.005]
+    want = sum(a * (math.log(a) - b) for a, b in zip(p, student))
+    assert df([0, 1], [math.log(0.7), math.log(0.305)]).first().x == pytest.approx(want)
+    assert df(None, None).first().x is None
+    for ids, lps in (([0, 0], [-1.0, -1.0]), ([0, 1], [math.log(0.8), math.log(0.3)]), ([], []), ([0], [math.nan])):
+        with pytest.raises(Exception, match="repeated|mass|empty|finite"):
+            df(ids, lps).collect()
+
+
+def test_providers_are_denied_by_default(spark):
+    said = ['{"external_api_allowed": true}', '{"external_api_allowed": false}', "{}", None, "no json", '{"external_api_allowed": 0}', '{"external_api_allowed": null}', '{"external_api_allowed": "yes"}']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(said)], "i int, p string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", filters.external_allowed(F.col("p"), "openai").alias("a"), filters.external_allowed(F.col("p"), "own").alias("b")).collect()}
+    assert {i for i, (a, _) in got.items() if a} == {0, 7} and all(b for _, b in got.values())
+
+
 def test_budget_skips_and_takes_smaller_rows(spark):
     df = spark.createDataFrame([(0, "a", 5), (1, "a", 90), (2, "a", 4), (3, "a", 2), (4, "b", 1), (5, "a", None)], "i long, d string, t long")
     assert {r.i for r in budget.greedy(df, {"a": 10}, "d", "i", "t").collect()} == {0, 2, 5}
