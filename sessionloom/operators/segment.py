@@ -51,31 +51,46 @@ def truncate(event: dict, room: Callable[[dict], bool]) -> dict:
     return event | {"content": (event["content"][:low].rstrip() + MARK).strip()}
 
 
-def segments_of(header: str, events: list[dict], limit: int, overlap: int = OVERLAP, count: Callable[[str], int] = count_words) -> list[tuple[list[dict], int]]:
+def segments_of(header: str, events: list[dict], limit: int, overlap: int = OVERLAP, count: Callable[[str], int] = count_words, additive: bool | None = None) -> list[tuple[list[dict], int]]:
     """Groups of events and their tokens. Greedy: an event that no longer fits opens the next group, which
     begins with the last ``overlap`` events as far as they fit; an event that fits nowhere is cut.
+
+    Where counts of lines add up (``additive``, as words do), each event is counted once and groups are sums; else each
+    group is counted as a whole.
     """
-    size = lambda group: count("\n".join([header, *map(_event_text, group)]))
+    additive = count is count_words if additive is None else additive
+    head, own = count(header), {}
+
+    def weight(event: dict) -> int:
+        if id(event) not in own:
+            own[id(event)] = (count(_event_text(event)), event)
+        return own[id(event)][0]
+
+    def size(group: list[dict]) -> int:
+        return head + sum(map(weight, group)) if additive else count("\n".join([header, *map(_event_text, group)]))
+
     if limit <= 0:
         return [(events, size(events))] if events else []
     done: list[tuple[list[dict], int]] = []
     group: list[dict] = []
-    fresh = 0
+    fresh, held = 0, head
     for event in events:
-        if size([*group, event]) <= limit:
+        grown = held + weight(event) if additive else size([*group, event])
+        if grown <= limit:
             group.append(event)
-            fresh += 1
+            fresh, held = fresh + 1, grown
             continue
         if fresh:
-            done.append((group, size(group)))
+            done.append((group, held))
         seed = group[len(group) - overlap :] if overlap and fresh else []
         while seed and size([*seed, event]) > limit:
             seed = seed[1:]
         if not seed and size([event]) > limit:
-            event = truncate(event, lambda e: size([e]) <= limit)
+            event = truncate(event, lambda e: (head + count(_event_text(e)) if additive else size([e])) <= limit)
         group, fresh = [*seed, event], 1
+        held = size(group)
     if fresh:
-        done.append((group, size(group)))
+        done.append((group, held))
     return done
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from sessionloom.functions import seeded
 from sessionloom.operators import adapters, benchmarks
@@ -87,7 +89,96 @@ def src9_single_pairs(spark, sf):
 
 @query("select session_index, session_id from split_index where session_index in (0, 7, 123)")
 def src10_random_access(spark, sf):
-    return table(spark, sf, "split_index").where(F.col("session_index").isin(0, 7, 123)).select("session_index", "session_id")
+    return readers.rows_at(table(spark, sf, "split_index"), "session_index", [0, 7, 123]).select("session_index", "session_id")
+
+
+def _named(spark, folder: str, suffix: str) -> list[str]:
+    """The data files of a written text table under names with another suffix."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    fs = name(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for path in readers.expand_paths(["part-*.txt"], folder, spark):
+        fs.rename(name(path), name(path[: -len(".txt")] + suffix))
+    return readers.expand_paths([f"**/*{suffix}"], folder, spark)
+
+
+@query(DOCS)
+def src1_json_lines(spark, sf):
+    """Written as JSON lines, listed by a recursive pattern and read back."""
+    path = scratch(spark, "lines")
+    _docs(spark, sf).select(F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"})).write.text(path)
+    return _digest(readers.read_records(spark, _named(spark, path, ".jsonl"), "doc_id bigint, text string, lang string"))
+
+
+@query("select item_id, passage, len(incorrect_answers)::bigint as n from eval_items")
+def src2_json_array(spark, sf):
+    """The fixed table of evaluation items as one JSON array."""
+    path = scratch(spark, "array")
+    e = table(spark, sf, "eval_items").select("item_id", "passage", "incorrect_answers")
+    e.agg(F.to_json(F.collect_list(F.struct("*")))).write.text(path)
+    rows = readers.read_records(spark, _named(spark, path, ".json"), "item_id string, passage string, incorrect_answers array<string>")
+    return rows.select("item_id", "passage", F.size("incorrect_answers").cast("bigint").alias("n"))
+
+
+@query("""select item_id as persona_id, 2::bigint as kept, 1 as dropped, case when item_id like '%7' then 'count' end as error from eval_items""")
+def src6_histories(spark, sf):
+    """One object a file: an empty message is dropped, a wrong total is told."""
+    path = scratch(spark, "histories")
+    said = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    e = table(spark, sf, "eval_items")
+    total = F.when(F.col("item_id").like("%7"), 9).otherwise(3)
+    whole = F.to_json(F.struct(F.struct(F.col("item_id").alias("persona_id"), total.alias("total_messages")).alias("metadata"), F.array(said("user", F.col("user_query")), said("assistant", F.lit(" ")), said("assistant", F.col("correct_answer"))).alias("chat_history")))
+    e.select("item_id", whole.alias("value")).repartition(1).write.partitionBy("item_id").text(path)
+    return readers.read_histories(spark, [path]).select("persona_id", F.size("messages").cast("bigint").alias("kept"), "dropped", "error")
+
+
+@query("select row_number() over (order by item_id) - 1 as position, user_query as question, correct_answer as answer from eval_items")
+def src7_aligned_lists(spark, sf):
+    """Two JSON arrays of the fixed table of evaluation items, joined by position."""
+    e, paths = table(spark, sf, "eval_items"), {}
+    for name, column in (("question", "user_query"), ("answer", "correct_answer")):
+        paths[name] = scratch(spark, name)
+        ordered = F.expr(f"transform(array_sort(collect_list(struct(item_id, {column}))), s -> s.{column})")
+        e.agg(F.to_json(ordered)).write.text(paths[name])
+    return readers.read_aligned_lists(spark, paths, "string")
+
+
+@query(f"""with {FIRST_SESSIONS}, {EVENT_LIST}, m as (select session_id, ev->>'$.id' as event_id, {CONTENT} as c from x where coalesce(ev->>'$.type', 'message') = 'message' and {CONTENT} <> '')
+select session_id, event_id, len(regexp_extract_all(c, '[\\pL\\pN_]+')) > 8 as cut from m""")
+def st2_truncated_events(spark, sf):
+    """Messages cut to eight words of content and the mark, where they have more."""
+    from sessionloom.operators import segment
+
+    @pandas_udf("boolean")
+    def shortened(texts: pd.Series) -> pd.Series:
+        event = {"type": "message", "role": "user", "id": "e", "name": "", "status": "", "arguments": None}
+        fits = lambda e: segment.count_words(e["content"].removesuffix(segment.MARK)) <= 8
+        made = [segment.truncate(event | {"content": t}, fits)["content"] if segment.count_words(t) > 8 else t for t in texts]
+        return pd.Series([m != t and m.endswith(segment.MARK) and t.startswith(m.removesuffix(segment.MARK)) and segment.count_words(m.removesuffix(segment.MARK)) == 8 for m, t in zip(made, texts)])
+
+    e = _sessions(spark, sf).select("session_id", F.explode("events").alias("e")).where("e.type = 'message' and e.content != ''")
+    return e.select("session_id", F.col("e.id").alias("event_id"), shortened(F.col("e.content")).alias("cut"))
+
+
+@query()
+def pipeline_build(spark, sf):
+    """The whole build over all sessions with their probes: rows and tokens of each table of the result."""
+    from sessionloom.operators.canonical import PROBE
+    from sessionloom.plans import pipeline
+
+    struct = F.struct(
+        F.col("probe_id").alias("id"), "prompt", "probe_type", "reference", F.lit("").alias("split"), F.lit(None).cast("string").alias("metadata"),
+        "answerable", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence_event_ids"),
+    )
+    p = table(spark, sf, "probes").groupBy("session_id", "probe_index").agg(*[F.min(c).alias(c) for c in ("probe_id", "prompt", "probe_type", "reference", "answerable")], F.min("evidence_event_ids").alias("evidence"))
+    own = p.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("probe_index", struct.alias("p")))), lambda s: s["p"].cast(PROBE)).alias("probes"))
+    s = _sessions(spark, sf).withColumnRenamed("session_index", "position").join(own, "session_id", "left")
+    s = s.withColumn("probes", F.coalesce("probes", F.array().cast("array<" + PROBE.simpleString() + ">")))
+    config = pipeline.BuildConfig(target_tokens=100_000, shares={"coding": 0.2, "conversation": 0.35, "synthetic": 0.2, "tool": 0.25}, max_context_tokens=400, require_references=False)
+    out = pipeline.build(s.select("position", "session_id", "source", "domain", "events", "probes"), config)
+    kept = out["sessions"].groupBy("domain").agg(F.count("*").alias("rows"), F.sum("context_tokens").alias("tokens")).select(F.concat(F.lit("sessions:"), "domain").alias("part"), "rows", "tokens")
+    lost = out["rejections"].groupBy("reason").agg(F.count("*").alias("rows")).select(F.concat(F.lit("rejected:"), "reason").alias("part"), "rows", F.lit(None).cast("bigint").alias("tokens"))
+    split = out["probes"].groupBy("split").agg(F.count("*").alias("rows")).select(F.concat(F.lit("probes:"), "split").alias("part"), "rows", F.lit(None).cast("bigint").alias("tokens"))
+    return kept.unionByName(lost).unionByName(split)
 
 
 @query("select a.item_id, a.benchmark, b.lang from eval_items a join (select item_id, lang, persona_id from eval_items where persona_id is not null) b using (item_id)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def expand_paths(patterns: list[str], base: str = ".") -> list[str]:
-    """Files of recursive patterns, each pattern's sorted; a pattern without files and a repeated file are errors."""
+def expand_paths(patterns: list[str], base: str = ".", spark: SparkSession | None = None) -> list[str]:
+    """Files of recursive patterns, each pattern's sorted; a pattern without files and a repeated file are errors.
+
+    With ``spark`` files are listed by the file system that ``base`` names, else on this machine.
+    """
     out: list[str] = []
     for p in patterns:
-        found = sorted(f for f in glob.glob(os.path.join(base, p), recursive=True) if os.path.isfile(f))
+        found = _listed(spark, base, p) if spark is not None else sorted(f for f in glob.glob(os.path.join(base, p), recursive=True) if os.path.isfile(f))
         if not found:
             raise FileNotFoundError(f"no files match {p}")
         out += found
@@ -25,6 +29,21 @@ def expand_paths(patterns: list[str], base: str = ".") -> list[str]:
     return out
 
 
+def _listed(spark: SparkSession, base: str, pattern: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(where).toString().rstrip("/") + "/"
+    parts = [re.escape(x) for x in re.split(r"(\*\*/|\*|\?)", pattern)]
+    wild = {re.escape("**/"): "(?:[^/]+/)*", re.escape("*"): "[^/]*", re.escape("?"): "[^/]"}
+    match = re.compile("".join(wild.get(x, x) for x in parts))
+    files, out = fs.listFiles(where, True), []
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        if match.fullmatch(path.removeprefix(root)):
+            out.append(path)
+    return sorted(out)
+
+
 def read_records(spark: SparkSession, paths: list[str], schema: StructType | str | None = None) -> DataFrame:
     """Records of JSON lines, JSON arrays (.json) or Parquet, told by the suffix, with ``_file`` for their origin.
 
@@ -75,15 +94,20 @@ def read_histories(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_aligned_lists(spark: SparkSession, paths: dict[str, str], column: str) -> DataFrame:
-    """JSON arrays of equal length joined by position: ``position`` and a column for each name."""
+    """JSON arrays of equal length joined by position: ``position`` and a column for each name.
+
+    Lists of unequal length are an error when rows are read, as their rows would not belong together.
+    """
     out: DataFrame | None = None
     for name, path in paths.items():
         whole = spark.read.text(path, wholetext=True)
-        items = whole.select(F.posexplode(F.from_json("value", f"array<{column}>")).alias("position", name))
+        items = whole.select(F.posexplode(F.from_json("value", f"array<{column}>")).alias("position", name)).withColumn(f"_has_{name}", F.lit(True))
         out = items if out is None else out.join(items, "position", "full_outer")
     if out is None:
         raise ValueError("no lists are named")
-    return out
+    marks = [F.col(f"_has_{n}") for n in paths]
+    aligned = F.when(F.size(F.array_compact(F.array(*marks))) == len(marks), F.col("position")).otherwise(F.raise_error(F.lit("lists are of unequal length")).cast("int"))
+    return out.select(aligned.alias("position"), *paths)
 
 
 def read_tasks(tasks: DataFrame, meta: DataFrame) -> DataFrame:
@@ -103,6 +127,13 @@ def samples(df: DataFrame) -> DataFrame:
     return df
 
 
+def rows_at(df: DataFrame, index: str, positions: list[int]) -> DataFrame:
+    """Random access: the samples at stated positions; the filter reaches the row groups' statistics. A position that the
+    store lacks gives no row.
+    """
+    return df.where(F.col(index).isin(list(positions))) if positions else df.limit(0)
+
+
 def sample_paths(paths: list[str]) -> list[str]:
     """Data files of a list that may hold .manifest and .txt lists, relative to themselves; # begins a comment.
 

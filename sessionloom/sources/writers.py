@@ -25,11 +25,24 @@ def write_shards(df: DataFrame, path: str, index: str, rows: int = SHARD_ROWS, f
         raise ValueError(f"unknown format {fmt}")
 
 
-def write_json_atomic(value: object, path: str) -> None:
-    """A JSON file with sorted keys that appears whole or not at all."""
+def write_json_atomic(value: object, path: str, spark: SparkSession | None = None) -> None:
+    """A JSON file with sorted keys that appears whole or not at all; with ``spark`` on the file system of ``path``."""
+    text = json.dumps(value, sort_keys=True, ensure_ascii=False, indent=2) + "\n"
     part = f"{path}.incomplete"
-    Path(part).write_text(json.dumps(value, sort_keys=True, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-    os.replace(part, path)
+    if spark is None:
+        Path(part).write_text(text, encoding="utf-8")
+        os.replace(part, path)
+        return
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    fs = name(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(name(part), True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(name(path), False)
+    if not fs.rename(name(part), name(path)):
+        raise OSError(f"{path} can't be published")
 
 
 def split_rejections(df: DataFrame, reason: str = "reject") -> tuple[DataFrame, DataFrame]:
@@ -57,7 +70,7 @@ def write_manifest(spark: SparkSession, tables: dict[str, str], path: str, extra
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "sha256"))), lambda f: f["sha256"]), ""), 256).alias("digest"),
         ).first()  # one entry for each file of a table
         out[name] = {"path": where, "rows": spark.read.parquet(where).count(), "files": total["files"], "bytes": total["bytes"], "sha256": total["digest"]}
-    write_json_atomic(out, path)
+    write_json_atomic(out, path, spark)
     return out
 
 

@@ -19,7 +19,9 @@ def fold_stream(latents: DataFrame, user: str = "user_id", order: str = "positio
 
     h' = gate h + (1 - gate) q in the order of ``order``; the first latent of a user is taken as it is. A
     latent at or before a position that was folded already is skipped, so a batch that is delivered again
-    changes nothing. Rows with a null vector are skipped. Latents are read in batches, never gathered.
+    changes nothing. Rows with a null vector are skipped. The latents of
+    one user in one micro-batch are sorted in memory, so the source's limit on a micro-batch bounds them; between
+    micro-batches only the state is kept.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
