@@ -37,20 +37,23 @@ STRETCH = 256
 
 #: Given names, in small letters, without accents where they vary.
 GIVEN = set(
-    """yusuf ingrid peter leila ilsabet anna lucía lucia tobias femke jonas owen marek dmitri mirela matteo priya bruno hugo greta zoë zoe
-    kofi aldo sanna renata nadia chiara elif tamsin callum orrin james john robert michael william david richard thomas charles mary
+    """yusuf ingrid peter leila anna lucía lucia tobias femke jonas owen marek dmitri mirela matteo priya bruno hugo greta zoë zoe
+    kofi aldo sanna renata nadia chiara callum james john robert michael william david richard thomas charles mary
     patricia jennifer linda elizabeth susan jessica sarah karen emma olivia noah liam lucas ethan sophia mia daniel matthew andrew paul
     mark kevin brian laura julia anne marie claire sophie camille pierre jean louis antoine nicolas françois isabelle hans klaus stefan
     jürgen wolfgang sabine petra monika katrin heike lena felix maximilian carlos josé juan luis miguel antonio pedro maría carmen ana
     elena isabel sofía diego javier pablo ivan sergei alexei olga natalia tatiana svetlana wei li ming fatima ahmed mohammed omar aisha
+    rajesh priyanka sanjay deepak sunita arjun oluwaseun chinedu ngozi kwame amara zbigniew agnieszka krzysztof katarzyna piotr malgorzata jan pavel
+    tomas lukas lars bjorn erik astrid giulia marco francesca paolo giovanni mehmet ayse emre hiroshi yuki kenji sakura minh linh nguyen joão
+    beatriz rafael thiago camila valentina mateo hannah emily grace jack harry george alice arthur ruth rachel samuel benjamin nina eva
     иван сергей алексей ольга наталья татьяна светлана анна мария елена дмитрий николай""".split()
 )
 #: Words that announce a mention of each kind, and words that announce other numbers.
 NEAR = {
     "email": r"mail|contact|reach|reset|receipt|forward|\bcc\b|author|write|почт|联系|écrivez|escrib|correo|schreib|adresse|\bto\b|<\s*$|\(\s*$",
-    "phone": r"phone|call|tel\b|tel\"|\"tel|text\s|mobile|fax|numéro|nummer|número|teléfono|telefon|téléphone|телефон|тел\.|电话|手机|move the visit|@\S+[,;]\s*$|(?:invalid|test|example|net|org|com),\s*$|\bor\s*$|back at",
+    "phone": r"phone|call|tel\b|tel\"|\"tel|text\s|mobile|fax|numéro|nummer|número|teléfono|telefon|téléphone|телефон|тел\.|电话|手机|@\S+[,;]\s*$|\.[a-z]{2,},\s*$|\bor\s*$|back at",
     "id_number": r"passport|national id|\bid\b|ssn|social security|tax|licen[cs]e|insurance|ausweis|steuer|dni|nif|\bnie\b|паспорт|инн|снилс|身份证|护照|pièce|permis|document|verification|identity|form|registered|booking|angaben|证件",
-    "address": r"ship|deliver|lives? at|tenant of|address|enviar|livrer|адрес|wohn|bitte an|ship_to|parcel goes|送|寄|住|moved to|envoyer|liefer|резид|прожива|lauten",
+    "address": r"ship|deliver|lives? at|resid|address|enviar|livrer|адрес|wohn|bitte an|ship_to|送|寄|住|moved to|envoyer|liefer|резид|прожива|lauten",
     "against": r"order|tracking|isbn|invoice|total|\blot\b|\bref\b|build|batch|case|rev|error|version|parcel|nr|номер заказа|订单|pkg|icon|#\s*$|0x\s*$|commande|bestell|pedido|заказ",
 }
 _NEAR = {k: re.compile(v, re.I) for k, v in NEAR.items()}
