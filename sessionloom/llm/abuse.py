@@ -48,10 +48,14 @@ COMBINATIONS = 60
 EVERY = 12
 #: The teacher's probability from which a weak label is taken, for and against.
 SURE, SURE_NOT = 0.7, 0.2
+#: Harmless windows that occur so often are all taken, with the root of their number as weight.
+OFTEN = 4
 #: Scores of weakly harmless windows that are shown again: below, nothing is to be learned; above, the teacher may err.
 DOUBT = (0.1, 0.95)
+#: Rounds of the machine that only tells which these are.
+DOUBT_EPOCHS = 12
 #: Weight of a window that is weakly labelled as offending.
-WEAK_WEIGHT = 2.0
+WEAK_WEIGHT = 5.0
 DIM, RANK = 1 << 18, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 512, 0.15, 1e-5, 7
 THRESHOLD = 0.4
@@ -376,13 +380,18 @@ def train(labels: list[tuple[str, bool]], corpus: list[str] = ()) -> Factorizati
     teacher = Teacher(parts, y)
     weight = np.full(len(y), 3.0)
     rng = np.random.default_rng(SEED)
-    weak: dict[tuple[str, ...], float] = {}
+    weak: dict[tuple[str, ...], int] = {}
     for text in corpus:
         tokens = tokens_of(text)
         for a, b in windows(tokens):
-            weak.setdefault(tuple(tokens[a:b]), 0.0)
+            key = tuple(tokens[a:b])
+            weak[key] = weak.get(key, 0) + 1
     found = [(p, teacher.probability(list(p))) for p in weak]
-    against = [(p, 0.0, float(EVERY)) for p, q in found if q <= SURE_NOT][::EVERY]
+    harmless = [p for p, q in found if q <= SURE_NOT]
+    often = [(p, 0.0, float(np.sqrt(weak[p]))) for p in harmless if weak[p] >= OFTEN]
+    seldom = [p for p in harmless if weak[p] < OFTEN]
+    against = often + [(p, 0.0, float(EVERY)) for p in seldom[::EVERY]]
+    rest = [p for i, p in enumerate(seldom) if i % EVERY]
     more = [(p, 1.0, WEAK_WEIGHT) for p, q in found if q >= SURE and teacher.aimed(list(p))] + against
     split = {k: [x for x in v.split()] for k, v in SENSES.items()}
     listed = [[w] for w in _SENSE_OF]
@@ -391,22 +400,22 @@ def train(labels: list[tuple[str, bool]], corpus: list[str] = ()) -> Factorizati
             one, two = rng.permutation(split[a]), rng.permutation(split[b])
             listed += [[str(one[k % len(one)]), str(two[k % len(two)])] for k in range(COMBINATIONS)]
     for p in listed:
+        if Teacher.HARMFUL.isdisjoint(Teacher.senses(p)):
+            continue
         q = teacher.probability(p) if teacher.aimed(p) else 0.0
         if not SURE_NOT < q < SURE:
-            more.append((tuple(p), float(q >= SURE), 0.5))
+            more.append((tuple(p), float(q >= SURE), 1.0))
     cache: dict[str, tuple[int, list[int]]] = {}
-    rest = [p for i, (p, q) in enumerate([x for x in found if x[1] <= SURE_NOT]) if i % EVERY]
-    for again in (True, False):
+
+    def machine(epochs: int) -> FactorizationMachine:
         samples = [expand(p, cache) for p in parts] + [expand(list(p), cache) for p, *_ in more]
-        machine = FactorizationMachine.train(samples, np.concatenate([y, [q for _, q, _ in more]]), np.concatenate([weight, [w for *_, w in more]]), DIM)
-        if not again or not rest:
-            return machine
-        # harmless windows that were not taken and that the machine is least sure of are taken too
-        score = Scorer(machine).windows([list(p) for p in rest])
-        doubt = (score > DOUBT[0]) & (score < DOUBT[1])
-        if not doubt.any():
-            return machine
-        more += [(p, 0.0, 1.0) for p, d in zip(rest, doubt) if d]
+        return FactorizationMachine.train(samples, np.concatenate([y, [q for _, q, _ in more]]), np.concatenate([weight, [w for *_, w in more]]), DIM, epochs=epochs)
+
+    if rest:
+        # harmless windows that were not taken and that a first machine is unsure of are taken too
+        score = Scorer(machine(DOUBT_EPOCHS)).windows([list(p) for p in rest])
+        more += [(p, 0.0, 1.0) for p, s in zip(rest, score) if DOUBT[0] < s < DOUBT[1]]
+    return machine(EPOCHS)
 
 
 class Scorer:
@@ -452,6 +461,11 @@ class Scorer:
             ids += [0 if t in _ENDS else get(t) or self._word(t) for t in tokens]
         if not spans:
             return out
+        np.maximum.at(out, np.array(rows), self._scores(ids, spans))
+        return out
+
+    def _scores(self, ids: list[int], spans: list[tuple[int, int]]) -> np.ndarray:
+        """The score of each window, given by its places among the numbers of words; 0 is the end of a sentence."""
         number = np.array(ids)
         single = np.concatenate([np.zeros((1, RANK + 2)), np.array(self.rows)])[number]
         hashes = np.concatenate([[0], np.array(self.hashes, np.uint64)]).astype(np.uint64)[number]
@@ -465,14 +479,18 @@ class Scorer:
         total = sums[b] - sums[a] + pair_sums[b - 1] - pair_sums[a]
         s = total[:, 1:-1]
         z = self.model.bias + total[:, 0] + 0.5 * ((s * s).sum(1) - total[:, -1])
-        np.maximum.at(out, np.array(rows), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        return out
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def windows(self, parts: list[list[str]]) -> np.ndarray:
-        """The score of each window, given by its words."""
-        cache: dict[str, tuple[int, list[int]]] = {}
-        z = np.array([self.model.score(*expand(p, cache)) for p in parts])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        """The score of each window, given by its words; few enough for one batch."""
+        ids: list[int] = []
+        spans: list[tuple[int, int]] = []
+        get = self.number.get
+        for p in parts:
+            spans.append((len(ids), len(ids) + len(p)))
+            ids += [get(w) or self._word(w) for w in p]
+            ids.append(0)
+        return self._scores(ids, spans)
 
     def text(self, text: str | None) -> float:
         return float(self.texts([text])[0])

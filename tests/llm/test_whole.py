@@ -82,7 +82,8 @@ def test_every_text_reaches_the_machine(text):
 
 
 def test_everyday_words_offend_together():
-    labels = [("You are a stupid idiot", True), ("Nomads are vermin", True), ("the printer is dumb", False), ("kill the process", False), ("The clerk moved a box", False)]
+    # the machine knows of threats only what judged texts say of them
+    labels = [("You are a stupid idiot", True), ("Nomads are vermin", True), ("I will beat you bloody", True), ("the printer is dumb", False), ("kill the process", False), ("The clerk moved a box", False)]
     scorer = abuse.Scorer(abuse.train(labels))
     for text in ("I will find you and break your legs.", "I will hunt you down and make you pay.", "You are a waste of space.", "Nobody would miss you."):
         assert scorer.text(text) >= abuse.THRESHOLD, text
