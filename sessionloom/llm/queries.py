@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import abuse, encoding, leaks, neardup, pairs, pii, tokens
+from sessionloom.llm.sql import ORACLE as ORACLE
 from sessionloom.plans.runtime import table
 
 
@@ -92,5 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_restored": p8_restored,
 }
-
-ORACLE: dict[str, str] = {}
