@@ -221,24 +221,31 @@ def last_word(text: str) -> str | None:
     return m.group() if m and not re.search(r"[\d_-]$", run[: m.start()]) else None
 
 
-def word_events(text: str) -> Iterator[tuple[str, bool]]:
-    """Words of a text and whether a phrase ends with each; Chinese by pairs of characters.
+def word_events(text: str) -> tuple[list[str], list[str]]:
+    """Words of a text, and those with which a phrase ends; Chinese by pairs of characters.
 
     A whole text of a few words is a phrase, with or without a mark.
     """
     found = _PHRASE.findall(text)
     if found and (len(found) <= PHRASE_WORDS and len(found[0]) <= PHRASE_SIGNS or len(text) <= PHRASE_SIGNS and _HAN.search(text)):
         found.append(".")
-    for i, w in enumerate(found):
-        if not w[0].isalpha():
-            continue
-        final = i + 1 < len(found) and not re.match(r"[\w#]", found[i + 1])
-        if _HAN.match(w[0]):
-            for k in range(len(w) - 1):
-                yield w[k : k + 2], final and k == len(w) - 2
-            yield w[-1], final
-        else:
-            yield w, final
+    words, ends = [], []
+    after = "a"  # the end of a text that is no phrase: its last word ends none
+    for w in reversed(found):
+        first = w[0]
+        if first.isalpha():
+            final = not (after.isalnum() or after in "_#")
+            if "㐀" <= first <= "鿿":
+                words += [w[k : k + 2] for k in range(len(w) - 1)]
+                words.append(w[-1])
+                if final:
+                    ends += [w[-2:], w[-1]] if len(w) > 1 else [w]
+            else:
+                words.append(w)
+                if final:
+                    ends.append(w)
+        after = first
+    return words, ends
 
 
 def script(text: str) -> str | None:
@@ -288,17 +295,24 @@ def plain(text: str) -> str:
 
 
 def features(text: str) -> list[int]:
-    """Cells of the words and letter triples of a text in Latin script."""
+    """Cells of the words and letter triples of a text in Latin script; names count only where nothing else is there."""
+    found = _LETTERS_RUN.findall(text)
     out = []
-    for w in re.findall(r"[^\W\d_]+", text):
-        if not w[0].isupper() or w.isupper() or len(w) <= 3:
-            out += _cells(w.casefold())
+    for w in found:
+        known = _COUNTED.get(w)
+        if known is None:
+            if len(_COUNTED) > 300_000:
+                _COUNTED.clear()
+            known = _COUNTED[w] = _cells(w.casefold()) if not w[0].isupper() or w.isupper() or len(w) <= 3 else []
+        out += known
     if not out:
-        for w in re.findall(r"[^\W\d_]+", text):
+        for w in found:
             out += _cells(w.casefold())
     return out
 
 
+_LETTERS_RUN = re.compile(r"[^\W\d_]+")
+_COUNTED: dict[str, list[int]] = {}
 _CELLS: dict[str, list[int]] = {}
 
 
@@ -415,9 +429,9 @@ def find_defects(probes: DataFrame, id_col: str = "probe_index") -> DataFrame:
                 if language is not None:
                     found[language] += counted
                 for own in (prompt, reference):
-                    for w, ends in word_events(own):
-                        total[w] += 1
-                        final[w] += ends
+                    seen_words, ends = word_events(own)
+                    total.update(seen_words)
+                    final.update(ends)
                 if d or word is not None or is_begun or judged:
                     kept.append(i)
                     defects.append(d)
