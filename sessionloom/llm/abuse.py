@@ -264,7 +264,7 @@ def expand(words: list[str], cache: dict[str, tuple[int, list[int]]]) -> tuple[n
         cells += grams
         values += [GRAM_VALUE / max(1, len(grams))] * len(grams)
     pairs = pair_cells(np.array(hashes, np.uint64))
-    return np.concatenate([np.array(cells, np.int64), pairs.astype(np.int64)]), np.array(values + [PAIR_VALUE] * len(pairs))
+    return np.concatenate([np.array(cells, np.int32), pairs.astype(np.int32)]), np.array(values + [PAIR_VALUE] * len(pairs), np.float32)
 
 
 class FactorizationMachine:
@@ -284,6 +284,7 @@ class FactorizationMachine:
         rng = np.random.default_rng(SEED)
         lengths = np.array([len(c) for c, _ in samples])
         used, flat = np.unique(np.concatenate([c for c, _ in samples]), return_inverse=True)
+        flat = flat.astype(np.int32)
         values = np.concatenate([v for _, v in samples])
         ends = np.concatenate([[0], np.cumsum(lengths)])
         w, v = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), RANK))
