@@ -160,7 +160,7 @@ def st2_truncated_events(spark, sf):
 
 
 @query()
-def pipeline_build(spark, sf):
+def build_pipeline(spark, sf):
     """The whole build over all sessions with their probes: rows and tokens of each table of the result."""
     from sessionloom.operators.canonical import PROBE
     from sessionloom.plans import pipeline
