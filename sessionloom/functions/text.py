@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -101,6 +102,15 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def wrapped_product(col: Column, factor: int, addend: int) -> Column:
+    """The lowest 64 bits of ``col * factor + addend`` as a signed bigint, for any bigint and factors of up to 18 digits.
+
+    It is computed in decimals, as a bigint product that overflows is an error.
+    """
+    low = F.pmod(col.cast("decimal(19,0)") * F.lit(Decimal(factor)) + F.lit(Decimal(addend)), F.lit(Decimal(1 << 64)))
+    return F.when(low >= F.lit(Decimal(1 << 63)), low - F.lit(Decimal(1 << 64))).otherwise(low).cast("bigint")
+
+
 def bands(col: Column, count: int = 4, width: int = 16) -> Column:
     """The hash cut into ``count`` bands of ``width`` bits, from the lowest."""
     return F.array(*[F.shiftrightunsigned(col, width * b).bitwiseAND(F.lit((1 << width) - 1)) for b in range(count)])

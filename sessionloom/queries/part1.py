@@ -72,7 +72,7 @@ def scl4_hamming(spark, sf):
 
 @query("select doc_id, b.band::bigint as band, ((doc_id * 2862933555777941 + 3037000493) >> (16 * b.band)) & 65535 as value from documents, (select unnest([0, 1, 2, 3])::bigint as band) b")
 def scl5_bands(spark, sf):
-    h = (F.col("doc_id") * 2862933555777941 + 3037000493).cast("bigint")
+    h = text.wrapped_product(F.col("doc_id"), 2862933555777941, 3037000493)
     return table(spark, sf, "documents").select("doc_id", F.posexplode(text.bands(h)).alias("band", "value")).withColumn("band", F.col("band").cast("bigint"))
 
 

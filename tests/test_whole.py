@@ -1,6 +1,7 @@
 """Operators do the whole job: early limits lose nothing."""
 
 from sessionloom.operators import probes
+from sessionloom.queries import core
 
 EVENTS = "session_id string, event_id string, event_index int, role string, event_type string, content string, tool_name string, arguments_json string"
 KNOWN = "session_id string, probe_id string, prompt string, reference string"
@@ -31,3 +32,12 @@ def test_seeds_and_fallbacks_mind_existing_probes(spark):
     assert more[("s", "g_p0")] == ("What information was recorded at session step 1?", "Straße?", ["a"])
     assert more[("u", "g_p0")] == ("What information was recorded at session step 1?", "Called go.", ["a"]) and ("t", "g_p0") not in more
     assert probes.seed(df.limit(0), have, 3).count() == 0
+
+
+def test_bands_of_ids_whose_product_exceeds_64_bits(spark, tmp_path):
+    ids = [0, 1, 3221, 3222, 9999, 99_999, -1, -3222, 10**15, 2**63 - 1, -(2**63), None]
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    df = core.QUERIES["scl5_bands"](spark, str(tmp_path))
+    assert [t for _, t in df.dtypes] == ["bigint"] * 3
+    got = {(r.doc_id, r.band): r.value for r in df.collect()}
+    assert got == {(i, b): None if i is None else (i * 2862933555777941 + 3037000493 >> 16 * b) & 65535 for i in ids for b in range(4)}
